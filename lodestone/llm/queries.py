@@ -6,14 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import packing, token_counts
-from lodestone.llm.common import read_table, worker_path
+from pyspark.sql import functions as F
+
+from lodestone.llm import langid, packing, quality, token_counts
+from lodestone.llm.common import held_out, read_table, worker_path
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    models = langid.train(docs.where(~held_out()))
+    return langid.identify(docs, models, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("of"), "quality")
+    learned = docs.where(~held_out()).select("doc_id", "text").join(labels, F.col("doc_id") == F.col("of"))
+    model = quality.fit(learned)
+    return quality.score(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
 
