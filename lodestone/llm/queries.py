@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import html, langid, packing, quality, rules, token_counts
+from lodestone.llm import html, langid, line_dedup, packing, quality, rules, token_counts
 from lodestone.llm.common import held_out, read_table, worker_path
 
 
@@ -34,6 +34,11 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
 
