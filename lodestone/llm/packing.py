@@ -115,7 +115,7 @@ def packing_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
     return plan
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY, rows_per_salt: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY, rows_per_salt: int = 2_000) -> DataFrame:
     """Pack all texts: (id, piece, start, length, ids_crc32, sequence_id, offset), one row for each piece.
 
     A null or empty text is one piece with the separator alone. Repeated rows
@@ -127,8 +127,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     plan = spark.createDataFrame(packing_plan(counts, capacity), "length long, first_rank long, n long, each long, first_sequence long, at long")
 
-    salts = max(1, min(4096, sum(counts.values()) // rows_per_salt))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)))
+    # A frequent length is ranked in many parts, so that no task gets more than about rows_per_salt of its pieces.
+    salts = spark.createDataFrame([(x, 1 + n // rows_per_salt) for x, n in counts.items()], "length long, salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("salts"))).drop("salts")
     per_salt = salted.groupBy("length", "salt").count()
     before = per_salt.select("length", "salt", (F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"))
     ranked = salted.withColumn("nth", F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")))
