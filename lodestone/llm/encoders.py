@@ -18,8 +18,8 @@ WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 SIMPLE_SPLIT = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ɏ0-9²³¹¼½¾]+")
 #: Anything else goes to the library whole: other scripts, combining marks, control characters, dotted capital I.
 NOT_SIMPLE = re.compile(r"[^\t\n\r -~\xa0-įı-ɏ]")
-#: Words kept in a worker's cache.
-MOST_WORDS = 400_000
+#: Words in one generation of a worker's cache; the one before is kept too.
+MOST_WORDS = 500_000
 
 
 def resolve(tokenizer: str) -> str:
@@ -38,6 +38,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         path = resolve(tokenizer)
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.splits_words = False
         self.specials: list[str] = []
         if path.endswith(".model"):
@@ -79,8 +80,11 @@ class Encoder:
 
     def _learn(self, found: set[str]) -> None:
         if len(self.words) > MOST_WORDS:
-            self.words = {}
-        new = [x for x in found if x not in self.words]
+            self.older, self.words = self.words, {}
+        missing = found - self.words.keys()
+        known = missing & self.older.keys()
+        self.words.update((x, self.older[x]) for x in known)
+        new = list(missing - known)
         for word, x in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
             self.words[word] = np.asarray(x.ids, dtype="<u4").tobytes()
 
