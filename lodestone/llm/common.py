@@ -63,6 +63,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(fold(doc_id) == 2, F.lit(False))
 
 
+def lowest_hashes(rows: DataFrame, hash_col: str, n: int, total: int) -> DataFrame:
+    """The ``n`` rows of the lowest hashes out of ``total``; only about 1.5 n of them are sorted, whatever the input."""
+    share = F.shiftrightunsigned(hash_col, 11) / F.lit(float(1 << 53))
+    # Hashes are ordered as unsigned numbers, as the share is.
+    return rows.where(share < (1.5 * n + 100) / max(1, total)).orderBy(share, hash_col).limit(n)
+
+
 def slices(texts: list, most_chars: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of ``texts`` of about ``most_chars`` characters each, a longer text alone."""
     first, held = 0, 0

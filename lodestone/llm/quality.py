@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import small_batches, text_of
+from lodestone.llm.common import lowest_hashes, small_batches, text_of
 
 BLOCK = 512
 LEVEL = 3
@@ -62,20 +62,24 @@ class CompressionClassifier:
         return 1 / (1 + np.exp(-np.clip(self.slope * d + self.offset, -500, 500)))
 
 
-def fit(labelled: DataFrame, label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id") -> CompressionClassifier:
-    """A classifier from rows with a text and a label, 1 for good or 0 for bad.
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id") -> CompressionClassifier:
+    """A classifier from the ``docs`` that have a text and a label, 1 for good or 0 for bad, in ``labels``.
 
     It reads at most SAMPLE_ROWS rows of each class, those of the lowest id
     hashes: odd ranks for the dictionaries, even ones for the logistic curve,
     weighted by the classes' shares of all labelled rows. With one class alone
     or none, every score is the share of label 1 (0.5 where nothing is known).
     """
-    rows = labelled.select(F.col(label_col).cast("int").alias("y"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.lit(3)).alias("h")).where("y in (0, 1) and text is not null")
-    share = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    texts = {}
-    for y in (0, 1):
-        got = rows.where((F.col("y") == y) & F.length("text").between(1, SAMPLE_CHARS)).orderBy("h", "text").limit(SAMPLE_ROWS)
-        texts[y] = [r["text"] for r in got.select("text").collect()]
+    sizes = docs.select(F.col(id_col).alias("id"), F.length(F.col(text_col).cast("string")).alias("chars")).where("chars is not null")
+    labelled = sizes.join(labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)"), "id")
+    labelled = labelled.select("id", "y", F.xxhash64("id", F.lit(3)).alias("h"), F.col("chars").between(1, SAMPLE_CHARS).alias("fits"))
+    tally = labelled.groupBy("y").agg(F.count("*").alias("n"), F.count_if("fits").alias("fit")).collect()
+    share, texts = {r["y"]: r["n"] for r in tally}, {0: [], 1: []}
+    for r in tally:
+        ids = lowest_hashes(labelled.where((F.col("y") == r["y"]) & F.col("fits")), "h", SAMPLE_ROWS, r["fit"]).select("id", "h")
+        got = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text").between(1, SAMPLE_CHARS))
+        got = got.join(F.broadcast(ids.dropDuplicates(["id"])), "id").orderBy("h", "text").limit(SAMPLE_ROWS)
+        texts[r["y"]] = [x["text"] for x in got.select("text").collect()]
     prior = (share.get(1, 0) + 1) / (share.get(0, 0) + share.get(1, 0) + 2)
     model = CompressionClassifier(b"", b"", 0.0, float(np.log(prior / (1 - prior))))
     if min(len(texts[0]), len(texts[1])) < 2:

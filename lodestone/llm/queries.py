@@ -24,9 +24,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("of"), "quality")
-    learned = docs.where(~held_out()).select("doc_id", "text").join(labels, F.col("doc_id") == F.col("of"))
-    model = quality.fit(learned)
+    model = quality.fit(docs.where(~held_out()), read_table(spark, sf_dir, "labels"))
     return quality.score(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
