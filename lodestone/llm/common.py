@@ -35,13 +35,14 @@ def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage with files that survive lost executors. The files go
-    when the application ends.
+    when the application ends, the finished job's shuffle files at once.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    spark._jvm.System.gc()  # Spark's cleaner drops shuffle files whose plans are gone
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -19,12 +19,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import durable, text_of
-from lodestone.llm.text_sets import WORD, shingles
+from lodestone.llm.text_sets import WORD, bind, shingles, shingles_of, words_of
 
 THRESHOLD = 0.8
-#: Tokens are counted in so many hash buckets; a bucket's count stands for the rarity of its tokens.
+#: Words are counted in so many hash buckets. A token is as rare as the bucket of its first word.
 BUCKETS = 4096
 HASH_BITS = 56
+AT = ("id", "th", "line_no")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -38,19 +39,27 @@ def _lines(keyed: DataFrame) -> DataFrame:
     return exploded.where(F.col("line").rlike(WORD))
 
 
-def rarity_classes(lines: DataFrame) -> Column:
-    """For each bucket the rounded-up logarithm of its tokens' count over all lines, as an array of BUCKETS numbers."""
-    bucket = F.transform(shingles(F.col("line")), lambda t: F.pmod(t, F.lit(BUCKETS)).cast("int"))
-    counted = lines.select(F.explode(bucket).alias("bucket")).groupBy("bucket").agg(F.ceil(4 * F.log2(F.count("*") + 1)).cast("int").alias("class"))
-    found = {r["bucket"]: r["class"] for r in counted.collect()}  # at most BUCKETS rows
+def _bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+
+
+def rarity_classes(keyed: DataFrame) -> Column:
+    """For each bucket the rounded-up logarithm of its words' count over all texts, as an array of BUCKETS numbers."""
+    counted = keyed.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy(_bucket(F.col("word")).alias("bucket"))
+    classes = counted.agg(F.ceil(4 * F.log2(F.count("*") + 1)).cast("int").alias("class")).collect()  # at most BUCKETS rows
+    found = {r["bucket"]: r["class"] for r in classes}
     return F.split(F.lit(",".join(str(found.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<bigint>")
 
 
 def ordered_tokens(line: Column, classes: Column) -> Column:
     """The line's distinct tokens in the global order: rare classes first, then by hash."""
     mask = F.lit((1 << HASH_BITS) - 1)
-    keyed = F.transform(shingles(line), lambda t: F.shiftleft(F.get(classes, F.pmod(t, F.lit(BUCKETS)).cast("int")), HASH_BITS).bitwiseOR(t.bitwiseAND(mask)))
-    return F.array_sort(F.array_distinct(keyed))
+
+    def keyed(w: Column) -> Column:
+        rare = lambda i: F.shiftleft(F.get(classes, _bucket(F.get(w, i))), HASH_BITS)
+        return F.transform(shingles_of(w), lambda t, i: rare(i).bitwiseOR(t.bitwiseAND(mask)))
+
+    return F.sort_array(F.array_distinct(bind(words_of(line), keyed)))
 
 
 def _least_common(nx: Column, ny: Column, threshold: float) -> Column:
@@ -67,39 +76,39 @@ def _may_match(x: str, y: str, threshold: float) -> Column:
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """The documents (id, th, text) and the lines that stay, (id, th, line_no), among those with a word."""
     keyed = _keyed(docs, id_col, text_col)
-    lines = _lines(keyed)
-    classes = rarity_classes(lines)
-    sets = lines.select("id", "th", "line_no", ordered_tokens(F.col("line"), classes).alias("tokens"))
+    classes = rarity_classes(keyed)
+    sets = _lines(keyed).select(*AT, ordered_tokens(F.col("line"), classes).alias("tokens"))
     n = F.size("tokens")
     prefix = F.slice("tokens", F.lit(1), n - F.ceil(threshold * n - 1e-9).cast("int") + 1)
-    by_set = sets.select(F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), "tokens").alias("k2"), F.struct("id", "th", "line_no", n.alias("n"), F.when(n > 1, prefix).alias("prefix")).alias("first"))
-    firsts = by_set.groupBy("k1", "k2").agg(F.min("first").alias("f")).select(F.struct("k1", "k2").alias("k"), "f.*")
+    by_set = sets.select(F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), "tokens").alias("k2"), F.struct(*AT, n.alias("n"), F.when(n > 1, prefix).alias("prefix")).alias("first"))
+    # A class is known by the place of its first line.
+    firsts = durable(by_set.groupBy("k1", "k2").agg(F.min("first").alias("f")).select("f.*"))
 
-    at_token = firsts.select(F.posexplode("prefix").alias("j", "token"), F.struct("id", "th", "line_no", "k").alias("at"), "n")
-    member = F.struct("at", "n", "j")
-    here = Window.partitionBy("token").orderBy("at")
-    met = durable(at_token.select("token", member.alias("y"), F.row_number().over(here).alias("rank"), F.first(member).over(here).alias("x")).where("rank > 1"))
+    at_token = firsts.select(F.posexplode("prefix").alias("j", "token"), *AT, "n")
+    here = Window.partitionBy("token").orderBy(*AT)
+    leader = [F.first(c).over(here).alias(f"first_{c}") for c in (*AT, "n", "j")]
+    ranked = at_token.select("token", *AT, "n", "j", F.row_number().over(here).alias("rank"), *leader).where("rank > 1")
+    met = durable(ranked.select("token", "rank", F.struct(F.struct(*AT).alias("at"), "n", "j").alias("y"), F.struct(F.struct(*(F.col(f"first_{c}").alias(c) for c in AT)).alias("at"), F.col("first_n").alias("n"), F.col("first_j").alias("j")).alias("x")))
 
     ends = met.select(F.explode(F.array("x.at", "y.at")).alias("at")).distinct()
-    by_doc = ends.groupBy(F.col("at.id").alias("id"), F.col("at.th").alias("th")).agg(F.collect_list(F.struct("at.line_no", "at.k")).alias("wanted"))
-    texts = _with_text(by_doc, keyed, "inner")
-    line = texts.select(F.inline("wanted"), F.split("text", "\n").alias("lines")).select("k", F.array_distinct(shingles(F.get("lines", F.col("line_no")))).alias("tokens"))
-    tokens = durable(line.dropDuplicates(["k"]))
+    by_doc = ends.groupBy(F.col("at.id").alias("id"), F.col("at.th").alias("th")).agg(F.collect_list("at").alias("wanted"))
+    texts = _with_text(by_doc, keyed, "inner").select(F.explode("wanted").alias("at"), F.split("text", "\n").alias("lines"))
+    tokens = durable(texts.select("at", F.array_distinct(shingles(F.get("lines", F.col("at.line_no")))).alias("tokens")).dropDuplicates(["at"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(k) of the later lines of those pairs that reach the threshold."""
-        pairs = pairs.select(F.col("y.at.k").alias("ky"), F.col("x.at.k").alias("kx")).distinct()
-        of = lambda c: tokens.select(F.col("k").alias(f"k{c}"), F.col("tokens").alias(f"t{c}"))
-        both = pairs.join(of("y"), "ky").join(of("x"), "kx")
+        """(at) of the later lines of those pairs that reach the threshold."""
+        pairs = pairs.select(F.col("y.at").alias("y"), F.col("x.at").alias("x")).distinct()
+        of = lambda c: tokens.select(F.col("at").alias(c), F.col("tokens").alias(f"t{c}"))
+        both = pairs.join(of("y"), "y").join(of("x"), "x")
         shared = F.size(F.array_intersect("tx", "ty"))
-        return both.where(shared >= threshold * (F.size("tx") + F.size("ty") - shared) - 1e-9).select(F.col("ky").alias("k")).distinct()
+        return both.where(shared >= threshold * (F.size("tx") + F.size("ty") - shared) - 1e-9).select(F.col("y").alias("at")).distinct()
 
     first_removed = durable(verified(met.where(_may_match("x", "y", threshold))))
-    standing = met.where("rank > 2").join(first_removed.select(F.col("k").alias("gone")), F.col("y.at.k") == F.col("gone"), "left_anti").select("token", "y", "rank")
+    standing = met.where("rank > 2").join(first_removed.select(F.col("at").alias("gone")), F.col("y.at") == F.col("gone"), "left_anti").select("token", "y", "rank")
     earlier = met.select("token", F.col("y").alias("x"), F.col("rank").alias("earlier"))
     later = standing.join(earlier, "token").where((F.col("earlier") < F.col("rank")) & _may_match("x", "y", threshold))
     gone = first_removed.unionByName(verified(later)).distinct()
-    stay = firsts.select("k", "id", "th", "line_no").join(gone, "k", "left_anti").select("id", "th", "line_no")
+    stay = firsts.select(F.struct(*AT).alias("at")).join(gone, "at", "left_anti").select("at.*")
     return keyed, stay
 
 
@@ -121,6 +130,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = keyed.join(right, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left")
     lines = joined.select("id", F.split("text", "\n").alias("lines"), F.coalesce("stay", F.array().cast("array<int>")).alias("stay"))
     blank = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(WORD), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
-    kept = lines.select("id", "lines", F.array_sort(F.array_union("stay", blank)).alias("kept"))
+    kept = lines.select("id", "lines", F.sort_array(F.array_union("stay", blank)).alias("kept"))
     text = F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n")
     return kept.select(F.col("id").alias(id_col), text.alias(text_col), F.size("lines").alias("n_lines"), (F.size("lines") - F.size("kept")).alias("n_removed"))

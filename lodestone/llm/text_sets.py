@@ -17,16 +17,17 @@ def bind(value: Column, body) -> Column:  # noqa: ANN001
 
 def words_of(text: Column) -> Column:
     """Lower-case words between white space."""
-    return F.filter(F.split(F.lower(text), SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), SPACE), "")
 
 
-def shingles(text: Column, size: int = SHINGLE_WORDS) -> Column:
-    """Hashes of all windows of ``size`` words, in order; of a shorter text one hash of all its words, of none no hash."""
+def shingles_of(words: Column, size: int = SHINGLE_WORDS) -> Column:
+    """Hashes of all windows of ``size`` words, in order; of fewer words one hash of all, of none no hash."""
+    at = F.sequence(F.lit(0), F.size(words) - size)
+    many = F.transform(at, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(size))))
+    one = F.array(F.xxhash64(F.array_join(words, " "), F.size(words)))
+    return F.when(F.size(words) >= size, many).when(F.size(words) > 0, one).otherwise(F.array().cast("array<bigint>"))
 
-    def windows(w: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(w) - size)
-        many = F.transform(at, lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(size))))
-        one = F.array(F.xxhash64(F.array_join(w, " "), F.size(w)))
-        return F.when(F.size(w) >= size, many).when(F.size(w) > 0, one).otherwise(F.array().cast("array<bigint>"))
 
-    return bind(words_of(text), windows)
+def shingles(text: Column, size: int = SHINGLE_WORDS) -> Column:
+    """``shingles_of`` the words of a text."""
+    return bind(words_of(text), lambda w: shingles_of(w, size))
