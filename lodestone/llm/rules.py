@@ -49,11 +49,11 @@ def repeated_words(words: Column) -> Column:
         return F.when(F.size(w) >= WINDOW, F.transform(at, lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
 
     def twice(h: Column) -> Column:
-        pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
         def marked(s: Column) -> Column:
             same = lambda a, b: F.coalesce(F.get(s, a)["h"] == F.get(s, b)["h"], F.lit(False))
-            return F.array_sort(F.transform(F.filter(s, lambda x, k: same(k, k - 1) | same(k, k + 1)), lambda x: x["i"]))
+            return F.sort_array(F.transform(F.filter(s, lambda x, k: same(k, k - 1) | same(k, k + 1)), lambda x: x["i"]))
 
         def covered(at: Column) -> Column:
             steps = F.transform(at, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1) - x, F.lit(WINDOW))))
