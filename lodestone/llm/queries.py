@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontamination, html, langid, line_dedup, near_dedup, packing, quality, rules, token_counts
+from lodestone.llm import decontamination, html, langid, line_dedup, near_dedup, packing, quality, rules, substring_dedup, token_counts
 from lodestone.llm.common import held_out, read_table, worker_path
 
 
@@ -49,6 +49,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read_table(spark, sf_dir, "documents"))
 
