@@ -15,6 +15,8 @@ the threshold's similarity to it; all lines are judged on the input.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,10 +30,11 @@ HASH_BITS = 56
 AT = ("id", "th", "line_no")
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, text): rows with equal id and text are one document."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(f"`{text_col}`").alias("text"))
-    return rows.select("id", F.xxhash64("text").alias("th"), "text")
+def _keyed(docs: DataFrame, id_col: str, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, th, text, keep): rows with equal id and text are one document."""
+    kept = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(None)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(f"`{text_col}`").alias("text"), kept.alias("keep"))
+    return rows.select("id", F.xxhash64("text").alias("th"), "text", "keep")
 
 
 def _lines(keyed: DataFrame) -> DataFrame:
@@ -73,9 +76,8 @@ def _may_match(x: str, y: str, threshold: float) -> Column:
     return (nx >= threshold * ny - 1e-9) & (ny >= threshold * nx - 1e-9) & (F.least(nx - jx, ny - jy) >= _least_common(nx, ny, threshold))
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """The documents (id, th, text) and the lines that stay, (id, th, line_no), among those with a word."""
-    keyed = _keyed(docs, id_col, text_col)
+def standing_lines(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The lines that stay, (id, th, line_no), among those with a word."""
     classes = rarity_classes(keyed)
     sets = _lines(keyed).select(*AT, ordered_tokens(F.col("line"), classes).alias("tokens"))
     n = F.size("tokens")
@@ -108,8 +110,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     earlier = met.select("token", F.col("y").alias("x"), F.col("rank").alias("earlier"))
     later = standing.join(earlier, "token").where((F.col("earlier") < F.col("rank")) & _may_match("x", "y", threshold))
     gone = first_removed.unionByName(verified(later)).distinct()
-    stay = firsts.select(F.struct(*AT).alias("at")).join(gone, "at", "left_anti").select("at.*")
-    return keyed, stay
+    return firsts.select(F.struct(*AT).alias("at")).join(gone, "at", "left_anti").select("at.*")
 
 
 def _with_text(by_doc: DataFrame, keyed: DataFrame, how: str) -> DataFrame:
@@ -117,19 +118,19 @@ def _with_text(by_doc: DataFrame, keyed: DataFrame, how: str) -> DataFrame:
     return by_doc.join(right, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), how)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, text, n_lines, n_removed) of every row, the text without the lines that go.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, text, n_lines, n_removed, *keep) of every row, the text without the lines that go.
 
     Lines without a word stay and are no matches. Null texts count as empty.
     Rows with equal id and text are one document: each gets the same text. An
     empty table gives no rows; other columns are not read.
     """
-    keyed, stay = removed_lines(docs, id_col, text_col, threshold)
-    by_doc = stay.groupBy("id", "th").agg(F.collect_set("line_no").alias("stay"))
+    keyed = _keyed(docs, id_col, text_col, keep)
+    by_doc = standing_lines(keyed, threshold).groupBy("id", "th").agg(F.collect_set("line_no").alias("stay"))
     right = by_doc.select(F.col("id").alias("id2"), F.col("th").alias("th2"), "stay")
     joined = keyed.join(right, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left")
-    lines = joined.select("id", F.split("text", "\n").alias("lines"), F.coalesce("stay", F.array().cast("array<int>")).alias("stay"))
+    lines = joined.select("id", "keep", F.split("text", "\n").alias("lines"), F.coalesce("stay", F.array().cast("array<int>")).alias("stay"))
     blank = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(WORD), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
-    kept = lines.select("id", "lines", F.sort_array(F.array_union("stay", blank)).alias("kept"))
+    kept = lines.select("id", "keep", "lines", F.sort_array(F.array_union("stay", blank)).alias("kept"))
     text = F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n")
-    return kept.select(F.col("id").alias(id_col), text.alias(text_col), F.size("lines").alias("n_lines"), (F.size("lines") - F.size("kept")).alias("n_removed"))
+    return kept.select(F.col("id").alias(id_col), text.alias(text_col), F.size("lines").alias("n_lines"), (F.size("lines") - F.size("kept")).alias("n_removed"), *(F.col("keep").getField(c).alias(c) for c in keep))
