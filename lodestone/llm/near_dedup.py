@@ -1,13 +1,12 @@
 """Operator 8, near-duplicates by BagMinHash over multisets of five-word shingles.
 
 Documents with equal shingles are one text from the start. Each text gets a
-BagMinHash signature, cut into bands; texts that share a band are candidates.
-In each shared band, every text is first compared with the band's hub, the text
-that shares most bands with most others, which settles groups around one
-original with one comparison for each copy. Texts of a band that are then still
-in different components are compared by their signatures, in blocks of bounded
-size, and those that may reach the threshold are verified exactly too. So no
-link between candidates is lost, and no group is ever written as all its pairs.
+BagMinHash signature, cut into bands; texts that share a band, directly or by
+way of others, form a cluster of candidates. A cluster is dealt into blocks of
+bounded size, and every two blocks meet in one place: there signatures tell
+which pairs may reach the threshold, and those are verified exactly by their
+multisets, the likeliest first, unless verified links join them already. So
+every link between candidates counts, while only a forest of them is written.
 """
 
 from __future__ import annotations
@@ -30,8 +29,8 @@ SLOTS = 125
 BAND_ROWS = 5
 #: Standard errors below the threshold at which a signature's estimate still counts as possible.
 SLACK = 4.0
-#: Texts of a band that are compared in one block.
-BLOCK_ROWS = 1024
+#: Texts of a cluster that one block holds.
+BLOCK_ROWS = 512
 #: Shingles that one step of a signature task handles.
 STEP = 1 << 18
 
@@ -71,77 +70,92 @@ def _signed(docs: DataFrame) -> DataFrame:
     return keyed.mapInArrow(sign, schema)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The links (a, b) of ``pairs`` whose texts reach the threshold."""
-    of = lambda c: texts.select(F.col("k").alias(c), F.col("text").alias(f"text_{c}"))
-    both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", shingles(F.col("text_a")).alias("x"), shingles(F.col("text_b")).alias("y"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            (xs, xo), (ys, yo) = ((c.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False)))) for c in (b.column("x"), b.column("y")))
-            ok = [bagminhash.weighted_jaccard(xs[xo[i] : xo[i + 1]], ys[yo[i] : yo[i + 1]]) >= threshold - 1e-9 for i in range(b.num_rows)]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return both.mapInArrow(verify, both.select("a", "b").schema)
-
-
-def _possible(members: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of one band in different components whose signatures may reach the threshold.
-
-    ``members`` has (band, size, k, component, sketch). A large band is dealt
-    into blocks, and every two blocks meet in a group of their own.
-    """
+def _numbered(values: np.ndarray) -> np.ndarray:
+    """A multiset as a sorted set: each value with how often it came before."""
+    v = np.sort(values)
+    new = np.append(True, v[1:] != v[:-1])
+    nth = np.arange(len(v)) - np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))
+    return np.sort(v.view(np.uint64) ^ bagminhash.mixed(nth.astype(np.uint64)))
+
+
+def _forest(sketch: np.ndarray, block: np.ndarray, across: bool, grams: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Verified links that join all texts which links of the threshold join; ``across`` leaves out pairs within a block."""
+    n, least = len(sketch), threshold - SLACK * np.sqrt(threshold * (1 - threshold) / SLOTS)
+    estimate, left, right = [], [], []
+    for i in range(n - 1):
+        agree = (sketch[i + 1 :] == sketch[i]).mean(1)
+        at = np.flatnonzero((agree >= least) & (block[i + 1 :] != block[i]) if across else agree >= least)
+        estimate.append(agree[at])
+        left.append(np.full(len(at), i))
+        right.append(at + i + 1)
+    if not left:
+        return []
+    a, b = np.concatenate(left), np.concatenate(right)
+    by = np.argsort(-np.concatenate(estimate), kind="stable")
+    parent, sets, out = list(range(n)), {}, []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, j in zip(a[by].tolist(), b[by].tolist(), strict=True):
+        ri, rj = root(i), root(j)
+        if ri == rj:
+            continue
+        for x in (i, j):
+            if x not in sets:
+                sets[x] = _numbered(grams[x])
+        x, y = sets[i], sets[j]
+        shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+        if shared >= threshold * (len(x) + len(y) - shared) - 1e-9:
+            parent[ri] = rj
+            out.append((i, j))
+    return out
+
+
+def _links(members: DataFrame, threshold: float) -> DataFrame:
+    """Verified links (a, b) that join what all links of a cluster join; ``members`` has (cluster, size, k, sketch, text)."""
     n_blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
     blocked = members.withColumn("block", F.pmod(F.xxhash64("k"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    met = blocked.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "k", "component", "sketch")
-    dealt = met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    least = threshold - SLACK * np.sqrt(threshold * (1 - threshold) / SLOTS)
+    met = blocked.select(F.col("cluster.k1").alias("c1"), F.col("cluster.k2").alias("c2"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "k", "sketch", "text")
+    dealt = met.repartition("c1", "c2", "i", "j").sortWithinPartitions("c1", "c2", "i", "j").select("c1", "c2", "i", "j", "block", "k", "sketch", shingles(F.col("text")).alias("grams"))
+    keys = ["c1", "c2", "i", "j"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            t = t.combine_chunks()
-            band, i, j, block = (t.column(c).to_numpy() for c in ("band", "i", "j", "block"))
+        def run(t: pa.Table) -> pa.RecordBatch:
+            key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in keys], 1)
+            block = t.column("block").to_numpy()
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, SLOTS)
-            parts = t.column("component").combine_chunks().flatten()
-            own = np.stack([x.to_numpy(zero_copy_only=False) for x in parts], 1)
-            new = np.ones(len(band), bool)
-            new[1:] = (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-            start = np.flatnonzero(new)
-            size = np.diff(np.append(start, len(band)))
-            left, right = [], []
-            for n in np.unique(size[size > 1]):
-                u, v = np.triu_indices(n, 1)
-                at = start[size == n]
-                for few in np.array_split(at, max(1, len(at) * len(u) // 500_000)):
-                    a, b = (few[:, None] + u).ravel(), (few[:, None] + v).ravel()
-                    go = (own[a] != own[b]).any(1) & ((i[a] == j[a]) | (block[a] != block[b]))
-                    a, b = a[go], b[go]
-                    for p in range(0, len(a), 50_000):
-                        x, y = a[p : p + 50_000], b[p : p + 50_000]
-                        close = (sketch[x] == sketch[y]).mean(1) >= least
-                        left.append(x[close])
-                        right.append(y[close])
-            if left and len(a := np.concatenate(left)):
-                k = t.column("k").combine_chunks()
-                yield pa.RecordBatch.from_arrays([k.take(pa.array(a)), k.take(pa.array(np.concatenate(right)))], ["a", "b"])
-
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            held.append(b)
-            if sum(len(x) for x in held) >= 20_000:  # all but the last group are complete
+            lists = t.column("grams").combine_chunks()
+            values = lists.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            cuts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
+            a, b = [], []
+            for start, stop in zip(cuts, np.append(cuts[1:], len(key)), strict=True):
+                grams = [values[ends[r - 1] if r else 0 : ends[r]] for r in range(start, stop)]
+                for x, y in _forest(sketch[start:stop], block[start:stop], key[start, 2] != key[start, 3], grams, threshold):
+                    a.append(start + x)
+                    b.append(start + y)
+            k = t.column("k").combine_chunks()
+            return pa.RecordBatch.from_arrays([k.take(pa.array(a, pa.int64())), k.take(pa.array(b, pa.int64()))], ["a", "b"])
+
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= BLOCK_ROWS:
                 t = pa.Table.from_batches(held).combine_chunks()
-                key = [t.column(c).to_numpy() for c in ("band", "i", "j")]
-                same = np.logical_and.reduce([x == x[-1] for x in key])
-                cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-                if cut:
-                    yield from run(t.slice(0, cut))
-                held = t.slice(cut).to_batches()
-        if held and sum(len(x) for x in held):
-            yield from run(pa.Table.from_batches(held))
+                key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in keys], 1)
+                cut = int(np.argmax((key == key[-1]).all(1)))
+                if cut:  # the last group may go on
+                    yield run(t.slice(0, cut).combine_chunks())
+                held, rows = t.slice(cut).to_batches(), len(t) - cut
+        if rows:
+            yield run(pa.Table.from_batches(held).combine_chunks())
 
-    schema = met.select(F.col("k").alias("a"), F.col("k").alias("b")).schema
-    found = dealt.mapInArrow(compare, schema)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return dealt.mapInArrow(compare, met.select(F.col("k").alias("a"), F.col("k").alias("b")).schema)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -158,26 +172,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = durable(worded.groupBy("k").agg(F.min(F.struct("id", "th", "bands", "sketch")).alias("f")).select("k", "f.*"))
 
     in_band = nodes.select("k", F.explode("bands").alias("band"))
-    shared = in_band.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    live = durable(in_band.join(shared, "band"))
-    degree = live.groupBy("k").agg(F.sum("size").alias("degree"))
-    ranked = live.join(degree, "k")
-    hubs = ranked.groupBy("band").agg(F.max(F.struct("degree", "k")).alias("hub"))
-    pairs = live.join(hubs, "band").where(F.col("k") != F.col("hub.k")).groupBy(F.col("k").alias("b")).agg(F.max("hub").alias("hub"))
-    first_pairs = pairs.select(F.col("hub.k").alias("a"), "b")
+    centres = in_band.groupBy("band").agg(F.min("k").alias("a"), F.count("*").alias("size")).where("size > 1").select("band", "a")
+    clusters = components(in_band.join(centres, "band").where("k != a").select("a", F.col("k").alias("b")))
+    sized = clusters.join(clusters.groupBy("component").agg(F.count("*").alias("size")), "component").select(F.col("node").alias("k"), F.col("component").alias("cluster"), "size")
 
     right = rows.select(F.col("id").alias("id2"), F.xxhash64("text").alias("th2"), "text")
-    wanted = nodes.join(degree.select("k"), "k", "left_semi").select("k", "id", "th")
+    wanted = nodes.join(sized, "k").select("k", "id", "th", "sketch", "cluster", "size")
     matched = wanted.join(right, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")))
-    texts = durable(matched.groupBy("k").agg(F.any_value("text").alias("text")))
-
-    links = durable(_verified(first_pairs, texts, threshold))
-    so_far = components(links)
-    placed = live.join(so_far.select(F.col("node").alias("k"), "component"), "k", "left").withColumn("component", F.coalesce("component", "k"))
-    mixed_bands = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("band")
-    members = placed.join(mixed_bands, "band").join(nodes.select("k", "sketch"), "k")
-    more = durable(_verified(_possible(members, threshold), texts, threshold))
-    found = components(links.unionByName(more))
+    members = matched.groupBy("k", "cluster", "size", "sketch").agg(F.any_value("text").alias("text"))
+    found = components(_links(members, threshold))
 
     classes = worded.select("id", "th", "k").join(found.withColumnRenamed("node", "k"), "k", "left").select("id", "th", F.coalesce("component", "k").alias("class"))
     first = classes.groupBy("class").agg(F.min(F.struct("id", "th")).alias("first"))
