@@ -83,7 +83,7 @@ def with_score_unit(x: Column) -> Column:
 
 def weekday_name(day: Column) -> Column:
     """Chinese weekday of a date, 未知 for null."""
-    return F.coalesce(F.element_at(F.array(*map(F.lit, WEEKDAYS)), F.weekday(day) + 1), F.lit("未知"))
+    return F.when(day.isNull(), F.lit("未知")).otherwise(F.get(F.array(*map(F.lit, WEEKDAYS)), F.weekday(day)))
 
 
 def parsed_date(x: Column) -> Column:
