@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import durable, text_of
-from lodestone.llm.text_sets import WORD, bind, shingles, shingles_of, words_of
+from lodestone.llm.text_sets import SHINGLE_WORDS, WORD, bind, shingles, shingles_of, words_of
 
 THRESHOLD = 0.8
 #: Words are counted in so many hash buckets. A token is as rare as the bucket of its first word.
@@ -31,10 +31,12 @@ AT = ("id", "th", "line_no")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
-    """(id, th, text, keep): rows with equal id and text are one document."""
+    """(id, th, text, keep): rows with equal id and text are one document; th tells texts of one id apart, if any id has two rows."""
     kept = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(None)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(f"`{text_col}`").alias("text"), kept.alias("keep"))
-    return rows.select("id", F.xxhash64("text").alias("th"), "text", "keep")
+    again = not rows.groupBy("id").count().where("count > 1").isEmpty()
+    th = F.xxhash64("text") if again else F.lit(0).cast("long")
+    return rows.select("id", th.alias("th"), "text", "keep")
 
 
 def _lines(keyed: DataFrame) -> DataFrame:
@@ -43,7 +45,7 @@ def _lines(keyed: DataFrame) -> DataFrame:
 
 
 def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+    return F.xxhash64(word).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def rarity_classes(keyed: DataFrame) -> Column:
@@ -60,7 +62,9 @@ def ordered_tokens(line: Column, classes: Column) -> Column:
 
     def keyed(w: Column) -> Column:
         rare = lambda i: F.shiftleft(F.get(classes, _bucket(F.get(w, i))), HASH_BITS)
-        return F.transform(shingles_of(w), lambda t, i: rare(i).bitwiseOR(t.bitwiseAND(mask)))
+        at = F.sequence(F.lit(0), F.size(w) - SHINGLE_WORDS)
+        many = F.transform(at, lambda i: rare(i).bitwiseOR(F.xxhash64(*(F.get(w, i + k) for k in range(SHINGLE_WORDS))).bitwiseAND(mask)))
+        return F.when(F.size(w) >= SHINGLE_WORDS, many).otherwise(shingles_of(w))
 
     return F.sort_array(F.array_distinct(bind(words_of(line), keyed)))
 
@@ -95,7 +99,7 @@ def standing_lines(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ends = met.select(F.explode(F.array("x.at", "y.at")).alias("at")).distinct()
     by_doc = ends.groupBy(F.col("at.id").alias("id"), F.col("at.th").alias("th")).agg(F.collect_list("at").alias("wanted"))
     texts = _with_text(by_doc, keyed, "inner").select(F.explode("wanted").alias("at"), F.split("text", "\n").alias("lines"))
-    tokens = durable(texts.select("at", F.array_distinct(shingles(F.get("lines", F.col("at.line_no")))).alias("tokens")).dropDuplicates(["at"]))
+    tokens = durable(texts.select("at", F.array_distinct(shingles(F.get("lines", F.col("at.line_no")))).alias("tokens")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(at) of the later lines of those pairs that reach the threshold."""
