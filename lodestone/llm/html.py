@@ -189,9 +189,11 @@ def main_text(page: str) -> str:
         last = x if x is not None else last
     final = []
     for b, x, left, right in zip(found, labels, before, reversed(after), strict=True):
-        if x is None:  # both neighbours, or either one for a block of some length
-            sides = [s for s in (left, right) if s is not None]
-            x = bool(sides) and (all(sides) if len(b.text) < SHORT else any(sides)) or not sides and len(b.text) >= SHORT
+        if x is None:  # the page's edges count as bad, unless nothing is decided
+            if left is None and right is None:
+                x = len(b.text) >= SHORT
+            else:
+                x = bool(left and right) if len(b.text) < SHORT else bool(left or right)
         final.append(x)
     return "\n".join(b.text for b, x in zip(found, final, strict=True) if x)
 
