@@ -162,9 +162,6 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, k: int = KMER) -> Da
 
     # One anchor for each surroundings; those that stand there twice are partners only.
     open_ = by_ctx.join(by_h.where("different > 1 and single > 0"), "h").select("one.t", "one.pos", "h", "different", (F.col("n") == 1).alias("single"))
-    by_text = open_.groupBy("t").agg(F.collect_list(F.struct("pos", "h", "different", "single")).alias("at"))
-    joined = by_text.join(texts.select("t", "text"), "t")
-
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, (text, at) in enumerate(zip(b.column("text").to_pylist(), b.column("at").to_pylist(), strict=True)):
@@ -176,8 +173,10 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, k: int = KMER) -> Da
                 yield pa.RecordBatch.from_arrays([own, *part, pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["t", "pos", "h", "different", "single", "left", "right"])
 
     schema = texts.select("t").schema.add("pos", "integer").add("h", "long").add("different", "long").add("single", "boolean").add("left", "binary").add("right", "binary")
-    around = joined.mapInArrow(surround, schema)
-    around = durable(around)
+
+    def around(some: DataFrame) -> DataFrame:
+        by_text = some.groupBy("t").agg(F.collect_list(F.struct("pos", "h", "different", "single")).alias("at"))
+        return by_text.join(texts.select("t", "text"), "t").mapInArrow(surround, schema)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def run(t: pa.Table) -> pa.RecordBatch:
@@ -206,8 +205,11 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, k: int = KMER) -> Da
             yield run(pa.Table.from_batches(held))
 
     ranges = texts.select("t").schema.add("start", "integer").add("stop", "integer")
-    usual = around.where(F.col("different") <= MOST_SURROUNDINGS).repartition("h").sortWithinPartitions("h").mapInArrow(compare, ranges)
-    return whole.unionByName(usual).unionByName(_by_string_hash(around.where(F.col("different") > MOST_SURROUNDINGS), length, k))
+    usual = around(open_.where(F.col("different") <= MOST_SURROUNDINGS)).repartition("h").sortWithinPartitions("h").mapInArrow(compare, ranges)
+    found_ranges = whole.unionByName(usual)
+    if by_h.where(F.col("different") > MOST_SURROUNDINGS).isEmpty():
+        return found_ranges
+    return found_ranges.unionByName(_by_string_hash(around(open_.where(F.col("different") > MOST_SURROUNDINGS)), length, k))
 
 
 def _by_string_hash(around: DataFrame, length: int, k: int) -> DataFrame:
