@@ -81,10 +81,9 @@ class Encoder:
     def _learn(self, found: set[str]) -> None:
         if len(self.words) > MOST_WORDS:
             self.older, self.words = self.words, {}
-        missing = found - self.words.keys()
-        known = missing & self.older.keys()
-        self.words.update((x, self.older[x]) for x in known)
-        new = list(missing - known)
+        missing = [x for x in found if x not in self.words]
+        self.words.update((x, self.older[x]) for x in missing if x in self.older)
+        new = [x for x in missing if x not in self.words]
         for word, x in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
             self.words[word] = np.asarray(x.ids, dtype="<u4").tobytes()
 
