@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -42,7 +44,9 @@ def durable(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    spark._jvm.System.gc()  # Spark's cleaner drops shuffle files whose plans are gone
+    gc.collect()
+    spark._jvm.System.gc()  # Spark's cleaner then drops shuffle files whose plans are gone
+    time.sleep(0.5)
     return spark.read.schema(df.schema).parquet(path)
 
 

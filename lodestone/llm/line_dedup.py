@@ -50,7 +50,7 @@ def _bucket(word: Column) -> Column:
 
 def rarity_classes(keyed: DataFrame) -> Column:
     """For each bucket the rounded-up logarithm of its words' count over all texts, as an array of BUCKETS numbers."""
-    counted = keyed.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy(_bucket(F.col("word")).alias("bucket"))
+    counted = keyed.select(F.explode(F.split(F.lower("text"), " ")).alias("word")).groupBy(_bucket(F.col("word")).alias("bucket"))
     classes = counted.agg(F.ceil(4 * F.log2(F.count("*") + 1)).cast("int").alias("class")).collect()  # at most BUCKETS rows
     found = {r["bucket"]: r["class"] for r in classes}
     return F.split(F.lit(",".join(str(found.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<bigint>")
@@ -99,15 +99,16 @@ def standing_lines(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ends = met.select(F.explode(F.array("x.at", "y.at")).alias("at")).distinct()
     by_doc = ends.groupBy(F.col("at.id").alias("id"), F.col("at.th").alias("th")).agg(F.collect_list("at").alias("wanted"))
     texts = _with_text(by_doc, keyed, "inner").select(F.explode("wanted").alias("at"), F.split("text", "\n").alias("lines"))
-    tokens = durable(texts.select("at", F.array_distinct(shingles(F.get("lines", F.col("at.line_no")))).alias("tokens")))
+    lines = durable(texts.select("at", F.get("lines", F.col("at.line_no")).alias("line")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(at) of the later lines of those pairs that reach the threshold."""
         pairs = pairs.select(F.col("y.at").alias("y"), F.col("x.at").alias("x")).distinct()
-        of = lambda c: tokens.select(F.col("at").alias(c), F.col("tokens").alias(f"t{c}"))
+        of = lambda c: lines.select(F.col("at").alias(c), F.col("line").alias(f"line_{c}"))
         both = pairs.join(of("y"), "y").join(of("x"), "x")
-        shared = F.size(F.array_intersect("tx", "ty"))
-        return both.where(shared >= threshold * (F.size("tx") + F.size("ty") - shared) - 1e-9).select(F.col("y").alias("at")).distinct()
+        sets = both.select("y", *(F.array_distinct(shingles(F.col(f"line_{c}"))).alias(f"t{c}") for c in "xy"))
+        counted = sets.select("y", F.size("tx").alias("nx"), F.size("ty").alias("ny"), F.size(F.array_intersect("tx", "ty")).alias("shared"))
+        return counted.where(F.col("shared") >= threshold * (F.col("nx") + F.col("ny") - F.col("shared")) - 1e-9).select(F.col("y").alias("at")).distinct()
 
     first_removed = durable(verified(met.where(_may_match("x", "y", threshold))))
     standing = met.where("rank > 2").join(first_removed.select(F.col("at").alias("gone")), F.col("y.at") == F.col("gone"), "left_anti").select("token", "y", "rank")
