@@ -33,20 +33,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, tidy: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage with files that survive lost executors. The files go
-    when the application ends, the finished job's shuffle files at once.
+    when the application ends. After a job with large shuffles ``tidy`` lets
+    Spark's cleaner drop the shuffle files whose plans are gone.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    gc.collect()
-    spark._jvm.System.gc()  # Spark's cleaner then drops shuffle files whose plans are gone
-    time.sleep(0.5)
+    if tidy:
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
     return spark.read.schema(df.schema).parquet(path)
 
 

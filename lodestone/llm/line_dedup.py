@@ -88,18 +88,18 @@ def standing_lines(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     prefix = F.slice("tokens", F.lit(1), n - F.ceil(threshold * n - 1e-9).cast("int") + 1)
     by_set = sets.select(F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), "tokens").alias("k2"), F.struct(*AT, n.alias("n"), F.when(n > 1, prefix).alias("prefix")).alias("first"))
     # A class is known by the place of its first line.
-    firsts = durable(by_set.groupBy("k1", "k2").agg(F.min("first").alias("f")).select("f.*"))
+    firsts = durable(by_set.groupBy("k1", "k2").agg(F.min("first").alias("f")).select("f.*"), tidy=True)
 
     at_token = firsts.select(F.posexplode("prefix").alias("j", "token"), *AT, "n")
     here = Window.partitionBy("token").orderBy(*AT)
     leader = [F.first(c).over(here).alias(f"first_{c}") for c in (*AT, "n", "j")]
     ranked = at_token.select("token", *AT, "n", "j", F.row_number().over(here).alias("rank"), *leader).where("rank > 1")
-    met = durable(ranked.select("token", "rank", F.struct(F.struct(*AT).alias("at"), "n", "j").alias("y"), F.struct(F.struct(*(F.col(f"first_{c}").alias(c) for c in AT)).alias("at"), F.col("first_n").alias("n"), F.col("first_j").alias("j")).alias("x")))
+    met = durable(ranked.select("token", "rank", F.struct(F.struct(*AT).alias("at"), "n", "j").alias("y"), F.struct(F.struct(*(F.col(f"first_{c}").alias(c) for c in AT)).alias("at"), F.col("first_n").alias("n"), F.col("first_j").alias("j")).alias("x")), tidy=True)
 
     ends = met.select(F.explode(F.array("x.at", "y.at")).alias("at")).distinct()
     by_doc = ends.groupBy(F.col("at.id").alias("id"), F.col("at.th").alias("th")).agg(F.collect_list("at").alias("wanted"))
     texts = _with_text(by_doc, keyed, "inner").select(F.explode("wanted").alias("at"), F.split("text", "\n").alias("lines"))
-    lines = durable(texts.select("at", F.get("lines", F.col("at.line_no")).alias("line")))
+    lines = durable(texts.select("at", F.get("lines", F.col("at.line_no")).alias("line")), tidy=True)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(at) of the later lines of those pairs that reach the threshold."""
@@ -110,7 +110,7 @@ def standing_lines(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         counted = sets.select("y", F.size("tx").alias("nx"), F.size("ty").alias("ny"), F.size(F.array_intersect("tx", "ty")).alias("shared"))
         return counted.where(F.col("shared") >= threshold * (F.col("nx") + F.col("ny") - F.col("shared")) - 1e-9).select(F.col("y").alias("at")).distinct()
 
-    first_removed = durable(verified(met.where(_may_match("x", "y", threshold))))
+    first_removed = durable(verified(met.where(_may_match("x", "y", threshold))), tidy=True)
     standing = met.where("rank > 2").join(first_removed.select(F.col("at").alias("gone")), F.col("y.at") == F.col("gone"), "left_anti").select("token", "y", "rank")
     earlier = met.select("token", F.col("y").alias("x"), F.col("rank").alias("earlier"))
     later = standing.join(earlier, "token").where((F.col("earlier") < F.col("rank")) & _may_match("x", "y", threshold))

@@ -167,9 +167,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other columns are not read.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(f"`{text_col}`").alias("text"))
-    signed = durable(_signed(rows))
+    signed = durable(_signed(rows), tidy=True)
     worded = signed.where("n > 0")
-    nodes = durable(worded.groupBy("k").agg(F.min(F.struct("id", "th", "bands", "sketch")).alias("f")).select("k", "f.*"))
+    nodes = durable(worded.groupBy("k").agg(F.min(F.struct("id", "th", "bands", "sketch")).alias("f")).select("k", "f.*"), tidy=True)
 
     in_band = nodes.select("k", F.explode("bands").alias("band"))
     centres = in_band.groupBy("band").agg(F.min("k").alias("a"), F.count("*").alias("size")).where("size > 1").select("band", "a")

@@ -252,8 +252,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(f"`{text_col}`").alias("text"))
     keyed = rows.select("id", _text_key(F.col("text")).alias("t"), "text")
-    texts = durable(keyed.groupBy("t").agg(F.count("*").alias("copies"), F.any_value("text").alias("text")))
-    ranges = durable(repeated_ranges(texts.select("t", "text"), length, k).groupBy("t").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")))
+    texts = durable(keyed.groupBy("t").agg(F.count("*").alias("copies"), F.any_value("text").alias("text")), tidy=True)
+    ranges = durable(repeated_ranges(texts.select("t", "text"), length, k).groupBy("t").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), tidy=True)
     joined = texts.join(ranges, "t", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
