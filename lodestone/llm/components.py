@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by label propagation with shortcuts."""
+"""Connected components of a table of links, by contraction."""
 
 from __future__ import annotations
 
@@ -11,18 +11,20 @@ from lodestone.llm.common import durable
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of ``links`` (a, b); a component is named by its smallest node.
 
-    Each round gives every node the smallest label among its neighbours, and
-    then that label's own label, until nothing changes. The labels stay in
-    tables that Spark writes; only a count comes to the driver.
+    Each round points every node to its smallest neighbour, follows the
+    pointers one step further, and keeps the links between what the nodes
+    point to. The links shrink until none is left. All tables are Spark's; only
+    whether links are left comes to the driver.
     """
-    both = durable(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
-    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
-    while True:
-        seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(seen, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        of = labels.select(F.col("node").alias("via"), F.col("label").alias("further"))
-        after = durable(lower.join(of, F.col("label") == F.col("via"), "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "was"))
-        changed = after.where("label != was").limit(1).count()
-        labels = after.select("node", "label")
-        if not changed:
-            return labels.select("node", F.col("label").alias("component"))
+    ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = durable(ends.where("a != b").distinct())
+    labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("label"))
+    while not edges.isEmpty():
+        near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("v")).agg(F.min("b").alias("b"))
+        first = durable(near.select("v", F.least("v", "b").alias("p")))
+        again = first.select(F.col("v").alias("w"), F.col("p").alias("q"))
+        to = durable(first.join(again, F.col("p") == F.col("w")).select("v", F.col("q").alias("p")))
+        labels = durable(labels.join(to, F.col("label") == F.col("v"), "left").select("node", F.coalesce("p", "label").alias("label")))
+        left = edges.join(to.select(F.col("v").alias("a"), F.col("p").alias("x")), "a").join(to.select(F.col("v").alias("b"), F.col("p").alias("y")), "b")
+        edges = durable(left.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    return labels.select("node", F.col("label").alias("component"))
