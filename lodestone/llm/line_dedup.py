@@ -106,9 +106,9 @@ def standing_lines(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         pairs = pairs.select(F.col("y.at").alias("y"), F.col("x.at").alias("x")).distinct()
         of = lambda c: lines.select(F.col("at").alias(c), F.col("line").alias(f"line_{c}"))
         both = pairs.join(of("y"), "y").join(of("x"), "x")
-        sets = both.select("y", *(F.array_distinct(shingles(F.col(f"line_{c}"))).alias(f"t{c}") for c in "xy"))
-        counted = sets.select("y", F.size("tx").alias("nx"), F.size("ty").alias("ny"), F.size(F.array_intersect("tx", "ty")).alias("shared"))
-        return counted.where(F.col("shared") >= threshold * (F.col("nx") + F.col("ny") - F.col("shared")) - 1e-9).select(F.col("y").alias("at")).distinct()
+        reaches = lambda a, b: bind(F.size(F.array_intersect(a, b)), lambda n: n >= threshold * (F.size(a) + F.size(b) - n) - 1e-9)
+        tokens = lambda c: F.array_distinct(shingles(F.col(f"line_{c}")))
+        return both.where(bind(tokens("x"), lambda a: bind(tokens("y"), lambda b: reaches(a, b)))).select(F.col("y").alias("at")).distinct()
 
     first_removed = durable(verified(met.where(_may_match("x", "y", threshold))), tidy=True)
     standing = met.where("rank > 2").join(first_removed.select(F.col("at").alias("gone")), F.col("y.at") == F.col("gone"), "left_anti").select("token", "y", "rank")
