@@ -7,7 +7,8 @@ global order, rare ones first, so that two sets of a Jaccard similarity of at
 least the threshold share a token in short prefixes. Classes meet at these
 prefix tokens, under length and positional filters, first each with the
 earliest class at its token, and only those that this leaves standing with all
-earlier ones. The survivors of the filters are verified exactly.
+earlier ones, where a bitmap of each set bounds how much two can share. The
+survivors of the filters are verified exactly.
 
 A line goes if an earlier line (by document id, then line number) has at least
 the threshold's similarity to it; all lines are judged on the input.
@@ -61,10 +62,10 @@ def ordered_tokens(line: Column, classes: Column) -> Column:
     mask = F.lit((1 << HASH_BITS) - 1)
 
     def keyed(w: Column) -> Column:
-        rare = lambda i: F.shiftleft(F.get(classes, _bucket(F.get(w, i))), HASH_BITS)
+        rare = lambda h: F.shiftleft(F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), HASH_BITS)
         at = F.sequence(F.lit(0), F.size(w) - SHINGLE_WORDS)
-        many = F.transform(at, lambda i: rare(i).bitwiseOR(F.xxhash64(*(F.get(w, i + k) for k in range(SHINGLE_WORDS))).bitwiseAND(mask)))
-        return F.when(F.size(w) >= SHINGLE_WORDS, many).otherwise(shingles_of(w))
+        many = lambda h: F.transform(at, lambda i: rare(F.get(h, i)).bitwiseOR(F.xxhash64(*(F.get(h, i + k) for k in range(SHINGLE_WORDS))).bitwiseAND(mask)))
+        return F.when(F.size(w) >= SHINGLE_WORDS, bind(F.transform(w, lambda x: F.xxhash64(x)), many)).otherwise(shingles_of(w))
 
     return F.sort_array(F.array_distinct(bind(words_of(line), keyed)))
 
@@ -80,6 +81,21 @@ def _may_match(x: str, y: str, threshold: float) -> Column:
     return (nx >= threshold * ny - 1e-9) & (ny >= threshold * nx - 1e-9) & (F.least(nx - jx, ny - jy) >= _least_common(nx, ny, threshold))
 
 
+def bitmap(hashes: Column) -> tuple[Column, Column]:
+    """128 bits, each the parity of how many of the hashes fall on it, as two numbers."""
+    bit = lambda of, h: F.call_function("shiftleft", of, h.bitwiseAND(63).cast("int"))
+    odd = F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(F.shiftright(h, 6).bitwiseAND(1), h)))
+    either = F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(F.lit(1).cast("long"), h)))
+    return either.bitwiseXOR(odd).alias("even"), odd.alias("odd")
+
+
+def _bits_allow(x: str, y: str, threshold: float) -> Column:
+    """Bitmap filter: the sets differ in at least as many tokens as their bitmaps in bits."""
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    differ = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in ("even", "odd")), F.lit(0))
+    return nx + ny - differ >= 2 * _least_common(nx, ny, threshold)
+
+
 def standing_lines(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The lines that stay, (id, th, line_no), among those with a word."""
     classes = rarity_classes(keyed)
@@ -91,30 +107,34 @@ def standing_lines(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     firsts = durable(by_set.groupBy("k1", "k2").agg(F.min("first").alias("f")).select("f.*"), tidy=True)
 
     at_token = firsts.select(F.posexplode("prefix").alias("j", "token"), *AT, "n")
-    here = Window.partitionBy("token").orderBy(*AT)
-    leader = [F.first(c).over(here).alias(f"first_{c}") for c in (*AT, "n", "j")]
-    ranked = at_token.select("token", *AT, "n", "j", F.row_number().over(here).alias("rank"), *leader).where("rank > 1")
-    met = durable(ranked.select("token", "rank", F.struct(F.struct(*AT).alias("at"), "n", "j").alias("y"), F.struct(F.struct(*(F.col(f"first_{c}").alias(c) for c in AT)).alias("at"), F.col("first_n").alias("n"), F.col("first_j").alias("j")).alias("x")), tidy=True)
+    here = Window.partitionBy("token").orderBy(*AT).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    leader = F.first(F.struct(F.struct(*AT).alias("at"), "n", "j")).over(here).alias("x")
+    ranked = at_token.select("token", *AT, "n", "j", F.row_number().over(here).alias("rank"), leader).where("rank > 1")
+    met = durable(ranked.select("token", "rank", F.struct(F.struct(*AT).alias("at"), "n", "j").alias("y"), "x"), tidy=True)
 
     ends = met.select(F.explode(F.array("x.at", "y.at")).alias("at")).distinct()
     by_doc = ends.groupBy(F.col("at.id").alias("id"), F.col("at.th").alias("th")).agg(F.collect_list("at").alias("wanted"))
     texts = _with_text(by_doc, keyed, "inner").select(F.explode("wanted").alias("at"), F.split("text", "\n").alias("lines"))
-    lines = durable(texts.select("at", F.get("lines", F.col("at.line_no")).alias("line")), tidy=True)
+    hashed = texts.select("at", F.array_distinct(shingles(F.get("lines", F.col("at.line_no")))).alias("hashes"))
+    lines = durable(hashed.select("at", "hashes", *bitmap(F.col("hashes"))), tidy=True)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(at) of the later lines of those pairs that reach the threshold."""
-        pairs = pairs.select(F.col("y.at").alias("y"), F.col("x.at").alias("x")).distinct()
-        of = lambda c: lines.select(F.col("at").alias(c), F.col("line").alias(f"line_{c}"))
-        both = pairs.join(of("y"), "y").join(of("x"), "x")
-        reaches = lambda a, b: bind(F.size(F.array_intersect(a, b)), lambda n: n >= threshold * (F.size(a) + F.size(b) - n) - 1e-9)
-        tokens = lambda c: F.array_distinct(shingles(F.col(f"line_{c}")))
-        return both.where(bind(tokens("x"), lambda a: bind(tokens("y"), lambda b: reaches(a, b)))).select(F.col("y").alias("at")).distinct()
-
-    first_removed = durable(verified(met.where(_may_match("x", "y", threshold))), tidy=True)
-    standing = met.where("rank > 2").join(first_removed.select(F.col("at").alias("gone")), F.col("y.at") == F.col("gone"), "left_anti").select("token", "y", "rank")
-    earlier = met.select("token", F.col("y").alias("x"), F.col("rank").alias("earlier"))
-    later = standing.join(earlier, "token").where((F.col("earlier") < F.col("rank")) & _may_match("x", "y", threshold))
-    gone = first_removed.unionByName(verified(later)).distinct()
+        """(at) of the later lines of those pairs (y, x) that reach the threshold."""
+        of = lambda c: lines.select(F.col("at").alias(c), F.col("hashes").alias(f"of_{c}"))
+        both = pairs.distinct().join(of("y"), "y").join(of("x"), "x")
+        sized = both.select("y", F.size("of_x").alias("nx"), F.size("of_y").alias("ny"), F.size(F.array_intersect("of_x", "of_y")).alias("shared"))
+        return sized.where(F.col("shared") >= threshold * (F.col("nx") + F.col("ny") - F.col("shared")) - 1e-9).select(F.col("y").alias("at")).distinct()
+
+    with_leader = met.where(_may_match("x", "y", threshold)).select(F.col("y.at").alias("y"), F.col("x.at").alias("x"))
+    first_removed = durable(verified(with_leader), tidy=True)
+    marked = first_removed.select("at", F.lit(True).alias("gone"))
+    members = met.select("token", "rank", "y.*").join(lines.select("at", "even", "odd"), "at").join(marked, "at", "left")
+    members = members.select("token", "rank", "gone", F.struct("at", "n", "j", "even", "odd").alias("y"))
+    later = members.where(F.col("gone").isNull() & (F.col("rank") > 2)).select("token", "rank", "y")
+    earlier = members.select("token", F.col("rank").alias("earlier"), F.col("y").alias("x"))
+    met_later = later.join(earlier, "token").where((F.col("earlier") < F.col("rank")) & _may_match("x", "y", threshold) & _bits_allow("x", "y", threshold))
+    last_removed = durable(verified(met_later.select(F.col("y.at").alias("y"), F.col("x.at").alias("x"))), tidy=True)
+    gone = first_removed.unionByName(last_removed)
     return firsts.select(F.struct(*AT).alias("at")).join(gone, "at", "left_anti").select("at.*")
 
 
