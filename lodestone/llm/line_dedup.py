@@ -108,9 +108,9 @@ def standing_lines(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     at_token = firsts.select(F.posexplode("prefix").alias("j", "token"), *AT, "n")
     here = Window.partitionBy("token").orderBy(*AT).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    leader = F.first(F.struct(F.struct(*AT).alias("at"), "n", "j")).over(here).alias("x")
-    ranked = at_token.select("token", *AT, "n", "j", F.row_number().over(here).alias("rank"), leader).where("rank > 1")
-    met = durable(ranked.select("token", "rank", F.struct(F.struct(*AT).alias("at"), "n", "j").alias("y"), "x"), tidy=True)
+    leader = [F.first(c).over(here).alias(f"first_{c}") for c in (*AT, "n", "j")]  # plain columns: a struct would be shuffled beside them
+    ranked = at_token.select("token", *AT, "n", "j", F.row_number().over(here).alias("rank"), *leader).where("rank > 1")
+    met = durable(ranked.select("token", "rank", F.struct(F.struct(*AT).alias("at"), "n", "j").alias("y"), F.struct(F.struct(*(F.col(f"first_{c}").alias(c) for c in AT)).alias("at"), F.col("first_n").alias("n"), F.col("first_j").alias("j")).alias("x")), tidy=True)
 
     ends = met.select(F.explode(F.array("x.at", "y.at")).alias("at")).distinct()
     by_doc = ends.groupBy(F.col("at.id").alias("id"), F.col("at.th").alias("th")).agg(F.collect_list("at").alias("wanted"))
