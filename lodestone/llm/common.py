@@ -46,9 +46,10 @@ def durable(df: DataFrame, tidy: bool = False) -> DataFrame:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     if tidy:
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
+        for _ in range(2):  # what the first collection finds only lets the second one reach the shuffles
+            gc.collect()
+            spark._jvm.System.gc()
+            time.sleep(0.5)
     return spark.read.schema(df.schema).parquet(path)
 
 
