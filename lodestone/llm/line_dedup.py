@@ -85,8 +85,8 @@ def bitmap(hashes: Column) -> tuple[Column, Column]:
     """128 bits, each the parity of how many of the hashes fall on it, as two numbers."""
     bit = lambda of, h: F.call_function("shiftleft", of, h.bitwiseAND(63).cast("int"))
     odd = F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(F.shiftright(h, 6).bitwiseAND(1), h)))
-    either = F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(F.lit(1).cast("long"), h)))
-    return either.bitwiseXOR(odd).alias("even"), odd.alias("odd")
+    even = F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(F.lit(1) - F.shiftright(h, 6).bitwiseAND(1), h)))
+    return even.alias("even"), odd.alias("odd")
 
 
 def _bits_allow(x: str, y: str, threshold: float) -> Column:
@@ -114,8 +114,9 @@ def standing_lines(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     ends = met.select(F.explode(F.array("x.at", "y.at")).alias("at")).distinct()
     by_doc = ends.groupBy(F.col("at.id").alias("id"), F.col("at.th").alias("th")).agg(F.collect_list("at").alias("wanted"))
-    texts = _with_text(by_doc, keyed, "inner").select(F.explode("wanted").alias("at"), F.split("text", "\n").alias("lines"))
-    hashed = texts.select("at", F.array_distinct(shingles(F.get("lines", F.col("at.line_no")))).alias("hashes"))
+    of_wanted = lambda lines: F.transform("wanted", lambda at: F.struct(at.alias("at"), F.get(lines, at["line_no"]).alias("line")))
+    texts = _with_text(by_doc, keyed, "inner").select(F.inline(bind(F.split("text", "\n"), of_wanted)))  # one split for all lines of a text
+    hashed = texts.select("at", F.array_distinct(shingles(F.col("line"))).alias("hashes"))
     lines = durable(hashed.select("at", "hashes", *bitmap(F.col("hashes"))), tidy=True)
 
     def verified(pairs: DataFrame) -> DataFrame:
