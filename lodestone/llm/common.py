@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -9,6 +10,7 @@ import time
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +93,15 @@ def slices(texts: list, most_chars: int = 1 << 19) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system; Spark keeps idle workers beside later jobs' heaps."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def worker_path(spark: SparkSession) -> None:
     """Let Python workers of this session import the package from where the driver has it."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
