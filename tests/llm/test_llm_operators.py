@@ -263,6 +263,25 @@ def test_decontamination(spark, docs_of, words):  # noqa: ANN001
     assert decontamination.contaminated(docs_of([]), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_decontamination_of_reordered_items(spark, docs_of, words):  # noqa: ANN001
+    x = words(60, 200)
+    y = words(60, 201)
+    parts = [*y[40:], *y[20:40], *y[:20]]
+    rows = [(1, " ".join([*words(50, 1), *x[30:], *x[:30], *words(50, 2)])), (2, " ".join([*x[30:], *x[:30]])), (3, " ".join([*words(9, 3), *parts, *words(9, 4)])), (4, " ".join([*x[30:], *words(30, 5), *x[:30]]))]
+    items = {0: x, 1: y, 2: ["la"] * 50}
+    rows.append((5, " ".join([*words(7, 6), *["la"] * 47, *words(20, 7)])))
+    got = {(r["doc_id"], r["item_id"]): (r["start_word"], r["similarity"]) for r in decontamination.contaminated(docs_of([*rows, rows[0]]), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")).collect()}
+    want = {}
+    for i, t in rows:
+        w = t.split()
+        for j, v in items.items():
+            best = max((jaccard(shingle_counts(" ".join(w[s : s + len(v)])), shingle_counts(" ".join(v))), -s) for s in range(max(1, len(w) - len(v) + 1)))
+            if best[0] >= 0.8 - 1e-9:
+                want[(i, j)] = (-best[1], best[0])
+    assert {(1, 0), (2, 0), (5, 2)} <= want.keys() and got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
 def substring_brute(rows, length):  # noqa: ANN001, ANN201
     raw = [(i, (t or "").encode()) for i, t in rows]
     n = Counter(b[p : p + length] for _, b in raw for p in range(len(b) - length + 1))
