@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,6 +44,9 @@ STOP_WORDS = {
 SILENT_TAGS, NEVER_TAGS, BLOCK_TAGS = (frozenset(x.split()) for x in (SILENT, NEVER, BLOCKS))
 BAD_WORDS, GOOD_WORDS, BAD_ROLE_WORDS = (frozenset(x.split()) for x in (BAD_NAMES, GOOD_NAMES, BAD_ROLES))
 STOPS = frozenset(w for x in STOP_WORDS.values() for w in x.split())
+RAW_TAGS = frozenset(["script", "style", "textarea", "title"])
+#: Silent elements that don't hold one of their own kind: the next one ends one that is still open.
+FLAT_TAGS = frozenset(["head", "noscript", "iframe", "select", "option", "button", "audio", "video"])
 VOID_TAGS = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"])
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+(?:>|\Z))|<[!?/][^>]*+(?:>|\Z)""", re.S)
@@ -101,12 +105,77 @@ def _barred(tag: str, attributes: str, in_article: bool) -> bool:
     return bool(words & BAD_WORDS) and (not words & GOOD_WORDS or bool(words & {"comment", "comments", "sidebar", "related", "ad", "ads"}))
 
 
+def _tags(page: str) -> list[tuple[int, int, bool, str, str]]:
+    """(start, end, whether an end tag, element, attributes) of all markup; the element is empty for comments and for raw text with its tags."""
+    tags, at, drawn = [], 0, 0
+    endless: set[str] = set()
+    while m := MARKUP.search(page, at):
+        at, tag, alone = m.end(), (m[2] or "").lower(), (m[3] or "").rstrip(">").endswith("/")
+        if tag in ("svg", "math") and not (alone and not m[1]):
+            drawn = max(0, drawn - 1) if m[1] else drawn + 1
+        if tag in RAW_TAGS and not m[1]:
+            end = None
+            if not alone or tag in ("script", "style") and not drawn:
+                end = None if tag in endless else re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+                if not end:
+                    endless.add(tag)
+            if end:
+                at = end.end()
+            elif tag in ("script", "style") and not (alone and drawn):
+                at = len(page)
+            if end or alone or tag in ("script", "style"):
+                tag = ""
+        tags.append((m.start(), at, bool(m[1]), tag, m[3] or ""))
+    return tags
+
+
+def _ends(tags: list[tuple[int, int, bool, str, str]]) -> dict[int, tuple[int, bool]]:
+    """For each silent start tag the tag that ends it at the latest, and whether that is its own end tag.
+
+    One without its own is ended by the end of a block around it, by the next of
+    its kind where it can't hold one, or for a head by a body or a block.
+    """
+    held: list[tuple[str, int]] = []
+    count: Counter[str] = Counter()
+    found: dict[int, tuple[int, bool]] = {}
+
+    def end(kind: str, i: int, own: bool) -> None:
+        while True:
+            tag, k = held.pop()
+            count[tag] -= 1
+            if tag in SILENT_TAGS:
+                found[k] = (i, own and tag == kind)
+            if tag == kind:
+                break
+
+    for i, (_, _, closing, tag, attributes) in enumerate(tags):
+        if tag not in SILENT_TAGS and tag not in BLOCK_TAGS:
+            continue
+        if closing:
+            if count[tag]:
+                end(tag, i, True)
+            continue
+        if count["head"] and (tag == "body" or (held[-1][0] == "head" and tag in BLOCK_TAGS)):
+            end("head", i, False)
+        if tag in FLAT_TAGS and count[tag]:
+            end(tag, i, False)
+        if tag not in VOID_TAGS and not (tag in SILENT_TAGS and attributes.rstrip(">").endswith("/")):
+            held.append((tag, i))
+            count[tag] += 1
+    found |= {k: (len(tags), False) for tag, k in held if tag in SILENT_TAGS}
+    return found
+
+
 def blocks(page: str) -> list[Block]:
-    """The non-empty blocks of a page in order; markup may be broken or cut off anywhere."""
+    """The non-empty blocks of a page in order; markup may be broken or cut off anywhere.
+
+    A silent element with an end tag is left out whole. One without is silent up
+    to the first block, the body or the end of what is around it.
+    """
     found: list[Block] = []
     parts: list[tuple[str, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # element, barred, in article
-    links, at, silent = 0, 0, ""
+    links, at, silent = 0, 0, None
     barred = in_article = False
 
     def flush() -> None:
@@ -121,38 +190,39 @@ def blocks(page: str) -> list[Block]:
         del stack[to:]
         barred, in_article = stack[-1][1:] if stack else (False, False)
 
+    tags = _tags(page)
+    ends = _ends(tags)
+    i = 0
     while at < len(page):
-        m = MARKUP.search(page, at)
-        text = page[at : m.start() if m else len(page)]
-        if text and not silent:
+        start, end, closing, tag, attributes = tags[i] if i < len(tags) else (len(page), len(page), False, "", "")
+        text = page[at:start]
+        if silent is not None and (i >= silent or (not closing and (tag in BLOCK_TAGS or tag == "body"))):
+            text, silent = "", None
+        if text and silent is None:
             parts.append((text, links > 0))
-        if m is None:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
+        at = end
+        i += 1
         if not tag:
             continue
-        if m[1]:  # an end tag
-            if tag == silent:
-                silent = ""
-            elif not silent:
+        if closing:
+            if silent is None:
                 if tag == "a":
                     links = max(0, links - 1)
                 if tag in BLOCK_TAGS:
                     flush()
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+                depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
                 if depth is not None:
                     closed(depth)
             continue
-        if silent:
-            continue
         if tag in SILENT_TAGS:
-            if not m[3].rstrip(">").endswith("/") or tag in ("script", "style"):
-                if tag in ("script", "style", "textarea", "title"):  # raw text up to its own end tag
-                    end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-                    at = end.end() if end else len(page)
-                else:
-                    silent = tag
+            last, own = ends.get(i - 1, (i, None))
+            if own:  # what it holds is left out
+                i = last + 1
+                at = tags[last][1]
+            elif own is False and silent is None:
+                silent = last
+            continue
+        if silent is not None:
             continue
         if tag == "br":
             parts.append((" ", links > 0))
@@ -163,9 +233,9 @@ def blocks(page: str) -> list[Block]:
             links = 0
             if tag == "p" and stack and stack[-1][0] == "p":
                 closed(len(stack) - 1)
-        if tag not in VOID_TAGS and (tag in BLOCK_TAGS or "class" in m[3] or "hidden" in m[3]):
-            inside = in_article or tag in ("article", "main") or 'role="main"' in m[3]
-            if _barred(tag, m[3], inside) and not barred:
+        if tag not in VOID_TAGS and (tag in BLOCK_TAGS or "class" in attributes or "hidden" in attributes):
+            inside = in_article or tag in ("article", "main") or 'role="main"' in attributes
+            if _barred(tag, attributes, inside) and not barred:
                 flush()
                 barred = True
             in_article = inside

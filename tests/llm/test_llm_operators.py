@@ -144,6 +144,17 @@ def test_html():
     assert html.main_text(plain) == "\n".join([text.strip(), "Short © one.", text.strip()])
 
 
+def test_html_with_unclosed_silent_elements():
+    body = "<article><p>First part.</p><div>{}</div><p>Second part.</p></article>"
+    want = "First part.\nSecond part."
+    for head in ("<head><title>T</title><meta charset=x><body>", "<head><title>T</title><noscript><p>No</p></noscript>", "<head><title>T<noscript><link rel=x><body>", "<head><title>T</title></head><body>"):
+        for part in ("", "<button>Share", "<iframe src=x>No", "<video><source src=x>No", "<svg><path d=x>", "<select><option>A<option>B", "<button>A<button>B</button>", "<noscript>No", "<object>No"):
+            assert html.main_text(f"<html>{head}{body.format(part)}</html>") == want, (head, part)
+    assert html.main_text("<article><p>First part.</p><button>Share<p>Second part.</p></article>") == want
+    assert html.main_text("<article><p>First part.</p><button><div>Share</div></button><svg><svg></svg><text>No</text></svg><video><p>No</p></video><p>Second part.</p></article>") == want
+    assert html.main_text("<article><p>First part.</p><template><p>No</p></template><p>Second part.</p><button>cut o") == want
+
+
 def test_html_table(spark):  # noqa: ANN001
     pages = spark.createDataFrame([(1, "u", None, 5), (2, None, "<article>x y</article>", 5), (2, None, "<article>x y</article>", 6)], "page_id long, url string, html string, id int")
     assert sorted(map(tuple, html.extract(pages).collect()), key=str) == [(1, "u", "", 0), (2, None, "x y", 3), (2, None, "x y", 3)]
