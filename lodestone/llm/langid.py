@@ -23,15 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import durable, give_back, lowest_hashes, small_batches, text_of
+from lodestone.llm.common import durable, give_back, small_batches, text_of
 
 ORDER = 4
 NO_LETTER = "und"
 #: At most so many 4-grams of each language, the most frequent, and so many languages enter the models.
 MOST_GRAMS = 200_000
 MOST_LANGS = 200
-#: The calibration scores at most so many training texts, those of the lowest id hashes.
+#: The calibration scores at most so many training texts of each language, those of the lowest id hashes.
 CALIBRATION_ROWS = 4000
+#: A language with fewer calibration texts takes the spread around its median from all languages.
+OWN_ROWS = 20
+#: A text is rejected where its cross-entropy is this many times that of the worst unseen texts of its language.
+CEILING_MARGIN = 1.4
 #: Distinct counts that a counting task holds before it passes them on.
 HELD_GRAMS = 1_000_000
 DISCOUNT = 0.75
@@ -225,8 +229,9 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", i
     """Models of the languages of ``labelled``, from all its rows with a text and a language.
 
     The 4-gram counts cover every row. Only the most frequent MOST_GRAMS of a
-    language reach the driver; CALIBRATION_ROWS rows fix the score's sharpness
-    and each language's ceiling for rejection.
+    language reach the driver. Up to CALIBRATION_ROWS rows of each language fix
+    the score's sharpness and the language's ceiling for rejection, judged by
+    models without the counts of these rows.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id")).where("lang is not null and text is not null")
@@ -236,47 +241,76 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", i
     upto = steps.select("lang", "step", F.sum("k").over(Window.partitionBy("lang").orderBy(F.desc("step"))).alias("k"))
     least = upto.where(F.col("k") <= MOST_GRAMS).groupBy("lang").agg(F.min("step").alias("least"), F.max("k").alias("size"))
     chosen = least.orderBy(F.desc("size"), "lang").limit(MOST_LANGS)
-    kept = counted.join(F.broadcast(chosen), "lang").where(F.floor(F.log2("n") * 8) >= F.col("least")).select("lang", "gram", "n").toArrow()
+    kept = counted.join(F.broadcast(chosen), "lang").where(F.floor(F.log2("n") * 8) >= F.col("least")).select("lang", "gram", "n")
+    sample = durable(_calibration_sample(rows, chosen.select("lang")))
+    seen = sample.select("lang", "text").mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("m"))
+    kept = kept.join(seen, ["lang", "gram"], "left").select("lang", "gram", "n", (F.col("n") - F.coalesce("m", F.lit(0))).alias("rest")).toArrow()
     langs = np.array(kept.column("lang").to_pylist(), object)
-    g, n = kept.column("gram").to_numpy().view(np.uint64), kept.column("n").to_numpy()
-    counts = {}
+    g, n, rest = kept.column("gram").to_numpy().view(np.uint64), kept.column("n").to_numpy(), kept.column("rest").to_numpy()
+    counts, unseen = {}, {}
     for lang in sorted(set(langs)):
-        own = langs == lang
-        order = np.argsort(g[own])
-        counts[lang] = (g[own][order], n[own][order])
+        own = np.flatnonzero(langs == lang)
+        own = own[np.argsort(g[own])]
+        counts[lang] = (g[own], n[own])
+        own = own[rest[own] > 0]
+        if len(own):
+            unseen[lang] = (g[own], rest[own])
     models = LanguageModels.of(counts)
     if counts:
-        _calibrate(models, rows)
+        _calibrate(models, LanguageModels.of(unseen), sample)
     return models
 
 
-def _calibrate(models: LanguageModels, rows: DataFrame) -> None:
-    shared = rows.sparkSession.sparkContext.broadcast(models)
-    sample = lowest_hashes(rows.withColumn("h", F.xxhash64("id", F.length("text"))), "h", CALIBRATION_ROWS, rows.count())
+def _calibration_sample(rows: DataFrame, langs: DataFrame) -> DataFrame:
+    """(lang, text, weight): of each language a tenth of its rows, OWN_ROWS at least unless that is over half, CALIBRATION_ROWS at most.
+
+    The weight is the number of rows that a row of the sample stands for.
+    """
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("total")).join(F.broadcast(langs), "lang")
+    wanted = F.least(F.lit(CALIBRATION_ROWS), F.greatest(F.floor(F.col("total") / 10), F.least(F.lit(OWN_ROWS), F.floor(F.col("total") / 2))))
+    sizes = sizes.withColumn("wanted", wanted).where("wanted > 0")
+    hashed = rows.withColumn("h", F.xxhash64("id", F.length("text"))).withColumn("share", F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)))
+    # About 1.5 times the wanted rows are sorted, whatever the input.
+    low = hashed.join(F.broadcast(sizes), "lang").where(F.col("share") < (1.5 * F.col("wanted") + 100) / F.col("total"))
+    first = low.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("share", "h"))).where(F.col("k") <= F.col("wanted"))
+    return first.select("lang", "text", (F.col("total") / F.col("wanted")).alias("weight"))
+
+
+def _calibrate(models: LanguageModels, judges: LanguageModels, sample: DataFrame) -> None:
+    """Sharpness and ceilings from the sample, which the judges haven't seen."""
+    steps = 2.0 ** np.arange(-8, 2)
+    shared = sample.sparkSession.sparkContext.broadcast(judges)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = {x: i for i, x in enumerate(shared.value.langs)}
         for b in batches:
+            at = np.array([index.get(x, -1) for x in b.column("lang").to_pylist()], int)
             ce, letters = shared.value.cross_entropies(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(list(ce), pa.list_(pa.float64())), pa.array(letters)], ["lang", "ce", "letters"])
+            use = np.flatnonzero((at >= 0) & (letters > 0))
+            ce, letters, own = ce[use], letters[use], ce[use, at[use]]
+            losses = np.zeros((len(use), len(steps)))
+            for k, sharpness in enumerate(steps):
+                z = -sharpness * np.minimum(letters, 200)[:, None] * (ce - ce.min(1, keepdims=True))
+                losses[:, k] = -np.maximum(z[np.arange(len(use)), at[use]] - np.log(np.exp(z).sum(1)), -50)
+            yield pa.RecordBatch.from_arrays([b.column("lang").take(pa.array(use)), pa.array(own), pa.array(list(losses), pa.list_(pa.float64())), b.column("weight").take(pa.array(use))], ["lang", "own", "losses", "weight"])
         give_back()
 
-    got = sample.select("lang", "text").mapInArrow(score, "lang string, ce array<double>, letters long").where("letters > 0").toArrow()
-    ce, letters = np.array(got.column("ce").to_pylist()).reshape(-1, len(models.langs)), got.column("letters").to_numpy()
-    index = {x: i for i, x in enumerate(models.langs)}
-    own = np.array([index.get(x, -1) for x in got.column("lang").to_pylist()], int)
-    ce, letters, own = ce[own >= 0], letters[own >= 0], own[own >= 0]
-    if not len(own):
+    # Where no row could be held back, random letters are the ceiling.
+    models.ceilings = np.array([-np.log(m.floor) for m in models.models])
+    if not judges.langs:
+        return
+    got = sample.mapInArrow(score, "lang string, own double, losses array<double>, weight double").toArrow()
+    shared.destroy()
+    if not len(got):
         return
-    losses = {}
-    for sharpness in 2.0 ** np.arange(-8, 2):
-        z = -sharpness * np.minimum(letters, 200)[:, None] * (ce - ce.min(1, keepdims=True))
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
-        losses[sharpness] = -np.maximum(z[np.arange(len(own)), own], -50).mean()
-    models.sharpness = float(min(losses, key=losses.get))
-    means = [ce[own == i, i] for i in range(len(models.langs))]
-    uniform = np.array([-np.log(m.floor) for m in models.models])
-    # Halfway from the worst training texts to characters drawn at random.
-    models.ceilings = np.array([(np.quantile(x, 0.999) + u) / 2 if len(x) >= 20 else np.inf for x, u in zip(means, uniform, strict=True)])
+    langs, own = np.array(got.column("lang").to_pylist(), object), got.column("own").to_numpy()
+    losses = np.array(got.column("losses").to_pylist()).reshape(-1, len(steps))
+    models.sharpness = float(steps[np.average(losses, 0, got.column("weight").to_numpy()).argmin()])
+    found = {x: own[langs == x] for x in set(langs)}
+    large = [x for x in found.values() if len(x) >= OWN_ROWS] or list(found.values())
+    spread = np.quantile(np.concatenate([x / np.median(x) for x in large]), 0.999)
+    worst = {k: np.quantile(x, 0.999) if len(x) >= OWN_ROWS else np.median(x) * spread for k, x in found.items()}
+    models.ceilings = CEILING_MARGIN * np.array([worst.get(x, max(worst.values())) for x in models.langs])
 
 
 def identify(docs: DataFrame, models: LanguageModels, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

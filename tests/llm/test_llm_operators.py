@@ -108,6 +108,19 @@ def test_language_id(spark):  # noqa: ANN001
     assert {r["lang_pred"] for r in langid.identify(odd, nothing).collect()} == {"und"}
 
 
+def test_rare_language_has_a_ceiling(spark, words):  # noqa: ANN001
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    greek = str.maketrans("abdehiklmnorstu", "αβδεηικλμνορστυ")
+    rare = [(10_000_000 + i, " ".join(words(80, i)).translate(greek), "xx") for i in range(14)] + [(20_000_000, " ".join(words(60, 99)).translate(str.maketrans("abdehiklmnorstu", "абдехиклмнорсту")), "yy")]
+    models = langid.train(base.unionByName(spark.createDataFrame(rare[:12] + rare[14:], base.schema)))
+    assert models.langs == ["de", "en", "es", "fr", "xx", "yy"] and np.isfinite(models.ceilings).all()
+    noise = "".join(chr(0x5000 + i * 37) for i in range(300))
+    lang, _, _, rejected = models.decide([rare[12][1], rare[13][1], noise])
+    assert lang[:2] == ["xx", "xx"] and lang[2] in ("xx", "yy") and list(rejected) == [False, False, True]
+    alone = langid.train(spark.createDataFrame(rare[14:], base.schema))
+    assert np.isfinite(alone.ceilings).all()
+
+
 def test_kneser_ney_sums_to_one():
     s, _ = langid.symbols(["the cat sat on the mat and the rat", "a cat ate that"])
     g = langid.grams(s)
