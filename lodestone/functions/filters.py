@@ -2,9 +2,12 @@
 
 A node holds one operator: ``and``, ``or``, ``not``, ``eq``, ``in``, ``range``,
 ``like`` or ``contains``; of several the first in that order counts, and an
-unknown or empty node is true. Two modes exist. ``sql`` compares attribute
-values as text under three-valued logic. ``typed`` compares native values
-under two-valued logic, and ``like`` is a plain substring test there.
+unknown or empty node is true. The body of ``eq``, ``in`` and ``like`` is
+``[field, value]`` or ``{field: value, ...}``, that of ``range`` ``{field:
+[low, high]}``. Two modes exist. ``sql`` compares attribute values as text
+under three-valued logic. ``typed`` compares numbers as numbers under
+two-valued logic, and ``like`` is a plain substring test there. A value that
+isn't of the other side's kind is no match and no error, in either mode.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Resolver = Callable[[str], Column]
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
 @dataclass
@@ -32,53 +36,88 @@ def json_path(path: str) -> str:
     return "$" + "".join(f"['{part}']" for part in path.split("."))
 
 
-def record_field(attributes: str = "attributes", columns: tuple[str, ...] = ("id", "content", "ts")) -> Resolver:
-    """Own columns by name (``timestamp`` for ts), anything else by its dotted path in the JSON attributes."""
+@dataclass(frozen=True)
+class Fields:
+    """Where fields are: columns by name, anything else by its dotted path in the JSON column ``attributes``."""
 
-    def resolve(name: str) -> Column:
+    kinds: dict[str, str]
+    attributes: str | None = None
+
+    def _name(self, name: str) -> str:
         name = name.removeprefix("attributes.")
-        if name == "timestamp" and "ts" in columns:
-            name = "ts"
-        if name in columns:
-            return F.col(name)
-        return F.get_json_object(F.col(attributes), json_path(name)) if name else F.col(attributes)
+        return "ts" if name == "timestamp" and "ts" in self.kinds and "timestamp" not in self.kinds else name
+
+    def __call__(self, name: str) -> Column:
+        name = self._name(name)
+        if name in self.kinds or not self.attributes:
+            return F.col(f"`{name}`")
+        return F.get_json_object(F.col(self.attributes), json_path(name)) if name else F.col(self.attributes)
+
+    def kind(self, name: str) -> str:
+        """The column's type, or json for a path."""
+        return self.kinds.get(self._name(name), "json")
 
-    return resolve
 
+def record_field(attributes: str = "attributes") -> Fields:
+    """The fields of a record table: id, content and ts (also as timestamp), the rest in its JSON attributes."""
+    return Fields({"id": "string", "content": "string", "ts": "timestamp_ntz"}, attributes)
 
-def table_field(df: DataFrame, attributes: str | None = None) -> Resolver:
+
+def table_field(df: DataFrame, attributes: str | None = None) -> Fields:
     """The columns of ``df``, and paths in a JSON column if one is named."""
-    return record_field(attributes or "", tuple(df.columns)) if attributes else lambda name: F.col(name)
+    return Fields({f.name: f.dataType.simpleString() for f in df.schema.fields}, attributes)
+
 
+def _as_text(x: Any) -> str:
+    return x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
 
-def compile_filter(expr: dict | None, resolve: Resolver, mode: str = "sql", attributes: str = "attributes") -> Column:
+
+def _is_number(x: Any) -> bool:
+    return isinstance(x, (int, float)) and not isinstance(x, bool)
+
+
+def compile_filter(expr: dict | None, resolve: Resolver, mode: str = "sql", attributes: str | None = "attributes") -> Column:
     """The predicate of a filter expression."""
     typed = mode == "typed"
     whole = lambda c: F.coalesce(c, F.lit(False)) if typed else c
-
-    def value(column: Column, x: Any) -> tuple[Column, Column]:
-        """Both sides of a comparison: text stays text, and a number beside JSON text is compared as JSON text."""
-        return column, F.lit(json.dumps(x) if isinstance(x, (bool, dict, list)) else x)
+    kind_of = getattr(resolve, "kind", lambda name: "json")
+
+    def sides(name: str, x: Any) -> tuple[Column, Column]:
+        """Both sides of a comparison, of one type, null where a value isn't of it."""
+        column, kind = resolve(name), kind_of(name)
+        if kind in ("json", "string"):
+            if typed and kind == "json" and _is_number(x):
+                return column.try_cast("double"), F.lit(float(x))
+            return column, F.lit(None if x is None else x if hasattr(x, "isoformat") else _as_text(x)).cast("string")
+        if kind.startswith(NUMBERS):
+            return (column, F.lit(x)) if _is_number(x) else (column, F.lit(None if x is None else _as_text(x)).try_cast(kind))
+        return column, F.lit(x).try_cast(kind) if isinstance(x, str) else F.lit(x)
+
+    def between(name: str, low: Any, high: Any) -> Column:
+        column, kind = resolve(name), kind_of(name)
+        if kind in ("json", "string") and _is_number(low) and _is_number(high):
+            column = column.try_cast("double")
+            return column.between(F.lit(float(low)), F.lit(float(high)))
+        return column.between(sides(name, low)[1], sides(name, high)[1])
 
     def leaf(op: str, body: Any) -> Column:
         if op == "contains":
-            parts = [_contains(attributes, (k,), v) for k, v in body.items()]
-            return _all(parts)
-        if op == "range" and len(body) != 1:
+            return _all([_contains(attributes, (k,), v) for k, v in (body or {}).items()]) if attributes else F.lit(True)
+        pairs = list(body.items()) if isinstance(body, dict) else [(str(body[0]), body[1])]
+        if op == "range" and len(pairs) != 1:
             raise ValueError("a range node takes exactly one field")
         parts = []
-        for name, x in body.items():
-            column = resolve(name)
+        for name, x in pairs:
             if op == "eq":
-                parts.append(column.isNull() if x is None and typed else F.equal_null(*value(column, x)) if typed else value(column, x)[0] == value(column, x)[1])
+                a, b = sides(name, x)
+                parts.append(a.isNull() if x is None and typed else a == b)
             elif op == "in":
-                parts.append(column.isin([value(column, y)[1] for y in x]) if x else F.lit(False))
+                parts.append(_any([a.isNull() if y is None and typed else a == b for y in x for a, b in [sides(name, y)]]))
             elif op == "range":
-                low, high = x
-                numeric = all(isinstance(y, (int, float)) and not isinstance(y, bool) for y in (low, high))
-                parts.append((column.cast("double") if numeric else column).between(F.lit(low), F.lit(high)))
+                parts.append(between(name, *x))
             else:
-                parts.append(F.contains(F.coalesce(column.cast("string"), F.lit("")), F.lit(x.replace("%", ""))) if typed else column.like(x))
+                text = resolve(name).cast("string")
+                parts.append(F.contains(F.coalesce(text, F.lit("")), F.lit(_as_text(x).replace("%", ""))) if typed else text.like(_as_text(x)))
         return _all(parts)
 
     def node(x: dict | None) -> Column:
@@ -86,9 +125,9 @@ def compile_filter(expr: dict | None, resolve: Resolver, mode: str = "sql", attr
             if x and op in x:
                 body = x[op]
                 if op == "and":
-                    return _all([node(y) for y in body])
+                    return _all([node(y) for y in body or []])
                 if op == "or":
-                    return _any([node(y) for y in body])
+                    return _any([node(y) for y in body or []])
                 return ~node(body) if op == "not" else whole(leaf(op, body))
         return F.lit(True)
 
@@ -120,7 +159,7 @@ def _contains(attributes: str, path: tuple[str, ...], x: Any) -> Column:
     return here == F.lit(x if isinstance(x, str) else json.dumps(x))
 
 
-def apply_filter(df: DataFrame, spec: Filter, resolve: Resolver | None = None, mode: str = "sql", attributes: str = "attributes", tie: str = "id") -> DataFrame:
+def apply_filter(df: DataFrame, spec: Filter, resolve: Resolver | None = None, mode: str = "sql", attributes: str | None = "attributes", tie: str = "id") -> DataFrame:
     """Rows of a filter with its order (nulls last ascending, first descending; ties by ``tie``), offset and limit."""
     resolve = resolve or table_field(df)
     out = df.where(compile_filter(spec.expr, resolve, mode, attributes))

@@ -29,6 +29,13 @@ def proximity_join(anchors: DataFrame, events: DataFrame, key: str, anchor_ts: s
     return anchors.join(events, (anchors[key] == events[key]) & events[event_ts].between(start, stop))
 
 
+def proximity_counts(events: DataFrame, key: str, ts: str, before_seconds: int, after_seconds: int, name: str = "n") -> DataFrame:
+    """Every event with how many events of its key, itself included, lie from ``before_seconds`` ahead of it to ``after_seconds`` behind it; no pair is made."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    near = Window.partitionBy(key).orderBy(micros).rangeBetween(-before_seconds * 1_000_000, after_seconds * 1_000_000)
+    return events.withColumn(name, F.count("*").over(near))
+
+
 def folded(events: DataFrame, by: list[str], order: list[str], value: Column, start: Column, step, finish=lambda a: a) -> DataFrame:  # noqa: ANN001
     """(by, result): a fold over each key's values in order.
 

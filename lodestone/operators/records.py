@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import shard_of
+from lodestone.functions.vectors import as_vector, cosine
 
 
 def last_wins(rows: DataFrame, keys: list[str], sequence: list[str]) -> DataFrame:
@@ -35,12 +36,18 @@ def insert_absent(stored: DataFrame, incoming: DataFrame, keys: list[str], seque
 
 
 def patch(stored: DataFrame, changes: DataFrame, key: str, replaced: list[str]) -> DataFrame:
-    """Stored rows with the changes' values where those aren't null; ``replaced`` columns are taken even when null."""
+    """Stored rows with the changes' values where those aren't null; ``replaced`` columns are taken even when null.
+
+    A key that isn't stored is added with what the changes say of it, its other
+    columns null. The changes have one row for each key.
+    """
     c = changes.select(F.col(key).alias("key_"), *(F.col(x).alias(f"new_{x}") for x in changes.columns if x != key))
-    joined = stored.join(c, F.col(key) == F.col("key_"), "left")
+    joined = stored.join(c, F.col(key) == F.col("key_"), "full")
 
     def value(name: str) -> Column:
-        if name == key or name not in changes.columns:
+        if name == key:
+            return F.coalesce(key, "key_").alias(key)
+        if name not in changes.columns:
             return F.col(name)
         if name in replaced:
             return F.when(F.col("key_").isNotNull(), F.col(f"new_{name}")).otherwise(F.col(name)).alias(name)
@@ -65,6 +72,22 @@ def delete_ids(stored: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return stored.join(ids.select(key), key, "left_anti")
 
 
+def delete_content(stored: DataFrame, contents: DataFrame, column: str = "content") -> DataFrame:
+    """Rows without those whose content is one of ``contents``, the same text; null matches nothing."""
+    return stored.join(contents.select(F.col(column).alias("content_")).distinct(), F.col(column) == F.col("content_"), "left_anti")
+
+
+def delete_nearest(stored: DataFrame, vector: list[float], key: str, column: str = "vector", above: float = 0.9) -> DataFrame:
+    """Rows without the one nearest to a vector, if its cosine is above the bound."""
+    nearest = stored.where(F.col(column).isNotNull()).select(F.col(key).alias("key_"), cosine(F.col(column), as_vector(vector)).alias("score_")).orderBy(F.desc("score_"), "key_").limit(1)
+    return stored.join(F.broadcast(nearest.where(F.col("score_") > above)), F.col(key) == F.col("key_"), "left_anti")
+
+
+def cleared(stored: DataFrame) -> DataFrame:
+    """No row, the same columns."""
+    return stored.where(F.lit(False))
+
+
 def exists_flags(asked: DataFrame, stored: DataFrame, key: str, name: str = "found") -> DataFrame:
     """Every asked row with whether its key is stored."""
     known = stored.select(F.col(key).alias("key_")).distinct()

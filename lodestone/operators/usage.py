@@ -17,6 +17,9 @@ PRICES = [
 ]
 
 
+BROADCAST_ROWS = 10_000
+
+
 def price_table(spark) -> DataFrame:  # noqa: ANN001
     return spark.createDataFrame(PRICES, "provider string, model string, input double, output double")
 
@@ -32,11 +35,13 @@ def token_usage(usage: dict[str, Column]) -> dict[str, Column]:
 def priced(chats: DataFrame, prices: DataFrame) -> DataFrame:
     """Chats with unit prices: the exact model name, else the same name in other letter case; null if unknown.
 
-    The price table is one row for each model, so Spark broadcasts it by its size.
+    A price table of at most BROADCAST_ROWS rows is broadcast; a larger one is joined by a shuffle.
     """
+    small = prices.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sent = F.broadcast if small else lambda df: df
     p = prices.select(F.lower("provider").alias("p_"), F.col("model").alias("m_"), F.col("input").alias("in_"), F.col("output").alias("out_"))
     folded = prices.groupBy(F.lower("provider").alias("q_"), F.lower("model").alias("n_")).agg(F.min_by("input", "model").alias("in2_"), F.min_by("output", "model").alias("out2_"))
-    found = chats.join(p, (F.lower("provider") == F.col("p_")) & (F.col("model") == F.col("m_")), "left").join(folded, (F.lower("provider") == F.col("q_")) & (F.lower("model") == F.col("n_")), "left")
+    found = chats.join(sent(p), (F.lower("provider") == F.col("p_")) & (F.col("model") == F.col("m_")), "left").join(sent(folded), (F.lower("provider") == F.col("q_")) & (F.lower("model") == F.col("n_")), "left")
     return found.withColumns({"input_price": F.coalesce("in_", "in2_"), "output_price": F.coalesce("out_", "out2_")}).drop("p_", "m_", "in_", "out_", "q_", "n_", "in2_", "out2_")
 
 

@@ -1,4 +1,4 @@
-"""Vector search: exact top-k for one query, blocked nearest neighbours for many, LSH, and densities."""
+"""Vector search: exact top-k for one query, blocked nearest neighbours for many, an index of cells, and densities."""
 
 from __future__ import annotations
 
@@ -46,31 +46,47 @@ def sharded_top_k(df: DataFrame, query: list[float], k: int, shard: Column, vect
     return scored.withColumn("shard_rank", F.row_number().over(best)).where(F.col("shard_rank") <= k).orderBy(F.desc("score"), tie).limit(k)
 
 
-def neighbours(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", vector: str = "embedding", id_col: str = "vec_id", exclude_self: bool = True, before: str | None = None, block_rows: int = 2000) -> DataFrame:
-    """(query_id, id, distance, rank): the k nearest rows of ``corpus`` for every row of ``queries``.
+def _meet(queries: DataFrame, corpus: DataFrame, vector: str, id_col: str, extra: list[tuple[str, Column]], block_rows: int, meet, schema: str) -> DataFrame:  # noqa: ANN001
+    """Deal both sides into blocks of about ``block_rows`` rows and let every two blocks meet in a task of their own.
 
-    Both sides are dealt into blocks, every two blocks meet in a task of their
-    own as matrices, and each keeps its k best for a query; so a task holds two
-    blocks whatever the tables' sizes. With ``before`` a corpus row counts only
-    where its value of that column is below the query's.
+    Rows without a vector take no part. Every row is copied once for each block
+    of the other side: exact, but quadratic in the number of blocks.
     """
     sides = []
     for df in (queries, corpus):
+        df = df.where(F.col(vector).isNotNull())
         blocks = max(1, -(-df.count() // block_rows))
-        group = F.col(before) if before else F.lit(0)
-        sides.append((df.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), group.cast("double").alias("g"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block")), blocks))
+        sides.append((df.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), *(c.alias(n) for n, c in extra), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block")), blocks))
     (left, nl), (right, nr) = sides
-    left = left.select("*", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("other")).select(F.col("block").alias("i"), F.col("other").alias("j"), "id", "v", "g")
-    right = right.select("*", F.explode(F.sequence(F.lit(0), F.lit(nl - 1))).alias("other")).select(F.col("other").alias("i"), F.col("block").alias("j"), "id", "v", "g")
+    columns = ["id", "v", *(n for n, _ in extra)]
+    left = left.select("*", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("other")).select(F.col("block").alias("i"), F.col("other").alias("j"), *columns)
+    right = right.select("*", F.explode(F.sequence(F.lit(0), F.lit(nl - 1))).alias("other")).select(F.col("other").alias("i"), F.col("block").alias("j"), *columns)
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, schema)
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    x = np.stack(vectors.to_numpy()).astype(np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), EPS)
+
+
+def neighbours(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", vector: str = "embedding", id_col: str = "vec_id", exclude_self: bool = True, before: str | None = None, block_rows: int = 2000) -> DataFrame:
+    """(query_id, id, distance, rank): the k nearest rows of ``corpus`` for every row of ``queries`` that has a vector.
+
+    Both sides are dealt into blocks that meet as matrices, and each meeting
+    keeps its k best for a query; so a task holds two blocks whatever the
+    tables' sizes. With ``before`` a corpus row counts only where its value of
+    that column is below the query's. Where the quadratic work is too much,
+    ``CellIndex`` gives nearly the same neighbours.
+    """
+    group = (F.col(before) if before else F.lit(0)).cast("double")
 
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "id": [], "distance": []}
         if len(q) and len(c):
-            a, b = (np.stack(x.v.to_numpy()).astype(np.float64) for x in (q, c))
             if metric == "cosine":
-                a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), EPS) for x in (a, b))
-                d = 1 - np.clip(a @ b.T, -1, 1)
+                d = 1 - np.clip(_unit(q.v) @ _unit(c.v).T, -1, 1)
             else:
+                a, b = (np.stack(x.v.to_numpy()).astype(np.float64) for x in (q, c))
                 d = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
             barred = (q.id.to_numpy()[:, None] == c.id.to_numpy()[None]) if exclude_self else np.zeros(d.shape, bool)
             if before:
@@ -85,17 +101,47 @@ def neighbours(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cos
                 out["distance"] += d[row, best].tolist()
         return pd.DataFrame(out)
 
-    kind = left.schema["id"].dataType.simpleString()
-    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, f"query_id {kind}, id {kind}, distance double")
+    kind = queries.schema[id_col].dataType.simpleString()
+    met = _meet(queries, corpus, vector, id_col, [("g", group)], block_rows, meet, f"query_id {kind}, id {kind}, distance double")
     nearest = Window.partitionBy("query_id").orderBy("distance", "id")
     return met.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
 
 
+def similar_counts(df: DataFrame, threshold: float, vector: str = "embedding", id_col: str = "vec_id", block_rows: int = 2000) -> DataFrame:
+    """(id, class_id, n_links) of every row: a similarity join on cosine, told by counts.
+
+    Rows with the same vector are one class, named by its smallest id; only
+    classes meet. n_links is the number of other rows whose cosine is at least
+    the threshold. A row without a vector is a class of its own without links.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    classes = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
+
+    def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(c):
+            return pd.DataFrame({"class_id": [], "n": []})
+        linked = np.clip(_unit(q.v) @ _unit(c.v).T, -1, 1) >= threshold
+        linked[q.id.to_numpy()[:, None] == c.id.to_numpy()[None]] = True  # copies link however the threshold rounds
+        return pd.DataFrame({"class_id": q.id, "n": linked @ c.copies.to_numpy()})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    counts = _meet(classes, classes, "v", "class_id", [("copies", F.col("copies"))], block_rows, meet, f"class_id {kind}, n long").groupBy("class_id").agg((F.sum("n") - 1).alias("n_links"))
+    known = rows.join(classes.select("v", "class_id"), "v", "left").join(counts, "class_id", "left")
+    return known.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def density(queries: DataFrame, corpus: DataFrame, k: int = 5, kind: str = "average", eps: float = EPS, **options: object) -> DataFrame:
-    """(query_id, density): 1 / (eps + mean distance) of the k nearest, or k / (eps + distance of the k-th)."""
+    """(query_id, density): 1 / (eps + mean distance) of the k nearest, or k / (eps + distance of the k-th).
+
+    A query without a vector has a null density; one without any neighbour has no row.
+    """
     near = neighbours(queries, corpus, k, **options).groupBy("query_id").agg(F.avg("distance").alias("mean"), F.max("distance").alias("radius"), F.count("*").alias("n"))
     value = 1 / (eps + F.col("mean")) if kind == "average" else F.col("n") / (eps + F.col("radius"))
-    return near.select("query_id", value.alias("density"))
+    return near.select("query_id", value.alias("density")).unionByName(_without_vector(queries, options).withColumn("density", F.lit(None).cast("double")))
+
+
+def _without_vector(queries: DataFrame, options: dict) -> DataFrame:
+    return queries.where(F.col(options.get("vector", "embedding")).isNull()).select(F.col(options.get("id_col", "vec_id")).alias("query_id"))
 
 
 def novelty(df: DataFrame, group: str, k: int = 5, eps: float = EPS, id_col: str = "vec_id", **options: object) -> DataFrame:
@@ -106,42 +152,90 @@ def novelty(df: DataFrame, group: str, k: int = 5, eps: float = EPS, id_col: str
 
 
 def least_distance(queries: DataFrame, library: DataFrame, **options: object) -> DataFrame:
-    """(query_id, id, distance): the nearest library vector of each query."""
-    return neighbours(queries, library, 1, **options).select("query_id", "id", "distance")
+    """(query_id, id, distance): the nearest library vector of each query, nulls for a query without a vector."""
+    found = neighbours(queries, library, 1, **options).select("query_id", "id", "distance")
+    none = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("id", "distance")]
+    return found.unionByName(_without_vector(queries, options).select("query_id", *none))
 
 
-class LshIndex:
-    """Random hyperplane signatures in bands over every row; candidates of a query are scored exactly.
+class CellIndex:
+    """An index of cells around centres: every row lies in the cell of its nearest centre, and a query scores the rows of its nearest cells.
 
-    Each of ``bands`` tables hashes a vector by ``bits`` planes, and a query
-    also looks into the buckets that differ in one bit.
+    The centres are fitted by spherical k-means on at most SAMPLE_ROWS rows of
+    the lowest id hashes; all rows with a vector are indexed. ``write`` stores
+    the rows by cell, so that a search reads only the cells it probes. The
+    defaults reach a recall of 0.9 on vectors without any structure, where no
+    index can leave out much; on vectors that cluster a few probes do.
     """
 
-    def __init__(self, df: DataFrame, dim: int, bands: int = 24, bits: int = 6, seed: int = 7, vector: str = "embedding", id_col: str = "vec_id"):
-        self.vector, self.id_col, self.bands, self.bits = vector, id_col, bands, bits
-        self.planes = np.random.default_rng(seed).standard_normal((bands * bits, dim))
-        self.rows = df.select(id_col, vector)
-        self.buckets = self._keys(self.rows).select(id_col, vector, F.posexplode("keys").alias("band", "key"))
-
-    def _keys(self, df: DataFrame) -> DataFrame:
-        planes, bands, bits, vector = self.planes, self.bands, self.bits, self.vector
+    SAMPLE_ROWS = 20_000
+
+    def __init__(self, df: DataFrame, cells: int = 32, probes: int = 20, rounds: int = 10, vector: str = "embedding", id_col: str = "vec_id"):
+        self.vector, self.id_col, self.probes = vector, id_col, probes
+        rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+        hashed = rows.select("v", F.shiftrightunsigned(F.xxhash64("id"), 11).alias("h"))
+        sample = np.array([r[0] for r in hashed.orderBy("h").limit(self.SAMPLE_ROWS).collect()], float)
+        self.centres = self._fit(sample, cells, rounds)
+        self.rows = self._with_cells(rows, 1)
+
+    @staticmethod
+    def _fit(sample: np.ndarray, cells: int, rounds: int) -> np.ndarray:
+        if not len(sample):
+            return np.zeros((0, 0))
+        x = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), EPS)
+        centres = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)]
+        for _ in range(rounds):
+            own = (x @ centres.T).argmax(1)
+            sums = np.stack([x[own == i].sum(0) if (own == i).any() else centres[i] for i in range(len(centres))])
+            centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), EPS)
+        return centres
+
+    def _with_cells(self, df: DataFrame, n: int) -> DataFrame:
+        """(id, v, cell): each row with each of its ``n`` nearest cells."""
+        centres = self.centres
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                signs = (np.stack(b[vector].to_numpy()).astype(float) @ planes.T > 0).reshape(len(b), bands, bits)
-                yield b.assign(keys=list((signs * (1 << np.arange(bits))).sum(2).astype(np.int32)))
-
-        return df.mapInPandas(run, f"{self.id_col} {df.schema[self.id_col].dataType.simpleString()}, {self.vector} array<float>, keys array<int>")
-
-    def search(self, query: list[float], k: int) -> DataFrame:
-        """(id, score) of the k best candidates."""
-        signs = (np.asarray(query) @ self.planes.T > 0).reshape(self.bands, self.bits)
-        own = (signs * (1 << np.arange(self.bits))).sum(1)
-        wanted = [(b, int(own[b]) ^ flip) for b in range(self.bands) for flip in (0, *(1 << i for i in range(self.bits)))]
-        spark = self.rows.sparkSession
-        probes = spark.createDataFrame(wanted, "band int, key int")  # bands x (bits + 1) rows
-        found = self.buckets.join(F.broadcast(probes), ["band", "key"]).dropDuplicates([self.id_col])
-        return top_k(found, query, k, vector=self.vector, tie=self.id_col).select(self.id_col, "score")
+                near = np.argsort(-(_unit(b.v) @ centres.T), axis=1, kind="stable")[:, :n] if len(b) and len(centres) else np.zeros((len(b), 0), int)
+                yield b.assign(cells=list(near.astype(np.int32)))
+
+        found = df.mapInPandas(run, f"id {df.schema['id'].dataType.simpleString()}, v array<float>, cells array<int>")
+        return found.select("id", "v", F.explode("cells").alias("cell"))
+
+    def write(self, path: str) -> CellIndex:
+        """Store the indexed rows by cell and search them there from now on."""
+        self.rows.write.mode("errorifexists").partitionBy("cell").parquet(path)
+        self.rows = self.rows.sparkSession.read.schema(self.rows.schema).parquet(path)
+        return self
+
+    def search(self, queries: DataFrame, k: int, block_rows: int = 2000) -> DataFrame:
+        """(query_id, id, score, rank): the k best rows of the probed cells for each query, itself left out.
+
+        Queries and rows meet by cell and by blocks of rows within it, so that a large cell is many tasks.
+        """
+        asked = self._with_cells(queries.where(F.col(self.vector).isNotNull()).select(F.col(self.id_col).alias("id"), F.col(self.vector).alias("v")), self.probes)
+        blocks = max(1, -(-self.rows.count() // (block_rows * max(1, len(self.centres)))))
+        left = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        right = self.rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+
+        def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+            out = {"query_id": [], "id": [], "score": []}
+            if len(q) and len(c):
+                scores = np.clip(_unit(q.v) @ _unit(c.v).T, -1, 1)
+                scores[q.id.to_numpy()[:, None] == c.id.to_numpy()[None]] = -np.inf
+                ids = c.id.to_numpy()
+                for row in range(len(q)):
+                    best = np.lexsort((ids, -scores[row]))[:k]
+                    best = best[np.isfinite(scores[row, best])]
+                    out["query_id"] += [q.id.iloc[row]] * len(best)
+                    out["id"] += ids[best].tolist()
+                    out["score"] += scores[row, best].tolist()
+            return pd.DataFrame(out)
+
+        kind = asked.schema["id"].dataType.simpleString()
+        met = left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(meet, f"query_id {kind}, id {kind}, score double")
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def rerank(docs: DataFrame, query: list[float] | None, top_n: int, vector: str = "embedding", position: str = "pos") -> DataFrame:

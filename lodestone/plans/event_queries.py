@@ -70,12 +70,10 @@ def ev_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.latest(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
 
 
-@query("SELECT a.event_id AS anchor_id, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL 24 HOUR AND a.ts + INTERVAL 24 HOUR WHERE a.event_id % 50 = 0 GROUP BY 1")
+@query("SELECT a.event_id AS anchor_id, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL 24 HOUR AND a.ts + INTERVAL 24 HOUR GROUP BY 1")
 def ev_anchor_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    anchors = e.where("event_id % 50 = 0").select(F.col("event_id").alias("anchor_id"), "user_id", F.col("ts").alias("anchor_ts"))
-    met = ev.proximity_join(anchors, e.select("user_id", "ts", "event_id"), "user_id", "anchor_ts", "ts", "24 hours", "24 hours")
-    return met.groupBy("anchor_id").agg(F.count("*").alias("n"))
+    found = ev.proximity_counts(table(spark, sf_dir, "events"), "user_id", "ts", 86400, 86400)
+    return found.select(F.col("event_id").alias("anchor_id"), "n")
 
 
 @query("SELECT user_id, round(list_reduce(list(value ORDER BY ts, event_id), lambda a, x: 0.7 * x + 0.3 * a), 6) AS ema FROM events GROUP BY user_id")
@@ -95,7 +93,26 @@ def ev_token_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.token_budget(c, ["conv_id"], ["turn", "chars", "text"], token_estimate(F.col("text")), 300, 50)
 
 
-@query()
+def _fold_sql(value: str, start: str, step: str, last: str) -> str:
+    """SQL of a fold over each user's events in order: t has (user_id, k, x), f the state."""
+    return (
+        f"WITH RECURSIVE t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, {value} AS x FROM events), "
+        f"f AS (SELECT user_id, 0::BIGINT AS k, {start} FROM t GROUP BY user_id UNION ALL SELECT f.user_id, t.k, {step} FROM f JOIN t ON t.user_id = f.user_id AND t.k = f.k + 1) "
+        f"SELECT user_id, {last} FROM f GROUP BY user_id"
+    )
+
+
+UPS, DOWNS = "CASE WHEN NOT active AND t.x >= 0.35 THEN ups + 1 ELSE 0 END", "CASE WHEN active AND t.x <= 0.15 THEN downs + 1 ELSE 0 END"
+
+
+@query(
+    _fold_sql(
+        "value / (SELECT max(value) FROM events)",
+        "false AS active, 0 AS ups, 0 AS downs, 0 AS entries",
+        f"CASE WHEN {UPS} >= 2 THEN true WHEN {DOWNS} >= 3 THEN false ELSE active END, CASE WHEN {UPS} >= 2 THEN 0 ELSE {UPS} END, CASE WHEN {DOWNS} >= 3 THEN 0 ELSE {DOWNS} END, entries + CASE WHEN {UPS} >= 2 THEN 1 ELSE 0 END",
+        "arg_max(active, k) AS active, max(entries) AS entries",
+    )
+)
 def ev_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     top = e.agg(F.max("value").alias("top"))
@@ -111,7 +128,10 @@ def ev_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.trend(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", "trend")
 
 
-@query()
+GO = '("last" IS NULL OR t.x - "last" >= 3600)'
+
+
+@query(_fold_sql("epoch_us(ts) / 1e6", '0 AS fired, NULL::DOUBLE AS "last"', f'fired + CASE WHEN {GO} THEN 1 ELSE 0 END, CASE WHEN {GO} THEN t.x ELSE "last" END', "max(fired) AS fired"))
 def ev_throttled(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return ev.throttled(e, ["user_id"], ["ts", "event_id"], F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, 3600)

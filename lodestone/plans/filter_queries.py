@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.filters import Filter, apply_filter, compile_filter, record_field, table_field
+from lodestone.functions.filters import Filter, apply_filter, compile_filter, table_field
 from lodestone.plans.registry import query, table
 
 
@@ -16,8 +16,7 @@ def _where(spark: SparkSession, sf_dir: str, name: str, expr: dict, *columns: st
 
 def _events(spark: SparkSession, sf_dir: str, expr: dict, mode: str = "sql") -> DataFrame:
     t = table(spark, sf_dir, "events")
-    resolve = record_field("props", ("event_id", "ts", "user_id", "event_type", "value"))
-    return t.where(compile_filter(expr, resolve, mode, "props")).select("event_id", "event_type")
+    return t.where(compile_filter(expr, table_field(t, "props"), mode, "props")).select("event_id", "event_type")
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
@@ -108,3 +107,39 @@ def dsl_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS n FROM region")
 def dsl_empty_is_true(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _where(spark, sf_dir, "region", {}, "r_regionkey").agg(F.count("*").alias("n"))
+
+
+#: Events whose attribute k is a number, text or missing, by the row.
+MIXED = "m AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{\"k\": \"abc\"}' WHEN 1 THEN '{\"k\": 3.0}' WHEN 2 THEN '{}' ELSE props END AS props FROM events), x AS (SELECT event_id, json_extract_string(props, '$.k') AS k FROM m)"
+
+
+def _mixed(spark: SparkSession, sf_dir: str, expr: dict, mode: str = "sql") -> DataFrame:
+    kind = F.col("event_id") % 4
+    props = F.when(kind == 0, '{"k": "abc"}').when(kind == 1, '{"k": 3.0}').when(kind == 2, "{}").otherwise(F.col("props"))
+    t = table(spark, sf_dir, "events").select("event_id", props.alias("props"))
+    return t.where(compile_filter(expr, table_field(t, "props"), mode, "props")).select("event_id")
+
+
+@query(f"WITH {MIXED} SELECT event_id FROM x WHERE k = '3'")
+def dsl_eq_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir, {"eq": ["k", 3]})
+
+
+@query(f"WITH {MIXED} SELECT event_id FROM x WHERE TRY_CAST(k AS DOUBLE) = 3")
+def dsl_eq_mixed_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir, {"eq": ["k", 3]}, mode="typed")
+
+
+@query(f"WITH {MIXED} SELECT event_id FROM x WHERE k IN ('abc', '3.0', '7')")
+def dsl_in_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir, {"in": ["attributes.k", ["abc", "3.0", 7]]})
+
+
+@query(f"WITH {MIXED} SELECT event_id FROM x WHERE NOT coalesce(TRY_CAST(k AS DOUBLE) BETWEEN 2 AND 11, false)")
+def dsl_range_mixed_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir, {"not": {"range": {"k": [2, 11]}}}, mode="typed")
+
+
+@query(f"WITH {MIXED} SELECT event_id FROM x WHERE k LIKE '%b%' OR k LIKE '3'")
+def dsl_like_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir, {"or": [{"like": ["k", "%b%"]}, {"like": ["k", 3]}]})

@@ -32,13 +32,32 @@ def rec_insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.insert_absent(e.where("false"), e, ["user_id"], ["event_id"])
 
 
-@query("SELECT c.c_custkey, coalesce(CASE WHEN c_custkey % 2 = 0 THEN 'Patched' END, c_name) AS c_name, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer c")
+@query(
+    "SELECT c.c_custkey, coalesce(CASE WHEN c_custkey % 2 = 0 THEN 'Patched' END, c_name) AS c_name, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer c "
+    "UNION ALL SELECT -c_custkey - 1, 'Patched', NULL, NULL FROM customer WHERE c_custkey % 10 = 0"
+)
 def rec_partial_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    changes = c.where("c_custkey % 2 = 0").select("c_custkey", F.lit("Patched").alias("c_name"), F.when(F.col("c_custkey") % 10 != 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    """Changes of half the customers, with a new one for each tenth."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    of = lambda key, where: c.where(where).select(key.alias("c_custkey"), F.lit("Patched").alias("c_name"), F.when(F.col("c_custkey") % 10 != 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    changes = of(F.col("c_custkey"), "c_custkey % 2 = 0").unionByName(of(-F.col("c_custkey") - 1, "c_custkey % 10 = 0"))
     return records.patch(c, changes, "c_custkey", ["c_mktsegment"])
 
 
+@query("SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) DESC, vec_id LIMIT 1)")
+def rec_delete_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    q = [float(x) for x in e.where("vec_id = 0").first()["embedding"]]
+    return records.delete_nearest(e, q, "vec_id", "embedding").select("vec_id")
+
+
+@query("SELECT doc_id FROM documents d WHERE text IS NULL OR text NOT IN (SELECT text FROM documents JOIN labels USING (doc_id) WHERE quality = 0 AND text IS NOT NULL)")
+def rec_delete_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    bad = d.join(table(spark, sf_dir, "labels").where("quality = 0"), "doc_id")
+    return records.delete_content(d, bad, "text").select("doc_id")
+
+
 @query("SELECT md5(text) AS content_id, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY md5(text)")
 def rec_dedupe_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(records.content_id(F.col("text")).alias("content_id"), "doc_id")
@@ -109,10 +128,9 @@ def set_distinct_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select("n_name", "r_name").distinct()
 
 
-@query("SELECT c_nationkey AS nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0")
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("nationkey"))
-    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nationkey")).subtract(s)
+    return table(spark, sf_dir, "documents").select("doc_id").subtract(table(spark, sf_dir, "labels").select("doc_id"))
 
 
 @query("SELECT doc_id AS id FROM documents WHERE lang = 'fr' UNION SELECT doc_id FROM labels WHERE quality = 0 UNION SELECT vec_id FROM embeddings WHERE label = 2")
@@ -124,5 +142,3 @@ def set_recall_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT lang, source, count(*) AS n FROM documents GROUP BY ROLLUP (lang, source)")
 def set_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").rollup("lang", "source").agg(F.count("*").alias("n"))
-
-

@@ -91,11 +91,25 @@ def vec_novelty_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vs.novelty(e, "label").select("label", F.round("novelty", 5).alias("novelty"))
 
 
+def _asked(df: DataFrame) -> DataFrame:
+    """The query set of searches: every row whose id is divisible by 20."""
+    return df.where(F.col("vec_id") % 20 == 0)
+
+
 @query()
-def vec_lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vec_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return vs.CellIndex(e).search(_asked(e), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def vec_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many queries there are, and whether the index finds at least 0.9 of what brute force finds for them."""
     e = table(spark, sf_dir, "embeddings")
-    v = _query_vector(e)
-    return vs.LshIndex(e, len(v)).search(v, 10)
+    exact = vs.neighbours(_asked(e), e, 10).select("query_id", "id")
+    found = vs.CellIndex(e).search(_asked(e), 10).select("query_id", "id", F.lit(1).alias("hit"))
+    met = exact.join(found, ["query_id", "id"], "left")
+    return met.agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
 
 
 CENTROIDS = "WITH u AS (SELECT label, vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM u GROUP BY label, i), c AS (SELECT label, list(x ORDER BY i) AS v FROM m GROUP BY label)"
@@ -115,10 +129,10 @@ def vec_label_centroid_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.where("b.s > 0.1").select("vec_id", (-F.col("b.l")).alias("best_label"), F.round("b.s", 6).alias("score"))
 
 
-@query(f"SELECT vec_id, label, round({COS}, 6) AS score FROM embeddings WHERE vec_id < 40 ORDER BY {COS} DESC, vec_id LIMIT 5")
+@query(f"SELECT vec_id, label, round({COS}, 6) AS score FROM embeddings ORDER BY {COS} DESC, vec_id LIMIT 5")
 def vec_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return _ids(vs.rerank(e.where("vec_id < 40"), _query_vector(e), 5, position="vec_id"))
+    return _ids(vs.rerank(e, _query_vector(e), 5, position="vec_id"))
 
 
 @query(f"SELECT vec_id, label, round({COS}, 6) AS score FROM embeddings WHERE {COS} > 0.9 ORDER BY {COS} DESC, vec_id LIMIT 1")
@@ -133,11 +147,9 @@ def vec_dimension_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.size("embedding").alias("dims"), F.round(norm(F.col("embedding")), 6).alias("length"))
 
 
-@query("SELECT a.vec_id AS query_id, b.vec_id AS id, round(" + PAIR + ", 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE " + PAIR + " >= 0.6")
+@query(
+    f"WITH c AS (SELECT vec_id, min(vec_id) OVER (PARTITION BY embedding) AS class_id FROM embeddings), l AS (SELECT a.vec_id, count(*) AS n FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.embedding = b.embedding OR {PAIR} >= 0.3 GROUP BY a.vec_id) "
+    "SELECT c.vec_id AS id, c.class_id, coalesce(l.n, 0)::BIGINT AS n_links FROM c LEFT JOIN l USING (vec_id)"
+)
 def vec_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    right = e.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("other"))
-    met = e.join(right, "label").where("vec_id < id").withColumn("score", cosine(F.col("embedding"), F.col("other")))
-    return met.where("score >= 0.6").select(F.col("vec_id").alias("query_id"), "id", F.round("score", 6).alias("score"))
-
-
+    return vs.similar_counts(table(spark, sf_dir, "embeddings"), 0.3)

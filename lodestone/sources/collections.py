@@ -11,7 +11,7 @@ import json
 import re
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.filters import Filter, apply_filter, compile_filter, record_field
@@ -22,6 +22,21 @@ POINT = "metric string, ts timestamp_ntz, tags map<string,string>, fields string
 MODES = ("vector", "timeseries", "general", "mixed")
 
 
+class PointFields:
+    """The fields of a point: ts, tags.x and fields.x; any other is null."""
+
+    def __call__(self, path: str) -> Column:
+        if path in ("ts", "timestamp"):
+            return F.col("ts")
+        kind, _, key = path.partition(".")
+        if kind == "tags":
+            return F.try_element_at("tags", F.lit(key))
+        return F.get_json_object("fields", f"$['{key}']") if kind == "fields" else F.lit(None).cast("string")
+
+    def kind(self, path: str) -> str:
+        return "timestamp_ntz" if path in ("ts", "timestamp") else "json"
+
+
 @dataclass
 class CollectionSpec:
     name: str
@@ -51,8 +66,30 @@ class Collections:
         return [x for x in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{x}/_SUCCESS"))]
 
     def _write(self, df: DataFrame, name: str, part: str) -> None:
-        number = len(self._versions(name, part))
-        df.write.mode("overwrite").parquet(f"{self._folder(name)}/{part}/v{number:08d}")
+        """A new version; of two writers that take the same number the later one fails instead of replacing the other's."""
+        found = self._versions(name, part)
+        number = int(found[-1].rsplit("/v", 1)[1]) + 1 if found else 0
+        df.write.mode("errorifexists").parquet(f"{self._folder(name)}/{part}/v{number:08d}")
+
+    def vacuum(self, name: str, part: str = "records", keep: int = 2) -> int:
+        """Delete all but the last ``keep`` versions, which nothing may be reading; how many went."""
+        old = self._versions(name, part)[: -max(1, keep)]
+        for path in old:
+            fs, p = self._fs(path)
+            fs.delete(p, True)
+        return len(old)
+
+    def rollback(self, name: str, part: str = "records") -> bool:
+        """Drop the last version, so that the one before is current; whether there was one before."""
+        found = self._versions(name, part)
+        if len(found) < 2:
+            return False
+        fs, p = self._fs(found[-1])
+        return fs.delete(p, True)
+
+    def clear(self, name: str) -> None:
+        """A version without any record."""
+        self._write(records.cleared(self.records(name)), name, "records")
 
     def _read(self, name: str, part: str, schema: str) -> DataFrame:
         found = self._versions(name, part)
@@ -122,17 +159,16 @@ class Collections:
         points.select("metric", "ts", "tags", "fields").write.mode("append").partitionBy("metric").parquet(f"{self._folder(name)}/points")
 
     def points(self, name: str, metric: str, spec: Filter | None = None) -> DataFrame:
-        """Points of a metric that a filter on ts, tags.x and fields.x matches, in time order."""
-        rows = self.spark.read.schema(POINT).parquet(f"{self._folder(name)}/points").where(F.col("metric") == metric)
-
-        def resolve(path: str):  # noqa: ANN202
-            if path in ("ts", "timestamp"):
-                return F.col("ts")
-            kind, _, key = path.partition(".")
-            return F.try_element_at("tags", F.lit(key)) if kind == "tags" else F.get_json_object("fields", f"$['{key}']") if kind == "fields" else F.lit(None).cast("string")
-
-        found = rows.where(compile_filter(spec.expr if spec else {}, resolve)).orderBy("ts")
-        return found.limit(spec.limit) if spec and spec.limit is not None else found
+        """Points of a metric that a filter on ts, tags.x and fields.x matches, in its order or else in time order.
+
+        ``contains`` is always true here. A collection without points gives none.
+        """
+        fs, p = self._fs(f"{self._folder(name)}/points")
+        stored = self.spark.read.schema(POINT).parquet(p.toString()) if fs.exists(p) else self.spark.createDataFrame([], POINT)
+        rows = stored.where(F.col("metric") == metric)
+        spec = spec or Filter()
+        ordered = Filter(spec.expr, spec.order_by or [("ts", "asc")], spec.limit, spec.offset)
+        return apply_filter(rows, ordered, PointFields(), attributes=None, tie="ts")
 
     def stats(self, name: str) -> DataFrame:
         """One row: records, those with a vector, and the latest time."""

@@ -94,13 +94,13 @@ ROWS = [("1", '{"k": 5, "a": {"b": "x", "t": ["p", "q"]}}', "Alpha"), ("2", '{"k
 )
 def test_filter(spark, expr, mode, want):  # noqa: ANN001
     df = spark.createDataFrame(ROWS, "id string, attributes string, content string")
-    resolve = record_field(columns=("id", "content"))
+    resolve = record_field()
     assert "".join(sorted(r["id"] for r in df.where(compile_filter(expr, resolve, mode)).collect())) == want
 
 
 def test_filter_order_and_errors(spark):  # noqa: ANN001
     df = spark.createDataFrame(ROWS, "id string, attributes string, content string")
-    resolve = record_field(columns=("id", "content"))
+    resolve = record_field()
     assert [r["id"] for r in apply_filter(df, Filter(order_by=[("content", "desc")], limit=2), resolve).collect()] == ["2", "3"]
     with pytest.raises(ValueError, match="one field"):
         compile_filter({"range": {"a": [1, 2], "b": [1, 2]}}, resolve)

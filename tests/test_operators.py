@@ -63,27 +63,36 @@ def test_records(spark):  # noqa: ANN001
     old = spark.createDataFrame([("1", "x", "m"), ("2", "y", "m")], "id string, content string, meta string")
     new = spark.createDataFrame([("2", None, None), ("3", "z", "n")], "id string, content string, meta string")
     patched = {r["id"]: (r["content"], r["meta"]) for r in records.patch(old, new, "id", ["meta"]).collect()}
-    assert patched == {"1": ("x", "m"), "2": ("y", None)}
+    assert patched == {"1": ("x", "m"), "2": ("y", None), "3": ("z", "n")}
+    assert sorted(r["id"] for r in records.delete_content(old, new.where("id = '3'").withColumn("content", F.lit("x"))).collect()) == ["2"]
+    assert records.cleared(old).count() == 0
     assert records.update_existing(old, new, ["id"]).orderBy("id").collect() == old.orderBy("id").collect()
     assert records.update_existing(old, new.where("id = '2'"), ["id"]).where("id = '2'").first()["content"] is None
     assert records.canonical_id({"b": 1, "a": "k"}, dedupe_key="a") == "k"
     assert records.canonical_id({"b": 1, "a": [2]}, dedupe_key="a") == '{"a": [2], "b": 1}'
 
 
-def test_density_and_lsh(spark, small):  # noqa: ANN001
+def test_density_and_index(spark, small, tmp_path):  # noqa: ANN001
     pts = spark.createDataFrame([(0, [0.0, 0.0]), (1, [0.1, 0.0]), (2, [0.2, 0.0]), (3, [0.3, 0.0])], "vec_id long, embedding array<float>")
     q, c = pts.where("vec_id = 0"), pts.where("vec_id > 0")
     for kind, want in (("average", 1 / 0.15), ("radius", 2 / 0.2)):
         got = vs.density(q, c, k=2, kind=kind, metric="euclidean").first()["density"]
         assert got == pytest.approx(want, rel=1e-5)
     e = spark.read.parquet(f"{small}/embeddings.parquet")
-    index, hits, total = vs.LshIndex(e, 64, bands=32, bits=5), 0, 0
-    for r in e.where("vec_id % 100 = 0").collect():
-        v = [float(x) for x in r["embedding"]]
-        exact = {x["vec_id"] for x in vs.top_k(e, v, 5).collect()}
-        hits += len(exact & {x["vec_id"] for x in index.search(v, 5).collect()})
-        total += len(exact)
-    assert hits >= 0.9 * total
+    asked = e.where("vec_id % 20 = 0")
+    exact = {(r["query_id"], r["id"]) for r in vs.neighbours(asked, e, 10).collect()}
+    found = {(r["query_id"], r["id"]) for r in vs.CellIndex(e).write(str(tmp_path / "index")).search(asked, 10, block_rows=5).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_missing_vectors(spark):  # noqa: ANN001
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [1.0, 0.1]), (3, [1.0, 0.0]), (4, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    assert {r["query_id"]: r["density"] is None for r in vs.density(df, df, 2).collect()} == {0: False, 1: True, 2: False, 3: False, 4: False}
+    assert {r["query_id"]: r["id"] for r in vs.least_distance(df, df).collect()} == {0: 3, 1: None, 2: 0, 3: 0, 4: 2}
+    assert sorted(map(tuple, vs.similar_counts(df, 0.9).collect())) == [(0, 0, 2), (1, 1, 0), (2, 2, 2), (3, 0, 2), (4, 4, 0)]
+    assert vs.CellIndex(df, 2, 2).search(df, 1).count() == 4
+    nothing = df.where("false")
+    assert vs.similar_counts(nothing, 0.9).count() == 0 and vs.CellIndex(nothing).search(df, 1).count() == 0
 
 
 def test_collections(spark, tmp_path):  # noqa: ANN001
@@ -103,6 +112,13 @@ def test_collections(spark, tmp_path):  # noqa: ANN001
     store.append_points("my papers", points)
     assert store.points("my papers", "hr", Filter({"eq": {"tags.bed": "7"}})).count() == 1
     assert store.points("my papers", "hr", Filter({"range": {"fields.v": [0, 50]}})).count() == 0
+    assert store.points("my papers", "hr", Filter({"contains": {"a": 1}})).count() == 1
+    assert store.points("my papers", "hr", Filter(order_by=[("ts", "desc")], offset=1)).count() == 0
+    assert store.points("no points", "hr").count() == 0
+    n = store.count("my papers")
+    store.clear("my papers")
+    assert store.count("my papers") == 0 and store.rollback("my papers") and store.count("my papers") == n
+    assert store.vacuum("my papers", keep=1) >= 1 and store.count("my papers") == n
     assert store.drop("my papers") and store.describe("my papers") is None
 
 
