@@ -2,8 +2,10 @@
 
 Spark counts the character 4-grams of all labelled training texts by language.
 From those counts each language gets an interpolated Kneser-Ney model; the
-models are stored together in arrays sorted by n-gram hash, one array for each
-order, with a log probability for each language beside each hash. A text gets
+models are arrays sorted by n-gram hash, for each order one with probabilities
+and one with the back-off weights of its contexts. All n-grams of all languages
+are kept: a language's distinct character 4-grams are far fewer than its
+characters and saturate as a corpus grows. A text gets
 the language of the lowest cross-entropy per character; it is rejected where
 even that is far above what the language's own training texts show.
 
@@ -27,15 +29,14 @@ from lodestone.llm.common import durable, give_back, small_batches, text_of
 
 ORDER = 4
 NO_LETTER = "und"
-#: At most so many 4-grams of each language, the most frequent, and so many languages enter the models.
-MOST_GRAMS = 200_000
-MOST_LANGS = 200
 #: The calibration scores at most so many training texts of each language, those of the lowest id hashes.
 CALIBRATION_ROWS = 4000
 #: A language with fewer calibration texts takes the spread around its median from all languages.
 OWN_ROWS = 20
 #: A text is rejected where its cross-entropy is this many times that of the worst unseen texts of its language.
 CEILING_MARGIN = 1.4
+#: A table of at most so many languages is broadcast; a larger one is joined by a shuffle.
+BROADCAST_LANGS = 10_000
 #: Distinct counts that a counting task holds before it passes them on.
 HELD_GRAMS = 1_000_000
 DISCOUNT = 0.75
@@ -121,7 +122,7 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class KneserNey:
-    """One language: for each order the sorted packed n-grams with probabilities, and contexts with back-off weights."""
+    """One language: for each order the sorted n-gram hashes with probabilities, and the sorted context hashes with back-off weights."""
 
     grams: list[np.ndarray] = field(default_factory=list)
     probs: list[np.ndarray] = field(default_factory=list)
@@ -144,23 +145,25 @@ class KneserNey:
             discount = np.minimum(DISCOUNT, c)
             lost = np.add.reduceat(discount, start) / total
             own = np.repeat(np.arange(len(ctx)), seen)
-            model.contexts.append(ctx)
-            model.weights.append(lost)
             lower = model.floor if k == 1 else model.prob(k - 1, g & np.uint64((1 << 16 * (k - 1)) - 1))
-            model.grams.append(g)
-            model.probs.append((c - discount) / total[own] + lost[own] * lower)
+            for keys, values, into, beside in ((ctx, lost, model.contexts, model.weights), (g, (c - discount) / total[own] + lost[own] * lower, model.grams, model.probs)):
+                hashes = mixed(keys)
+                order = np.argsort(hashes)
+                into.append(hashes[order])
+                beside.append(values[order])
         return model
 
     def prob(self, k: int, g: np.ndarray) -> np.ndarray:
-        """Interpolated probability of the last character of each k-gram."""
+        """Interpolated probability of the last character of each packed k-gram."""
         if k == 0:
             return np.full(len(g), self.floor)
-        at = np.minimum(np.searchsorted(self.grams[k - 1], g), len(self.grams[k - 1]) - 1)
+        h = mixed(g)
+        at = np.minimum(np.searchsorted(self.grams[k - 1], h), len(self.grams[k - 1]) - 1)
         p = self.probs[k - 1][at]
-        missing = np.flatnonzero(self.grams[k - 1][at] != g)
+        missing = np.flatnonzero(self.grams[k - 1][at] != h)
         if len(missing):
             rest = g[missing]
-            ctx = rest >> np.uint64(16)
+            ctx = mixed(rest >> np.uint64(16))
             at = np.minimum(np.searchsorted(self.contexts[k - 1], ctx), len(self.contexts[k - 1]) - 1)
             weight = np.where(self.contexts[k - 1][at] == ctx, self.weights[k - 1][at], 1.0)
             p[missing] = weight * self.prob(k - 1, rest & np.uint64((1 << 16 * (k - 1)) - 1))
@@ -169,43 +172,35 @@ class KneserNey:
 
 @dataclass
 class LanguageModels:
-    """All languages: 4-gram hashes in sorted order with a log probability for each language."""
+    """All languages."""
 
     langs: list[str]
     models: list[KneserNey]
-    hashes: np.ndarray
-    logs: np.ndarray
     sharpness: float = 1.0
     ceilings: np.ndarray | None = None
 
     @classmethod
     def of(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> LanguageModels:
         langs = sorted(counts)
-        models = [KneserNey.of(*counts[x]) for x in langs]
-        every = np.unique(np.concatenate([counts[x][0] for x in langs])) if langs else np.zeros(0, np.uint64)
-        hashes = mixed(every)
-        order = np.argsort(hashes)
-        logs = np.stack([np.log(m.prob(ORDER, every)) for m in models], 1)[order].astype(np.float32) if langs else np.zeros((0, 0), np.float32)
-        return cls(langs, models, hashes[order], logs)
+        return cls(langs, [KneserNey.of(*counts[x]) for x in langs])
 
     def cross_entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages) nats per symbol over the whole text, and the number of letters of each text."""
         out, letters = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
         first, size = 0, 0
+        step = max(1 << 14, (1 << 20) // max(4, len(self.langs)))  # so many symbols at once, each with a number for each language
         for i, x in enumerate(texts):
             size += len(x)
-            if size >= 1 << 18 or i == len(texts) - 1:
+            if size >= step or i == len(texts) - 1:
                 s, starts = symbols(texts[first : i + 1])
                 g = grams(s)
-                h = mixed(g)
-                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                logs = self.logs[at]
-                if len(missing := np.flatnonzero(self.hashes[at] != h)):
-                    logs[missing] = np.stack([np.log(m.prob(ORDER, g[missing])) for m in self.models], 1)
+                known, at = np.unique(g, return_inverse=True)  # each distinct n-gram is looked up once
                 real = s[ORDER - 1 :] != 1
-                logs[~real] = 0
                 n = np.maximum(np.add.reduceat(real.astype(np.int64), starts), 1)
-                out[first : i + 1] = -np.add.reduceat(logs.astype(np.float64), starts, axis=0) / n[:, None]
+                for k, model in enumerate(self.models):
+                    logs = np.log(model.prob(ORDER, known))[at]
+                    logs[~real] = 0
+                    out[first : i + 1, k] = -np.add.reduceat(logs, starts) / n
                 letters[first : i + 1] = np.add.reduceat((s[ORDER - 1 :] > 1).astype(np.int64), starts)
                 first, size = i + 1, 0
         return out, letters
@@ -228,28 +223,27 @@ class LanguageModels:
 def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> LanguageModels:
     """Models of the languages of ``labelled``, from all its rows with a text and a language.
 
-    The 4-gram counts cover every row. Only the most frequent MOST_GRAMS of a
-    language reach the driver. Up to CALIBRATION_ROWS rows of each language fix
+    The 4-gram counts cover every row, and every distinct 4-gram enters the
+    model of its language. Up to CALIBRATION_ROWS rows of each language fix
     the score's sharpness and the language's ceiling for rejection, judged by
-    models without the counts of these rows.
+    models without the counts of these rows. Repeated rows count as often as
+    they stand there; rows without a text or a language teach nothing, and
+    without any row there is no language.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id")).where("lang is not null and text is not null")
     counted = durable(rows.select("lang", "text").mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    # Thresholds instead of a sort of each language in one task: a histogram of counts shows where MOST_GRAMS ends.
-    steps = counted.groupBy("lang", F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("k"))
-    upto = steps.select("lang", "step", F.sum("k").over(Window.partitionBy("lang").orderBy(F.desc("step"))).alias("k"))
-    least = upto.where(F.col("k") <= MOST_GRAMS).groupBy("lang").agg(F.min("step").alias("least"), F.max("k").alias("size"))
-    chosen = least.orderBy(F.desc("size"), "lang").limit(MOST_LANGS)
-    kept = counted.join(F.broadcast(chosen), "lang").where(F.floor(F.log2("n") * 8) >= F.col("least")).select("lang", "gram", "n")
-    sample = durable(_calibration_sample(rows, chosen.select("lang")))
+    sample = durable(_calibration_sample(rows))
     seen = sample.select("lang", "text").mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("m"))
-    kept = kept.join(seen, ["lang", "gram"], "left").select("lang", "gram", "n", (F.col("n") - F.coalesce("m", F.lit(0))).alias("rest")).toArrow()
-    langs = np.array(kept.column("lang").to_pylist(), object)
-    g, n, rest = kept.column("gram").to_numpy().view(np.uint64), kept.column("n").to_numpy(), kept.column("rest").to_numpy()
+    found = counted.join(seen, ["lang", "gram"], "left").select("lang", "gram", "n", (F.col("n") - F.coalesce("m", F.lit(0))).alias("rest")).toArrow()
+    names = found.column("lang").combine_chunks().dictionary_encode()
+    if isinstance(names, pa.ChunkedArray):
+        names = names.combine_chunks()
+    lang_of = names.indices.to_numpy(zero_copy_only=False)
+    g, n, rest = found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy(), found.column("rest").to_numpy()
     counts, unseen = {}, {}
-    for lang in sorted(set(langs)):
-        own = np.flatnonzero(langs == lang)
+    for i, lang in enumerate(names.dictionary.to_pylist()):
+        own = np.flatnonzero(lang_of == i)
         own = own[np.argsort(g[own])]
         counts[lang] = (g[own], n[own])
         own = own[rest[own] > 0]
@@ -261,17 +255,18 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", i
     return models
 
 
-def _calibration_sample(rows: DataFrame, langs: DataFrame) -> DataFrame:
+def _calibration_sample(rows: DataFrame) -> DataFrame:
     """(lang, text, weight): of each language a tenth of its rows, OWN_ROWS at least unless that is over half, CALIBRATION_ROWS at most.
 
     The weight is the number of rows that a row of the sample stands for.
     """
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("total")).join(F.broadcast(langs), "lang")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("total"))
     wanted = F.least(F.lit(CALIBRATION_ROWS), F.greatest(F.floor(F.col("total") / 10), F.least(F.lit(OWN_ROWS), F.floor(F.col("total") / 2))))
     sizes = sizes.withColumn("wanted", wanted).where("wanted > 0")
     hashed = rows.withColumn("h", F.xxhash64("id", F.length("text"))).withColumn("share", F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)))
     # About 1.5 times the wanted rows are sorted, whatever the input.
-    low = hashed.join(F.broadcast(sizes), "lang").where(F.col("share") < (1.5 * F.col("wanted") + 100) / F.col("total"))
+    few = sizes.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS
+    low = hashed.join(F.broadcast(sizes) if few else sizes, "lang").where(F.col("share") < (1.5 * F.col("wanted") + 100) / F.col("total"))
     first = low.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("share", "h"))).where(F.col("k") <= F.col("wanted"))
     return first.select("lang", "text", (F.col("total") / F.col("wanted")).alias("weight"))
 
