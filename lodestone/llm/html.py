@@ -1,12 +1,15 @@
 """Operator 5, HTML extraction by two passes of block rules.
 
 A page becomes blocks: runs of text between block-level tags, with their link
-characters, stop words and the containers around them. The first pass decides
-the clear blocks: containers that never hold an article (menus, forms, adverts,
-...) and link lists are bad; blocks in the page's article element are good; and
-elsewhere stop-word density, length and link density decide. Short or middling
-blocks stay open, and in the second pass take the label of the nearest decided
-neighbours.
+characters, stop words and the containers around them. Blocks in containers
+that never hold an article (menus, forms, adverts, ...) are barred. The first
+pass decides the clear ones of all others by link density, length and
+stop-word density, whether the page has an article element or not; where the
+page's own text shows no known language, length and link density decide alone.
+Short or middling blocks stay open, and in the second pass take the label of
+the nearest decided neighbours that aren't barred. An article element only
+tips the balance: open blocks in it need one good neighbour or no bad ones,
+blocks outside it two.
 """
 
 from __future__ import annotations
@@ -59,6 +62,8 @@ SHORT, LONG = 70, 200
 FEW_STOPS, MANY_STOPS = 0.12, 0.2
 MOST_LINK = 0.33
 MOST_ARTICLE_LINK = 0.66
+#: A page with fewer stop words than this share is in no language with a list.
+KNOWN_STOPS = 0.05
 
 
 @dataclass
@@ -68,22 +73,25 @@ class Block:
     in_article: bool
     barred: bool
 
-    def decide(self, has_article: bool) -> bool | None:
-        """True for good, False for bad, None where the neighbours decide."""
-        share = self.link_chars / len(self.text)
-        if self.barred or (has_article and not self.in_article):
-            return False
-        if self.in_article:
-            return share <= MOST_ARTICLE_LINK
-        if share > MOST_LINK or (self.link_chars and len(self.text) < SHORT):
-            return False
-        if len(self.text) < SHORT:
-            return None
+    def stop_words(self) -> tuple[int, int]:
+        """Stop words and words."""
         words = WORD.findall(self.text.lower())
-        stops = sum(w in STOPS for w in words) / max(1, len(words))
-        if stops >= MANY_STOPS and len(self.text) > LONG:
+        return sum(w in STOPS for w in words), len(words)
+
+    def decide(self, known: bool) -> bool | None:
+        """Pass one: True for good, False for bad, None where the neighbours decide. ``known``: the page has stop words."""
+        size, share = len(self.text), self.link_chars / len(self.text)
+        if self.barred or share > (MOST_ARTICLE_LINK if self.in_article else MOST_LINK):
+            return False
+        if size < SHORT:
+            return False if self.link_chars and not self.in_article else None
+        if not known:
+            return True if size > LONG or self.in_article else None
+        stops, words = self.stop_words()
+        density = stops / max(1, words)
+        if density >= MANY_STOPS and (size > LONG or self.in_article):
             return True
-        return None if stops >= FEW_STOPS else False
+        return None if density >= FEW_STOPS or self.in_article else False
 
 
 def _barred(tag: str, attributes: str, in_article: bool) -> bool:
@@ -244,28 +252,40 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-def main_text(page: str) -> str:
-    """The article's blocks joined by newlines; empty if there is none."""
-    found = blocks(page)
-    has_article = any(b.in_article and not b.barred for b in found)
-    labels = [b.decide(has_article) for b in found]
-    before, last = [], None
+def _nearest(labels: list[bool | None]) -> list[bool | None]:
+    """For each place the last decided label before it."""
+    found, last = [], None
     for x in labels:
-        before.append(last)
-        last = x if x is not None else last
-    after, last = [], None
-    for x in reversed(labels):
-        after.append(last)
+        found.append(last)
         last = x if x is not None else last
-    final = []
-    for b, x, left, right in zip(found, labels, before, reversed(after), strict=True):
-        if x is None:  # the page's edges count as bad, unless nothing is decided
-            if left is None and right is None:
-                x = len(b.text) >= SHORT
+    return found
+
+
+def judged(found: list[Block]) -> list[bool]:
+    """Both passes over a page's blocks: which of them are its main text."""
+    candidates = [b for b in found if not b.barred]
+    counts = [b.stop_words() for b in candidates]
+    known = sum(s for s, _ in counts) >= KNOWN_STOPS * sum(n for _, n in counts)
+    has_article = any(b.in_article for b in candidates)
+    labels = [b.decide(known) for b in candidates]
+    before, after = _nearest(labels), _nearest(labels[::-1])[::-1]
+    final = {}
+    for b, x, left, right in zip(candidates, labels, before, after, strict=True):
+        if x is None:  # the page's edges are bad, unless nothing is decided
+            if b.in_article:
+                x = bool(left or right) or (left is None and right is None)
+            elif left is None and right is None:
+                x = not has_article and len(b.text) >= SHORT
             else:
-                x = bool(left and right) if len(b.text) < SHORT else bool(left or right)
-        final.append(x)
-    return "\n".join(b.text for b, x in zip(found, final, strict=True) if x)
+                x = bool(left and right) if len(b.text) < SHORT or has_article else bool(left or right)
+        final[id(b)] = x
+    return [final.get(id(b), False) for b in found]
+
+
+def main_text(page: str) -> str:
+    """The article's blocks joined by newlines; empty if there is none."""
+    found = blocks(page)
+    return "\n".join(b.text for b, good in zip(found, judged(found), strict=True) if good)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
