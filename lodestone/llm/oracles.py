@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm.rules import COMMON_WORDS, GUARD_WORDS, MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE
+from lodestone.llm.rules import COMMON_WORDS, GUARD_WORDS, LEAST_COMMON_PART, LEAST_COMMON_SHARE, MOST_CLASS_DISTANCE, MOST_WORD_SHARE
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
@@ -33,10 +33,11 @@ h AS (SELECT doc_id, lang, base_failed, n_words, 'c' AS kind, unnest(classes) AS
 s AS (SELECT *, CASE WHEN total > 0 THEN x / total ELSE 0 END AS p FROM h),
 q AS (SELECT lang, kind, i, avg(p) AS q FROM s WHERE NOT base_failed AND n_words >= {GUARD_WORDS} GROUP BY lang, kind, i),
 d AS (SELECT doc_id, s.kind AS kind, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS d
-  FROM s JOIN q ON s.lang IS NOT DISTINCT FROM q.lang AND s.kind = q.kind AND s.i = q.i GROUP BY doc_id, s.kind)
+  FROM s JOIN q ON s.lang IS NOT DISTINCT FROM q.lang AND s.kind = q.kind AND s.i = q.i GROUP BY doc_id, s.kind),
+e AS (SELECT s.doc_id, 1 - p AS own, 1 - q AS usual, sqrt(((1 - q) + log2(2 / (1 + q)) + CASE WHEN q > 0 THEN q * log2(2 * q / (1 + q)) ELSE 0 END) / 2) AS most FROM s JOIN q ON s.lang IS NOT DISTINCT FROM q.lang AND s.kind = q.kind AND s.i = q.i WHERE s.kind = 'w' AND s.i = len({COMMON}) + 1)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(c.d, 6) AS class_distance, round(v.d, 6) AS word_distance,
-  NOT base_failed AND NOT (n_words >= {GUARD_WORDS} AND coalesce(c.d > {MOST_CLASS_DISTANCE} OR v.d > {MOST_WORD_DISTANCE}, false)) AS kept
-FROM f LEFT JOIN d c ON c.doc_id = f.doc_id AND c.kind = 'c' LEFT JOIN d v ON v.doc_id = f.doc_id AND v.kind = 'w'
+  NOT base_failed AND NOT (n_words >= {GUARD_WORDS} AND coalesce(c.d > {MOST_CLASS_DISTANCE} OR (usual >= {LEAST_COMMON_SHARE} AND own < {LEAST_COMMON_PART} * usual AND v.d > {MOST_WORD_SHARE} * most), false)) AS kept
+FROM f LEFT JOIN d c ON c.doc_id = f.doc_id AND c.kind = 'c' LEFT JOIN d v ON v.doc_id = f.doc_id AND v.kind = 'w' LEFT JOIN e ON e.doc_id = f.doc_id
 """
 
 OP6 = f"""

@@ -4,7 +4,9 @@ Every document gets counts of its character classes and of common words. The
 mean histograms of the documents of a language that pass the base rules are
 the language's reference; a document is dropped where its Jensen-Shannon
 distance from the reference of its language is too large, unless it is too
-short to tell.
+short to tell. How far common words can be from a reference at most depends on
+how many of them the language's documents hold, so that limit is a share of
+the distance of a document without any.
 """
 
 from __future__ import annotations
@@ -29,9 +31,14 @@ COMMON_WORDS = {
     "es": "de la que el en y a los se del las un",
 }
 
-#: Distances from 0 (same histogram) to 1 (nothing shared) beyond which a document is dropped.
+#: Distance from 0 (same histogram) to 1 (nothing shared) of the character classes beyond which a document is dropped.
 MOST_CLASS_DISTANCE = 0.3
-MOST_WORD_DISTANCE = 0.75
+#: A document is dropped where its common words are this near to having none: the share of the distance that a document
+#: without a common word has from its language's reference, while its share of common words is under this part of the
+#: reference's. A language whose own documents hold fewer common words than the last share has no such rule.
+MOST_WORD_SHARE = 0.9
+LEAST_COMMON_PART = 0.25
+LEAST_COMMON_SHARE = 0.05
 #: Documents of fewer words pass: their histograms say too little.
 GUARD_WORDS = 50
 
@@ -110,6 +117,12 @@ def divergence(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(p, q, part), F.lit(0.0), lambda a, x: a + x)))
 
 
+def distance_without(rest: Column) -> Column:
+    """The distance of a document of other words alone from a histogram whose share of other words is ``rest``."""
+    side = F.when(rest > 0, rest * F.log2(2 * rest / (1 + rest))).otherwise(F.lit(0.0))
+    return F.sqrt(((1 - rest) + F.log2(2 / (1 + rest)) + side) / 2)
+
+
 def references(counted: DataFrame) -> DataFrame:
     """(lang, ref_classes, ref_common): mean shares over the documents of a language that pass the base rules."""
     sizes = {"classes": 6, "common": len({w for x in COMMON_WORDS.values() for w in x.split()}) + 1}
@@ -134,7 +147,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     found = joined.withColumns({"class_distance": distance("classes"), "word_distance": distance("common")})
     long = F.col("n_words") >= GUARD_WORDS
     far = long & (F.col("class_distance") > MOST_CLASS_DISTANCE)
-    odd = long & (F.col("word_distance") > MOST_WORD_DISTANCE)
+    rest = lambda c: F.element_at(c, -1)
+    own, usual = 1 - rest(shares(F.col("common"))), 1 - rest(F.col("ref_common"))
+    odd = long & (usual >= LEAST_COMMON_SHARE) & (own < LEAST_COMMON_PART * usual) & (F.col("word_distance") > MOST_WORD_SHARE * distance_without(1 - usual))
     return found.select(
         F.col("id").alias(id_col),
         "n_words",
