@@ -25,8 +25,6 @@ DICTIONARY_BYTES = 112_640
 #: Labelled texts of each class that the fit reads at most, of at most so many characters each.
 SAMPLE_ROWS = 2400
 SAMPLE_CHARS = 20_000
-#: The dictionaries see at most so many blocks of each class.
-SAMPLE_BLOCKS = 20_000
 THRESHOLD = 0.7
 
 
@@ -62,23 +60,26 @@ class CompressionClassifier:
         return 1 / (1 + np.exp(-np.clip(self.slope * d + self.offset, -500, 500)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id") -> CompressionClassifier:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> CompressionClassifier:
     """A classifier from the ``docs`` that have a text and a label, 1 for good or 0 for bad, in ``labels``.
 
-    It reads at most SAMPLE_ROWS rows of each class, those of the lowest id
-    hashes: odd ranks for the dictionaries, even ones for the logistic curve,
-    weighted by the classes' shares of all labelled rows. With one class alone
-    or none, every score is the share of label 1 (0.5 where nothing is known).
+    It reads at most ``sample_rows`` rows of each class, of at most
+    ``sample_chars`` characters each, those of the lowest id hashes (equal
+    hashes by text): odd ranks for the dictionaries, which see all their
+    blocks, even ones for the logistic curve, weighted by the classes' shares
+    of all labelled rows. With one class alone or none, as in an empty table,
+    every score is the share of label 1 (0.5 where nothing is known). Repeated
+    rows of an id each count; rows without a text or a label don't.
     """
     sizes = docs.select(F.col(id_col).alias("id"), F.length(F.col(text_col).cast("string")).alias("chars")).where("chars is not null")
     labelled = sizes.join(labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)"), "id")
-    labelled = labelled.select("id", "y", F.xxhash64("id", F.lit(3)).alias("h"), F.col("chars").between(1, SAMPLE_CHARS).alias("fits"))
+    labelled = labelled.select("id", "y", F.xxhash64("id", F.lit(3)).alias("h"), F.col("chars").between(1, sample_chars).alias("fits"))
     tally = labelled.groupBy("y").agg(F.count("*").alias("n"), F.count_if("fits").alias("fit")).collect()
     share, texts = {r["y"]: r["n"] for r in tally}, {0: [], 1: []}
     for r in tally:
-        ids = lowest_hashes(labelled.where((F.col("y") == r["y"]) & F.col("fits")), "h", SAMPLE_ROWS, r["fit"]).select("id", "h")
-        got = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text").between(1, SAMPLE_CHARS))
-        got = got.join(F.broadcast(ids.dropDuplicates(["id"])), "id").orderBy("h", "text").limit(SAMPLE_ROWS)
+        ids = lowest_hashes(labelled.where((F.col("y") == r["y"]) & F.col("fits")), "h", sample_rows, r["fit"]).select("id", "h")
+        got = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text").between(1, sample_chars))
+        got = got.join(F.broadcast(ids.dropDuplicates(["id"])), "id").orderBy("h", "text").limit(sample_rows)
         texts[r["y"]] = [x["text"] for x in got.select("text").collect()]
     prior = (share.get(1, 0) + 1) / (share.get(0, 0) + share.get(1, 0) + 2)
     model = CompressionClassifier(b"", b"", 0.0, float(np.log(prior / (1 - prior))))
@@ -94,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col
 
 def _dictionary(texts: list[str]) -> bytes:
     raw = [x.encode() for x in texts]
-    blocks = [x[a : a + BLOCK] for x in raw for a in range(0, len(x), BLOCK)][:SAMPLE_BLOCKS]
+    blocks = [x[a : a + BLOCK] for x in raw for a in range(0, len(x), BLOCK)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, blocks).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: its own bytes serve as the dictionary

@@ -137,7 +137,9 @@ def _huge_counts(huge: DataFrame, tokenizer: str, chunk_chars: int, overlap: int
 
     chunks = texts.mapInArrow(cut, "key string, k long, start long, head long, tail long, stop long, text string")
     arrays = ", ".join(f"{x} array<long>" for x in ("head_at", "head_before", "tail_at", "tail_before"))
-    parts = chunks.repartition("key", "k").mapInArrow(encode, f"key string, k long, n_tokens long, {arrays}")
+    # A chunk is dear to encode and small to move, so the count of tasks is fixed instead of following the bytes.
+    tasks = max(int(huge.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * huge.sparkSession.sparkContext.defaultParallelism)
+    parts = chunks.repartition(tasks, "key", "k").mapInArrow(encode, f"key string, k long, n_tokens long, {arrays}")
 
     def splice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestone.llm import bagminhash, decontamination, html, langid, line_dedup, near_dedup, packing, quality, rules, substring_dedup, suffix_sort, token_counts
@@ -121,15 +122,42 @@ def test_rare_language_has_a_ceiling(spark, words):  # noqa: ANN001
     assert np.isfinite(alone.ceilings).all()
 
 
-def test_kneser_ney_sums_to_one():
-    s, _ = langid.symbols(["the cat sat on the mat and the rat", "a cat ate that"])
+def brute_kneser_ney(texts, order=4, discount=0.75):  # noqa: ANN001, ANN201
+    """The probability of a last symbol after its context, by counting in dictionaries."""
+    seen = Counter()
+    for t in texts:
+        x = "^" * (order - 1) + re.sub(r"[^a-z]+", " ", t.lower()) + "^"
+        seen.update(x[i : i + order] for i in range(len(x) - order + 1) if x[i + order - 1] != "^")
+    counts = {order: seen}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    floor = 1 / (len(counts[1]) + 1)
+
+    def p(g):  # noqa: ANN001, ANN202
+        if not g:
+            return floor
+        after = {x: n for x, n in counts[len(g)].items() if x[:-1] == g[:-1]}
+        if not after:
+            return p(g[1:])
+        total = sum(after.values())
+        n = after.get(g, 0)
+        return (n - min(discount, n)) / total + sum(min(discount, x) for x in after.values()) / total * p(g[1:])
+
+    return p
+
+
+def test_kneser_ney_against_brute_force():
+    texts, asked = ["the cat sat on the mat and the rat", "a cat, ate that", "the cat sat on the mat and the rat"], "that hat is at the zoo"
+    s, _ = langid.symbols(texts)
     g = langid.grams(s)
-    top, counts = np.unique(g[s[3:] != 1], return_counts=True)
-    model = langid.KneserNey.of(top, counts)
-    letters = model.grams[0]
-    for context in (top[0] >> np.uint64(16), top[5] >> np.uint64(16)):
-        p = model.prob(4, (context << np.uint64(16)) | letters)
-        assert 0.9 < p.sum() <= 1.0 + 1e-9
+    models = langid.LanguageModels.of({"xx": np.unique(g[s[3:] != 1], return_counts=True)})
+    p, x = brute_kneser_ney(texts), "^^^" + asked
+    want = -np.mean([np.log(p(x[i - 3 : i + 1])) for i in range(3, len(x))])
+    got, letters = models.cross_entropies([asked, "", "THAT hat  is at the zoo"])
+    assert got[0, 0] == pytest.approx(want) and got[2, 0] == pytest.approx(want) and got[1, 0] == 0 and list(letters) == [17, 0, 17]
+    model = models.models[0]
+    assert all((np.diff(a.astype(object)) > 0).all() for a in [*model.grams, *model.contexts])
+    assert sum(p("the"[:3] + c) for c in {y for t in texts for y in re.sub(r"[^a-z]+", " ", t)}) == pytest.approx(1, abs=0.1)
 
 
 def test_quality(spark):  # noqa: ANN001
@@ -157,6 +185,36 @@ def test_html():
     assert html.main_text(plain) == "\n".join([text.strip(), "Short © one.", text.strip()])
 
 
+def test_html_rules_without_containers():
+    """What an article element, known containers and stop words would tell is gone: lengths, links and neighbours decide."""
+    long = "".join(chr(0x3042 + i * 7 % 80) for i in range(120)) + "。"
+    page = f"<body><div>{long[:9]}</div><p>{long * 2}</p><p>{long[:40]}</p><p>{long * 2}</p><div><a href=1>{long * 2}</a></div><div>{long[:12]}</div></body>"
+    assert html.main_text(page) == "\n".join([long * 2, long[:40], long * 2])
+    text = "It was the best of the times and it was the worst of the times that they had seen in all of the years they were there for, and more than that of any other. " * 2
+    beside = f"<article><p>{text}</p></article><div>Short and outside.</div><div>{text}</div>"
+    assert html.main_text(beside) == "\n".join([text.strip(), "Short and outside.", text.strip()])
+    assert html.main_text(f"<article><h1>A title</h1><p>{text}</p><p>The end.</p></article><div>Outside.</div>") == f"A title\n{text.strip()}\nThe end."
+
+
+def test_html_passes_on_pages(spark):  # noqa: ANN001
+    """Both passes work on ordinary pages, and the rules alone find nearly what the article element shows."""
+    kept = lost = more = undecided = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        want = html.main_text(r["html"]).split("\n")
+        got = html.main_text(re.sub(r"<(/?)(article|main)\b", r"<\1div", r["html"]).replace('role="main"', "")).split("\n")
+        kept += sum(len(x) for x in want if x in got)
+        lost += sum(len(x) for x in want if x not in got)
+        more += sum(len(x) for x in got if x not in want)
+        undecided += sum(b.decide(True) is None for b in html.blocks(r["html"]))
+    assert undecided > 100 and kept > 0.9 * (kept + lost) and more < 0.02 * kept
+
+
+def test_very_long_page():
+    text = "It was the best of the times and it was the worst of the times that they had seen in all of the years. "
+    page = "<body><nav>Menu</nav>" + f"<p>{text * 3}</p><p>Short.</p>" * 20_000 + f"<p>{text * 3}</p></body>"
+    assert len(html.main_text(page).split("\n")) == 40_001
+
+
 def test_html_with_unclosed_silent_elements():
     body = "<article><p>First part.</p><div>{}</div><p>Second part.</p></article>"
     want = "First part.\nSecond part."
@@ -283,6 +341,10 @@ def test_decontamination(spark, docs_of, words):  # noqa: ANN001
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
     left = decontamination.decontaminate(docs_of(rows), spark.createDataFrame(items, "item_id long, text string"))
     assert {r["doc_id"] for r in left.collect()} == {i for i, _ in rows} - {i for i, _ in want}
+    twins = docs_of([rows[2], (2, rows[4][1]), rows[2], (None, rows[3][1]), (None, rows[4][1])])
+    left = decontamination.decontaminate(twins, spark.createDataFrame(items, "item_id long, text string"))
+    assert [(r["doc_id"], r["text"]) for r in left.orderBy(F.desc("doc_id")).collect()] == [(2, rows[4][1]), (None, rows[4][1])] and left.columns == twins.columns
+    assert decontamination.decontaminate(docs_of(rows), spark.createDataFrame([], "item_id long, text string")).count() == len(rows)
     assert decontamination.contaminated(docs_of(rows), spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert decontamination.contaminated(docs_of([]), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
@@ -373,6 +435,20 @@ def test_rules(spark, docs_of, words):  # noqa: ANN001
     assert rules.judge(docs_of([])).count() == 0
 
 
+def test_documents_without_common_words(spark):  # noqa: ANN001
+    """Salad of the language's letters and word lengths but without its common words goes by the word distance alone."""
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    common = {w for x in rules.COMMON_WORDS.values() for w in x.split()}
+    some = [r["text"] for r in base.where("lang = 'en' and length(text) between 1500 and 4000").orderBy("doc_id").limit(5).collect()]
+    planted = [(10_000_000 + i, " ".join(w for w in t.split() if w.lower().strip(".,") not in common), "en", "s", 0) for i, t in enumerate(some)]
+    got = {r["doc_id"]: r for r in rules.judge(base.unionByName(spark.createDataFrame(planted, base.schema))).collect()}
+    usable = [got[i] for i, t, *_ in planted if not got[i]["base_failed"]]
+    assert usable and not any(r["kept"] for r in usable) and all(r["class_distance"] < rules.MOST_CLASS_DISTANCE for r in usable)
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    good = [got[i]["kept"] for i, q in labels.items() if q == 1 and not got[i]["base_failed"]]
+    assert np.mean(good) > 0.99
+
+
 def test_divergence_formula(spark):  # noqa: ANN001
     from pyspark.sql import functions as F
 
