@@ -93,6 +93,34 @@ def parsed_date(x: Column) -> Column:
     return F.coalesce(epoch.cast("date"), *(F.try_to_timestamp(x, F.lit(f)).cast("date") for f in formats))
 
 
+def last_week(day: Column) -> Column:
+    """``yyyyMMdd-yyyyMMdd`` of the Monday and Sunday of the week before a date's."""
+    monday = F.date_sub(F.date_trunc("week", day.cast("timestamp")).cast("date"), 7)
+    return F.concat_ws("-", F.date_format(monday, "yyyyMMdd"), F.date_format(F.date_add(monday, 6), "yyyyMMdd"))
+
+
+def with_range(query: Column, first: Column, last: Column) -> Column:
+    """A query text with each ``[a TO b]`` replaced by ``[first TO last]``."""
+    return F.regexp_replace(query, F.lit(r"\[[^\[\]]*? TO [^\[\]]*?\]"), F.concat(F.lit("["), first, F.lit(" TO "), last, F.lit("]")))
+
+
+def topics(text: Column, keywords: dict[str, list[str]], most: int = 2) -> Column:
+    """The first ``most`` topics, in their order, of which the text holds a keyword."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    held = [F.when(F.greatest(F.lit(False), *(F.contains(low, F.lit(w.lower())) for w in words)), F.lit(topic)) for topic, words in keywords.items()]
+    return F.slice(F.array_compact(F.array(*held)), 1, most)
+
+
+def vector_literal(vector: Column) -> Column:
+    """``[1.0,2.5]`` of a vector, and null of null."""
+    return F.when(vector.isNotNull(), F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: x.cast("string")), ","), F.lit("]")))
+
+
+def literal_vector(text: Column) -> Column:
+    """The vector of a literal; null where it can't be read."""
+    return F.from_json(text, "array<float>")
+
+
 def token_estimate(x: Column) -> Column:
     """A quarter of the characters, the estimate where no tokenizer is at hand."""
     return (F.char_length(F.coalesce(x, F.lit(""))) / 4).cast("long")

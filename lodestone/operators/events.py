@@ -107,6 +107,25 @@ def throttled(events: DataFrame, by: list[str], order: list[str], seconds: Colum
     return folded(events, by, order, seconds.cast("double"), start, step).select(*by, "result.fired")
 
 
+def rationed(events: DataFrame, by: list[str], order: list[str], seconds: Column, size: float = 5.0, per_second: float = 0.01) -> DataFrame:
+    """(by, passed): how many events a token bucket of ``size`` lets pass that refills by ``per_second`` and starts full."""
+    start = F.struct(F.lit(0).alias("passed"), F.lit(float(size)).alias("left"), F.lit(None).cast("double").alias("last"))
+
+    def step(a: Column, x: Column) -> Column:
+        filled = F.least(F.lit(float(size)), a["left"] + F.coalesce(x - a["last"], F.lit(0.0)) * per_second)
+        go = filled >= 1
+        return F.struct((a["passed"] + go.cast("int")).alias("passed"), (filled - go.cast("double")).alias("left"), x.alias("last"))
+
+    return folded(events, by, order, seconds.cast("double"), start, step).select(*by, "result.passed")
+
+
+def important(events: DataFrame, lists: dict[str, list[str]], kind: str, trigger: Column) -> DataFrame:
+    """Events with ``pass``: always for white kinds, never for black ones, for all others by a trigger."""
+    white, black = F.col(kind).isin(lists.get("white", [])), F.col(kind).isin(lists.get("black", []))
+    hit = F.coalesce(trigger, F.lit(False))
+    return events.withColumn("pass", F.when(F.coalesce(white, F.lit(False)), True).when(F.coalesce(black, F.lit(False)), False).otherwise(hit))
+
+
 def decayed(similarity: Column, seconds: Column, tau_seconds: float) -> Column:
     return 0.5 * similarity + 0.2 * F.exp(-F.abs(seconds) / tau_seconds)
 

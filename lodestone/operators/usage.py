@@ -49,7 +49,7 @@ def cost(input_tokens: Column, output_tokens: Column, input_price: Column, outpu
     return input_tokens / 1e6 * input_price + output_tokens / 1e6 * output_price
 
 
-def usage_rollup(priced_chats: DataFrame) -> DataFrame:
+def usage_rollup(priced_chats: DataFrame, digits: int = 6) -> DataFrame:
     """Chats, tokens and cost of each provider and model, with a total row of each provider (model null)."""
     usd = F.when(F.col("known"), cost(F.col("input_tokens"), F.col("output_tokens"), F.col("input_price"), F.col("output_price")))
     rows = priced_chats.withColumn("usd_", usd)
@@ -57,7 +57,7 @@ def usage_rollup(priced_chats: DataFrame) -> DataFrame:
         F.count("*").alias("chats"),
         F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
-        F.round(F.coalesce(F.sum("usd_"), F.lit(0.0)), 6).alias("cost"),
+        F.round(F.coalesce(F.sum("usd_"), F.lit(0.0)), digits).alias("cost"),
         F.count_if(F.col("input_price").isNull()).alias("unpriced"),
         F.grouping_id().alias("level_"),
     ).where("level_ < 3").drop("level_")

@@ -166,7 +166,7 @@ CHATS = (
 
 
 @query(
-    f"WITH {CHATS} SELECT provider, model, count(*) AS chats, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, round(coalesce(sum(input_tokens / 1e6 * i + output_tokens / 1e6 * o), 0), 6) AS cost, count_if(i IS NULL)::BIGINT AS unpriced "
+    f"WITH {CHATS} SELECT provider, model, count(*) AS chats, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, round(coalesce(sum(input_tokens / 1e6 * i + output_tokens / 1e6 * o), 0), 8) AS cost, count_if(i IS NULL)::BIGINT AS unpriced "
     "FROM c LEFT JOIN p ON lower(c.model) = p.m GROUP BY ROLLUP (provider, model) HAVING provider IS NOT NULL OR model IS NOT NULL"
 )
 def use_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +174,7 @@ def use_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = F.element_at(F.array(*map(F.lit, ["gpt-4o", "O3", "o4-mini", "other"])), (F.col("event_id") % 4 + 1).cast("int"))
     chats = e.select(F.when(F.col("user_id") % 2 == 0, "Azure").otherwise("azure").alias("provider"), models.alias("model"), F.when(F.col("event_id") % 5 == 0, 0).otherwise(F.col("user_id") * 3).cast("long").alias("input_tokens"), (F.col("user_id") + 7).cast("long").alias("output_tokens"))
     known = chats.withColumn("known", (F.col("input_tokens") > 0) | (F.col("output_tokens") > 0))
-    return usage.usage_rollup(usage.priced(known, usage.price_table(spark)))
+    return usage.usage_rollup(usage.priced(known, usage.price_table(spark)), 8)  # costs are multiples of 1e-8, so no tie is rounded
 
 
 @query("SELECT d.source, count(*) AS total, count_if(l.quality = 1) AS good, coalesce(count_if(l.quality = 1) / count(*), 0) AS rate FROM labels l JOIN documents d USING (doc_id) GROUP BY d.source")
