@@ -251,8 +251,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(f"`{text_col}`").alias("text"))
-    keyed = rows.select("id", _text_key(F.col("text")).alias("t"), "text")
-    texts = durable(keyed.groupBy("t").agg(F.count("*").alias("copies"), F.any_value("text").alias("text")), tidy=True)
+    keyed = rows.select(_text_key(F.col("text")).alias("key"), "text")
+    distinct = keyed.groupBy("key").agg(F.count("*").alias("copies"), F.any_value("text").alias("text"))
+    # Numbers, fixed by this table, stand for the texts in all that is shuffled: they are half as wide as keys, and rows of one text compress.
+    texts = durable(distinct.select(F.monotonically_increasing_id().alias("t"), "key", "copies", "text"), tidy=True)
     ranges = durable(repeated_ranges(texts.select("t", "text"), length, k).groupBy("t").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), tidy=True)
     joined = texts.join(ranges, "t", "left")
 
@@ -268,10 +270,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out.append((size, size - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None))
             cols = list(zip(*out, strict=True)) if out else [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([b.column("t"), *(pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True))], ["t", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), *(pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True))], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    schema = texts.select("t").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").add("kept", "binary")
-    done = joined.select("t", "text", "copies", "ranges").mapInArrow(cut, schema)
-    ids = rows.select("id", _text_key(F.col("text")).alias("t"))
+    schema = texts.select("key").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").add("kept", "binary")
+    done = joined.select("key", "text", "copies", "ranges").mapInArrow(cut, schema)
+    ids = rows.select("id", _text_key(F.col("text")).alias("key"))
     columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_bytes]
-    return ids.join(done, "t").select(F.col("id").alias(id_col), *columns)
+    return ids.join(done, "key").select(F.col("id").alias(id_col), *columns)
