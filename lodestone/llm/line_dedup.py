@@ -50,11 +50,11 @@ def _bucket(word: Column) -> Column:
 
 
 def rarity_classes(keyed: DataFrame) -> Column:
-    """For each bucket the rounded-up logarithm of its words' count over all texts, as an array of BUCKETS numbers."""
+    """For each bucket the rounded-up logarithm of its words' count over all texts, as an array of BUCKETS numbers, each above HASH_BITS."""
     counted = keyed.select(F.explode(F.split(F.lower("text"), " ")).alias("word")).groupBy(_bucket(F.col("word")).alias("bucket"))
     classes = counted.agg(F.ceil(4 * F.log2(F.count("*") + 1)).cast("int").alias("class")).collect()  # at most BUCKETS rows
     found = {r["bucket"]: r["class"] for r in classes}
-    return F.split(F.lit(",".join(str(found.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(str(found.get(b, 0) << HASH_BITS) for b in range(BUCKETS))), ",").cast("array<bigint>")
 
 
 def ordered_tokens(line: Column, classes: Column) -> Column:
@@ -62,7 +62,7 @@ def ordered_tokens(line: Column, classes: Column) -> Column:
     mask = F.lit((1 << HASH_BITS) - 1)
 
     def keyed(w: Column) -> Column:
-        rare = lambda h: F.shiftleft(F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), HASH_BITS)
+        rare = lambda h: classes[h.bitwiseAND(F.lit(BUCKETS - 1))]
         at = F.sequence(F.lit(0), F.size(w) - SHINGLE_WORDS)
         many = lambda h: F.transform(at, lambda i: rare(F.get(h, i)).bitwiseOR(F.xxhash64(*(F.get(h, i + k) for k in range(SHINGLE_WORDS))).bitwiseAND(mask)))
         return F.when(F.size(w) >= SHINGLE_WORDS, bind(F.transform(w, lambda x: F.xxhash64(x)), many)).otherwise(shingles_of(w))

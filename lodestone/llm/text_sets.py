@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,7 +20,10 @@ def bind(value: Column, body) -> Column:  # noqa: ANN001
 
 def words_of(text: Column) -> Column:
     """Lower-case words between white space."""
-    return F.array_remove(F.split(F.lower(text), SPACE), "")
+    low = F.lower(text)
+    # Text with single spaces alone is split at these, without a pattern.
+    other = [text == "", text.startswith(" "), text.endswith(" "), *(text.contains(c) for c in ("  ", "\t", "\n", "\x0b", "\f", "\r"))]
+    return F.when(reduce(or_, other), F.array_remove(F.split(low, SPACE), "")).otherwise(F.split(low, " "))
 
 
 def shingles_of(words: Column, size: int = SHINGLE_WORDS) -> Column:
