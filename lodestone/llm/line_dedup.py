@@ -83,10 +83,10 @@ def _may_match(x: str, y: str, threshold: float) -> Column:
 
 def bitmap(hashes: Column) -> tuple[Column, Column]:
     """128 bits, each the parity of how many of the hashes fall on it, as two numbers."""
-    bit = lambda of, h: F.call_function("shiftleft", of, h.bitwiseAND(63).cast("int"))
-    odd = F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(F.shiftright(h, 6).bitwiseAND(1), h)))
-    even = F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(F.lit(1) - F.shiftright(h, 6).bitwiseAND(1), h)))
-    return even.alias("even"), odd.alias("odd")
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    bits = lambda half: F.aggregate(half, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
+    half = lambda side: F.filter(hashes, lambda h: h.bitwiseAND(64) == side)
+    return bits(half(0)).alias("even"), bits(half(64)).alias("odd")
 
 
 def _bits_allow(x: str, y: str, threshold: float) -> Column:
