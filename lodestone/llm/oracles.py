@@ -80,3 +80,32 @@ SELECT doc_id, least(doc_id, coalesce(min(b), doc_id)) AS class_id FROM document
 """
 
 SQL = {"op4_decontamination": OP4, "op6_line_dedup": OP6, "op8_near_dedup": OP8, "op10_quality_rules": OP10}
+
+OP12_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+#: crc32 by its table of 256 remainders, folded over the bytes of each distinct word.
+OP12 = f"""
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t),
+d AS (SELECT row_number() OVER () AS row, doc_id, {OP12_WORDS} AS w FROM documents),
+b AS (SELECT {OP12_WORDS} AS w FROM benchmark),
+f AS (SELECT row, unnest(w) AS w FROM d), g AS (SELECT unnest(w) AS w FROM b),
+v AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM f UNION SELECT w FROM g)),
+k AS (SELECT w, list_reduce(list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295) AS c FROM v, crc),
+h AS (SELECT w, xor(c, 4294967295) % 10000 AS bucket FROM k),
+s AS (SELECT bucket, count(*) AS s FROM f JOIN h USING (w) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM g JOIN h USING (w) GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s FULL JOIN t USING (bucket)),
+p AS (SELECT row, sum(gain)::BIGINT AS weight FROM f JOIN h USING (w) JOIN gain USING (bucket) GROUP BY row),
+x AS (SELECT row, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+  floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise FROM d LEFT JOIN p USING (row)),
+r AS (SELECT row, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS rank FROM x WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN rank <= 10 * (SELECT count(*) FROM r) // 100 THEN rank END AS rank FROM x LEFT JOIN r USING (row)"""
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {words("coalesce(text, '')")} AS w FROM documents),
+s AS (SELECT row, doc_id, unnest(range(len(w) - 19)) AS i, unnest(list_transform(range(len(w) - 19), lambda i: array_to_string(w[i + 1:i + 20], ' '))) AS x FROM d WHERE len(w) >= 20),
+o AS (SELECT row, i, min((doc_id, i)) OVER (PARTITION BY x) < (doc_id, i) AS later FROM s),
+c AS (SELECT DISTINCT row, unnest(range(i, i + 20)) AS i FROM o WHERE later),
+g AS (SELECT row, list(i) AS gone FROM c GROUP BY row),
+k AS (SELECT doc_id, w, CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(len(w)), lambda i: NOT list_contains(gone, i)), lambda i: w[i + 1]) END AS kept FROM d LEFT JOIN g USING (row))
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(kept))::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k"""
+SQL |= {"op12_importance": OP12, "op13_passage_dedup": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontamination, html, langid, line_dedup, near_dedup, oracles, packing, quality, rules, substring_dedup, token_counts
+from lodestone.llm import decontamination, html, importance, langid, line_dedup, near_dedup, oracles, packing, passage_dedup, quality, rules, substring_dedup, token_counts, whitening
 from lodestone.llm.common import held_out, read_table, worker_path
 
 
@@ -58,6 +58,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.remove_passages(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
