@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.records import last_wins
+
 
 def runs(events: DataFrame, by: list[str], order: list[str], same: list[str]) -> DataFrame:
     """(by, run, same, n, first, last): stretches of consecutive events with the same values."""
@@ -19,8 +21,7 @@ def runs(events: DataFrame, by: list[str], order: list[str], same: list[str]) ->
 
 def latest(events: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """The last event of each key."""
-    w = Window.partitionBy(*by).orderBy(*(F.desc(c) for c in order))
-    return events.withColumn("nth_", F.row_number().over(w)).where("nth_ = 1").drop("nth_")
+    return last_wins(events, by, order)
 
 
 def proximity_join(anchors: DataFrame, events: DataFrame, key: str, anchor_ts: str, event_ts: str, before: str, after: str) -> DataFrame:

@@ -3,24 +3,30 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import shard_of
 from lodestone.functions.vectors import as_vector, cosine
 
 
+def _one(rows: DataFrame, keys: list[str], best: Callable[[Column, Column], Column], sequence: list[Column]) -> DataFrame:
+    """One whole row for each key; partial aggregation keeps one candidate of each key before the shuffle."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
+    picked = rows.groupBy(*(F.col(f"`{k}`").alias(f"key_{i}_") for i, k in enumerate(keys))).agg(best(whole, F.struct(*sequence)).alias("row_"))
+    return picked.select("row_.*")
+
+
 def last_wins(rows: DataFrame, keys: list[str], sequence: list[str]) -> DataFrame:
-    """One row for each key: the last by the sequence columns."""
-    latest = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in sequence))
-    return rows.withColumn("nth_", F.row_number().over(latest)).where("nth_ = 1").drop("nth_")
+    """One row for each key: the last by the sequence columns, null first."""
+    return _one(rows, keys, F.max_by, [F.col(c) for c in sequence])
 
 
 def first_wins(rows: DataFrame, keys: list[str], sequence: list[str]) -> DataFrame:
-    """One row for each key: the first by the sequence columns."""
-    earliest = Window.partitionBy(*keys).orderBy(*sequence)
-    return rows.withColumn("nth_", F.row_number().over(earliest)).where("nth_ = 1").drop("nth_")
+    """One row for each key: the first by the sequence columns, null first."""
+    return _one(rows, keys, F.min_by, [F.col(c) for c in sequence])
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], sequence: list[str]) -> DataFrame:

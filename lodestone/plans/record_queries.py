@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lodestone.operators import records
 from lodestone.operators import vector_search as vs
 from lodestone.plans.registry import query, table
+from lodestone.sources.shared import new_folder
+from lodestone.sources.sharded import ShardedTable
 
 
 @query("SELECT d.doc_id, l.doc_id IS NOT NULL AS found FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
@@ -26,6 +28,31 @@ def rec_upsert_lastwins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.upsert(e.where("false"), e, ["user_id"], ["event_id"])
 
 
+@query(
+    "WITH w AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN 1 WHEN user_id % 5 = 0 THEN 2 END AS write FROM events) "
+    "SELECT user_id::VARCHAR AS id, event_type AS content, event_id AS seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY write DESC, event_id DESC) AS k FROM w WHERE write IS NOT NULL AND user_id % 7 <> 0) WHERE k = 1"
+)
+def rec_sharded_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's last event in a sharded table: even events are written first, the odd ones of every fifth user upserted, every seventh user deleted."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("content"), F.col("event_id").alias("seq"), "user_id")
+    store = ShardedTable(spark, new_folder(spark, "sharded"), "id string, content string, seq long")
+    store.upsert(e.where("seq % 2 = 0"), ["seq"])
+    store.upsert(e.where("seq % 2 = 1 and user_id % 5 = 0"), ["seq"])
+    store.delete(e.where("user_id % 7 = 0").select("id").distinct())
+    return store.read()
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (c_custkey % 10 = 0 AND c_mktsegment = 'UPDATED') AS updated FROM (SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'UPDATED' ELSE c_mktsegment END AS c_mktsegment FROM customer)")
+def rec_sharded_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates of customers that are all there take effect; a batch with one that isn't changes nothing."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    store = ShardedTable(spark, new_folder(spark, "sharded"), "c_custkey long, c_mktsegment string", "c_custkey")
+    store.insert_absent(c, ["c_custkey"])
+    store.update(c.where("c_custkey % 10 = 0").withColumn("c_mktsegment", F.lit("UPDATED")), ["c_custkey"])
+    store.update(c.select((F.col("c_custkey") * 2).alias("c_custkey"), F.lit("LOST").alias("c_mktsegment")), ["c_custkey"])
+    return store.read().agg(F.count("*").alias("n"), F.count_if((F.col("c_custkey") % 10 == 0) & (F.col("c_mktsegment") == "UPDATED")).alias("updated"))
+
+
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k = 1")
 def rec_insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", "event_id")

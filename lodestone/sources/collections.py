@@ -1,8 +1,9 @@
-"""Collections of records and points as versioned Parquet tables.
+"""Collections of records and points.
 
-Every write makes a new version beside the old one and becomes visible with its
-``_SUCCESS`` file, so a failed write changes nothing. Records are (id,
-attributes as JSON, content, vector, ts), points (metric, ts, tags, fields).
+Records are (id, attributes as JSON, content, vector, ts) in a sharded table, so
+that a write rewrites only the shards of its ids. Points are (metric, ts, tags,
+fields) in files that are only added to. A specification becomes visible with
+its ``_SUCCESS`` file, so a failed write changes nothing.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.filters import Filter, apply_filter, compile_filter, record_field
 from lodestone.operators import records, vector_search
+from lodestone.sources.sharded import ShardedTable
 
 RECORD = "id string, attributes string, content string, vector array<float>, ts timestamp_ntz"
 POINT = "metric string, ts timestamp_ntz, tags map<string,string>, fields string"
@@ -48,8 +50,8 @@ class CollectionSpec:
 class Collections:
     """All collections under one folder."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, shards: int = 16):
+        self.spark, self.root, self.shards = spark, root.rstrip("/"), shards
 
     def _folder(self, name: str) -> str:
         return f"{self.root}/um_{re.sub(r'[^0-9A-Za-z_]', '_', name)[:60]}"
@@ -71,25 +73,21 @@ class Collections:
         number = int(found[-1].rsplit("/v", 1)[1]) + 1 if found else 0
         df.write.mode("errorifexists").parquet(f"{self._folder(name)}/{part}/v{number:08d}")
 
-    def vacuum(self, name: str, part: str = "records", keep: int = 2) -> int:
-        """Delete all but the last ``keep`` versions, which nothing may be reading; how many went."""
-        old = self._versions(name, part)[: -max(1, keep)]
-        for path in old:
-            fs, p = self._fs(path)
-            fs.delete(p, True)
-        return len(old)
+    def table(self, name: str) -> ShardedTable:
+        """The records' table."""
+        return ShardedTable(self.spark, f"{self._folder(name)}/records", RECORD, "id", self.shards)
 
-    def rollback(self, name: str, part: str = "records") -> bool:
-        """Drop the last version, so that the one before is current; whether there was one before."""
-        found = self._versions(name, part)
-        if len(found) < 2:
-            return False
-        fs, p = self._fs(found[-1])
-        return fs.delete(p, True)
+    def vacuum(self, name: str, keep: int = 2) -> int:
+        """Delete the files that the last ``keep`` versions don't use, which nothing may be reading; how many folders went."""
+        return self.table(name).vacuum(keep)
+
+    def rollback(self, name: str) -> bool:
+        """Make the version before the last current; whether there was one."""
+        return self.table(name).rollback()
 
     def clear(self, name: str) -> None:
         """A version without any record."""
-        self._write(records.cleared(self.records(name)), name, "records")
+        self.table(name).clear()
 
     def _read(self, name: str, part: str, schema: str) -> DataFrame:
         found = self._versions(name, part)
@@ -118,27 +116,24 @@ class Collections:
         return fs.delete(p, True)
 
     def records(self, name: str) -> DataFrame:
-        return self._read(name, "records", RECORD)
+        return self.table(name).read()
 
     def upsert(self, name: str, rows: DataFrame, sequence: list[str]) -> None:
-        """Records by id, the last of the sequence columns wins; vectors must have the collection's dimension."""
+        """Records by id, the last of the sequence columns wins; those without an id get one. Vectors must have the collection's dimension."""
         spec = self.describe(name) or CollectionSpec(name)
         dims = set(spec.vector_dims.values())
-        columns = ["id", "attributes", "content", "vector", "ts"]
-        new = records.last_wins(rows, ["id"], sequence).select(*columns)
         if dims:
             bad = F.col("vector").isNotNull() & ~F.size("vector").isin(*dims)
-            new = new.withColumn("vector", F.when(bad, F.raise_error(F.lit("vector of another dimension"))).otherwise(F.col("vector")))
-        old = self.records(name)
-        self._write(old.join(new.select("id"), "id", "left_anti").select(*columns).unionByName(new), name, "records")
+            rows = rows.withColumn("vector", F.when(bad, F.raise_error(F.lit("vector of another dimension"))).otherwise(F.col("vector")))
+        self.table(name).upsert(rows, sequence)
+
+    def lookup(self, name: str, ids: list[str]) -> DataFrame:
+        """The records of some ids, from their shards alone."""
+        return self.table(name).lookup(ids)
 
     def delete(self, name: str, spec: Filter) -> int:
         """Delete what a filter matches; how many records went."""
-        old = self.records(name)
-        hit = F.coalesce(compile_filter(spec.expr, record_field()), F.lit(False))
-        gone = old.where(hit).count()
-        self._write(old.where(~hit), name, "records")
-        return gone
+        return self.table(name).delete_where(compile_filter(spec.expr, record_field()))
 
     def query(self, name: str, spec: Filter, mode: str = "sql") -> DataFrame:
         return apply_filter(self.records(name), spec, record_field(), mode)
