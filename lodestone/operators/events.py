@@ -24,10 +24,24 @@ def latest(events: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return last_wins(events, by, order)
 
 
-def proximity_join(anchors: DataFrame, events: DataFrame, key: str, anchor_ts: str, event_ts: str, before: str, after: str) -> DataFrame:
-    """Events of an anchor's key from ``before`` ahead of it to ``after`` behind it."""
-    start, stop = F.col(anchor_ts) - F.expr(f"interval {before}"), F.col(anchor_ts) + F.expr(f"interval {after}")
-    return anchors.join(events, (anchors[key] == events[key]) & events[event_ts].between(start, stop))
+def anchored(anchors: DataFrame, events: DataFrame, key: str, ts: str, before_seconds: int, after_seconds: int) -> DataFrame:
+    """Every event of an anchor's key from ``before_seconds`` ahead of it to ``after_seconds`` behind it, both included.
+
+    The anchor's columns are named anchor_..., the event's as they are; offset
+    is the event's seconds from the anchor. Rows without a key or a time match
+    nothing. Time is cut into bins as wide as the reach, so that an anchor looks
+    into two bins, or three at most, and a key's long history is as many tasks
+    as it has bins.
+    """
+    reach = max(1, before_seconds + after_seconds) * 1_000_000
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    bin_of = lambda c: F.floor(c / F.lit(reach)).cast("long")
+    named = anchors.select(*(F.col(f"`{c}`").alias(f"anchor_{c}") for c in anchors.columns), F.col(key).alias("key_"), micros(ts).alias("at_"))
+    low, high = F.col("at_") - before_seconds * 1_000_000, F.col("at_") + after_seconds * 1_000_000
+    spread = named.where("key_ is not null and at_ is not null").withColumn("bin_", F.explode(F.sequence(bin_of(low), bin_of(high))))
+    dealt = events.withColumn("time_", micros(ts)).withColumn("slot_", bin_of(F.col("time_")))
+    met = spread.join(dealt, (F.col("key_") == F.col(key)) & (F.col("bin_") == F.col("slot_")) & F.col("time_").between(low, high))
+    return met.withColumn("offset", (F.col("time_") - F.col("at_")) / 1_000_000.0).drop("key_", "at_", "bin_", "time_", "slot_")
 
 
 def proximity_counts(events: DataFrame, key: str, ts: str, before_seconds: int, after_seconds: int, name: str = "n") -> DataFrame:

@@ -46,7 +46,7 @@ def sharded_top_k(df: DataFrame, query: list[float], k: int, shard: Column, vect
     return scored.withColumn("shard_rank", F.row_number().over(best)).where(F.col("shard_rank") <= k).orderBy(F.desc("score"), tie).limit(k)
 
 
-def _meet(queries: DataFrame, corpus: DataFrame, vector: str, id_col: str, extra: list[tuple[str, Column]], block_rows: int, meet, schema: str) -> DataFrame:  # noqa: ANN001
+def meet_blocks(queries: DataFrame, corpus: DataFrame, vector: str, id_col: str, extra: list[tuple[str, Column]], block_rows: int, meet, schema: str) -> DataFrame:  # noqa: ANN001
     """Deal both sides into blocks of about ``block_rows`` rows and let every two blocks meet in a task of their own.
 
     Rows without a vector take no part. Every row is copied once for each block
@@ -64,7 +64,7 @@ def _meet(queries: DataFrame, corpus: DataFrame, vector: str, id_col: str, extra
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, schema)
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
+def unit_rows(vectors: pd.Series) -> np.ndarray:
     x = np.stack(vectors.to_numpy()).astype(np.float64)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), EPS)
 
@@ -84,7 +84,7 @@ def neighbours(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cos
         out = {"query_id": [], "id": [], "distance": []}
         if len(q) and len(c):
             if metric == "cosine":
-                d = 1 - np.clip(_unit(q.v) @ _unit(c.v).T, -1, 1)
+                d = 1 - np.clip(unit_rows(q.v) @ unit_rows(c.v).T, -1, 1)
             else:
                 a, b = (np.stack(x.v.to_numpy()).astype(np.float64) for x in (q, c))
                 d = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
@@ -102,7 +102,7 @@ def neighbours(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cos
         return pd.DataFrame(out)
 
     kind = queries.schema[id_col].dataType.simpleString()
-    met = _meet(queries, corpus, vector, id_col, [("g", group)], block_rows, meet, f"query_id {kind}, id {kind}, distance double")
+    met = meet_blocks(queries, corpus, vector, id_col, [("g", group)], block_rows, meet, f"query_id {kind}, id {kind}, distance double")
     nearest = Window.partitionBy("query_id").orderBy("distance", "id")
     return met.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
 
@@ -120,12 +120,12 @@ def similar_counts(df: DataFrame, threshold: float, vector: str = "embedding", i
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
             return pd.DataFrame({"class_id": [], "n": []})
-        linked = np.clip(_unit(q.v) @ _unit(c.v).T, -1, 1) >= threshold
+        linked = np.clip(unit_rows(q.v) @ unit_rows(c.v).T, -1, 1) >= threshold
         linked[q.id.to_numpy()[:, None] == c.id.to_numpy()[None]] = True  # copies link however the threshold rounds
         return pd.DataFrame({"class_id": q.id, "n": linked @ c.copies.to_numpy()})
 
     kind = rows.schema["id"].dataType.simpleString()
-    counts = _meet(classes, classes, "v", "class_id", [("copies", F.col("copies"))], block_rows, meet, f"class_id {kind}, n long").groupBy("class_id").agg((F.sum("n") - 1).alias("n_links"))
+    counts = meet_blocks(classes, classes, "v", "class_id", [("copies", F.col("copies"))], block_rows, meet, f"class_id {kind}, n long").groupBy("class_id").agg((F.sum("n") - 1).alias("n_links"))
     known = rows.join(classes.select("v", "class_id"), "v", "left").join(counts, "class_id", "left")
     return known.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
@@ -196,7 +196,7 @@ class CellIndex:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                near = np.argsort(-(_unit(b.v) @ centres.T), axis=1, kind="stable")[:, :n] if len(b) and len(centres) else np.zeros((len(b), 0), int)
+                near = np.argsort(-(unit_rows(b.v) @ centres.T), axis=1, kind="stable")[:, :n] if len(b) and len(centres) else np.zeros((len(b), 0), int)
                 yield b.assign(cells=list(near.astype(np.int32)))
 
         found = df.mapInPandas(run, f"id {df.schema['id'].dataType.simpleString()}, v array<float>, cells array<int>")
@@ -221,7 +221,7 @@ class CellIndex:
         def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
             out = {"query_id": [], "id": [], "score": []}
             if len(q) and len(c):
-                scores = np.clip(_unit(q.v) @ _unit(c.v).T, -1, 1)
+                scores = np.clip(unit_rows(q.v) @ unit_rows(c.v).T, -1, 1)
                 scores[q.id.to_numpy()[:, None] == c.id.to_numpy()[None]] = -np.inf
                 ids = c.id.to_numpy()
                 for row in range(len(q)):

@@ -76,6 +76,17 @@ def ev_anchor_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("event_id").alias("anchor_id"), "n")
 
 
+@query(
+    "SELECT a.event_id AS anchor_event_id, e.event_id, e.event_type, ((epoch_us(e.ts) - epoch_us(a.ts)) / 1000000.0::DOUBLE) AS seconds FROM events a JOIN events e ON a.user_id = e.user_id AND e.ts BETWEEN a.ts - INTERVAL 6 HOUR AND a.ts + INTERVAL 12 HOUR "
+    "WHERE a.event_type = 'error'"
+)
+def ev_anchored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each error's user did from six hours before to twelve after it."""
+    e = table(spark, sf_dir, "events")
+    found = ev.anchored(e.where("event_type = 'error'"), e, "user_id", "ts", 6 * 3600, 12 * 3600)
+    return found.select("anchor_event_id", "event_id", "event_type", F.col("offset").alias("seconds"))
+
+
 @query("SELECT user_id, round(list_reduce(list(value ORDER BY ts, event_id), lambda a, x: 0.7 * x + 0.3 * a), 6) AS ema FROM events GROUP BY user_id")
 def ev_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ev.smoothed(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import clinical, text
+from lodestone.operators import text_vectors as tv
 from lodestone.plans.registry import query, table
 
 
@@ -88,3 +89,35 @@ def txt_clean_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def txt_score_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(0, "x: 60（高风险）, 性别: 1"), (1, "x: 50 重点防护"), (2, "x: 11, y: -2, z: 37.0")], "i int, content string")
     return rows.select("i", clinical.scored(F.lit("Braden"), F.col("content")).alias("scored"))
+
+
+STOPS = ", ".join(f"'{w}'" for w in tv.STOP_WORDS)
+#: TF-IDF weights of unit length of all documents, as (doc_id, term, w).
+TFIDF = f"""
+d AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({STOPS})) AS w FROM documents),
+g AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(len(w) - 1), lambda i: w[i + 1] || ' ' || w[i + 2]))) AS term FROM d),
+v AS (SELECT term FROM g GROUP BY term ORDER BY count(*) DESC, term LIMIT 384),
+c AS (SELECT doc_id, term, count(*) AS tf FROM g JOIN v USING (term) GROUP BY ALL),
+i AS (SELECT term, 1 + ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + count(*))::DOUBLE) AS idf FROM c GROUP BY term),
+r AS (SELECT doc_id, term, tf * idf AS w FROM c JOIN i USING (term)),
+u AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM r)"""
+
+
+@query(f"WITH {TFIDF} SELECT doc_id, term, round(w, 6) AS weight FROM u")
+def txt_tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sparse vector of every document, a row for each of its terms."""
+    d = table(spark, sf_dir, "documents")
+    model = tv.fit(d)
+    rows = model.transform(d).select(F.col("id").alias("doc_id"), F.explode("vector").alias("x"))
+    return rows.join(F.broadcast(model.vocabulary), F.col("x.idx") == F.col("idx")).select("doc_id", "term", F.round("x.w", 6).alias("weight"))
+
+
+@query(f"WITH {TFIDF}, q AS (SELECT term, w FROM u WHERE doc_id = (SELECT min(doc_id) FROM documents)) SELECT doc_id AS id, round(sum(u.w * q.w), 6) AS score FROM u JOIN q USING (term) GROUP BY doc_id ORDER BY sum(u.w * q.w) DESC, doc_id LIMIT 20")
+def txt_tfidf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents most like the first one."""
+    d = table(spark, sf_dir, "documents")
+    model = tv.fit(d)
+    vectors = model.transform(d)
+    first = d.agg(F.min("doc_id")).first()[0]
+    query_vector = [(x["idx"], x["w"]) for x in vectors.where(F.col("id") == first).first()["vector"]]
+    return tv.most_similar(vectors, query_vector, 20).select("id", F.round("score", 6).alias("score"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import shard_of
 from lodestone.functions.vectors import cosine, norm
+from lodestone.operators import leaders
 from lodestone.operators import vector_search as vs
 from lodestone.plans.registry import query, table
 
@@ -153,3 +154,17 @@ def vec_dimension_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def vec_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vs.similar_counts(table(spark, sf_dir, "embeddings"), 0.3)
+
+
+@query(
+    f"WITH RECURSIVE o AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) AS pos FROM embeddings), p AS (SELECT a.pos AS a, b.pos AS b, {PAIR} AS s FROM o a JOIN o b ON b.pos < a.pos AND {PAIR} > 0.3), "
+    "near AS (SELECT o.pos, list(p.b) FILTER (p.b IS NOT NULL) AS near FROM o LEFT JOIN p ON p.a = o.pos GROUP BY o.pos), "
+    "f AS (SELECT 0::BIGINT AS pos, []::BIGINT[] AS leaders UNION ALL SELECT near.pos, CASE WHEN list_has_any(coalesce(near.near, []), f.leaders) THEN f.leaders ELSE list_append(f.leaders, near.pos) END FROM f JOIN near ON near.pos = f.pos + 1), "
+    "l AS (SELECT unnest(leaders) AS pos FROM (SELECT leaders FROM f ORDER BY pos DESC LIMIT 1)), "
+    "m AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM p WHERE b IN (SELECT pos FROM l) AND a NOT IN (SELECT pos FROM l)) "
+    "SELECT o.vec_id AS id, coalesce(x.vec_id, o.vec_id) AS leader, round(coalesce(m.s, 1), 6) AS similarity FROM o LEFT JOIN m ON m.a = o.pos AND m.k = 1 LEFT JOIN o x ON x.pos = m.b"
+)
+def vec_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors merged in the order of their ids into the most similar earlier leader."""
+    found = leaders.lead(table(spark, sf_dir, "embeddings"), 0.3)
+    return found.withColumn("similarity", F.round("similarity", 6))
