@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import durable, small_batches, text_of
-from lodestone.llm.word_windows import Words, parts, window_anchors
+from lodestone.llm.word_windows import Words, mixed, parts, window_anchors
 
 SIZE = 20
 KMER = 8
@@ -173,7 +173,9 @@ def _suffix_runs(size: int, k: int):  # noqa: ANN202
                 own = (rank[i], place[i])
                 settled[i] = seen.setdefault((key[i], n[i], text[i]), own) != own
             keep = pa.array([None if gone else x for gone, x in zip(settled.tolist(), text, strict=True)], pa.binary())
-            take = pa.array(row)
+            # Settled runs meet no others: they are dealt by where they are, not by a key that many share.
+            spread = mixed(b.column("t1").to_numpy().view(np.uint64)[row] + place.astype(np.uint64)).view(np.int64)
+            key, take = np.where(settled, spread, key), pa.array(row)
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("id", "t1", "t2")), pa.array(key), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), keep], ["id", "t1", "t2", "key", "start", "n", "run"])
 
     return make
