@@ -7,50 +7,54 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.ranks import placed
+from lodestone.sources.shared import written
+
 
 def rounds_for(n: int) -> int:
     """Rounds of a tournament of n players."""
     return next((r for most, r in ((4, 4), (8, 5), (16, 6)) if n <= most), 7)
 
 
-def pair_round(scores: dict[str, float], played: set[frozenset[str]]) -> list[tuple[str, str]]:
-    """Pairs of one round: each player in score order with the nearest score among those not met before."""
-    order = sorted(scores, key=lambda p: (-scores[p], p))
-    free, pairs = dict.fromkeys(order), []
-    for p in order:
-        if p not in free:
-            continue
-        del free[p]
-        rivals = [q for q in free if frozenset((p, q)) not in played]
-        if rivals:
-            q = min(rivals, key=lambda q: abs(scores[p] - scores[q]))
-            del free[q]
-            pairs.append((p, q))
+def paired(free: DataFrame, met: DataFrame, tries: int = 3) -> DataFrame:
+    """(a, b): pairs of players (id, score) that are next to each other in score order and haven't met (a, b).
+
+    The first, third ... are paired with the one after them; who has met that
+    one stays for the next try, where the leftovers are ranked anew and the
+    second, fourth ... go first, and so on. Who is left after ``tries`` sits out.
+    """
+    pairs = None
+    for k in range(tries):
+        pos = placed(free, [F.desc("score"), F.asc("id")])
+        side_by_side = pos.groupBy(F.floor((F.col("pos") + (k + 1) % 2) / 2).alias("k")).agg(F.min_by("id", "pos").alias("a"), F.max_by("id", "pos").alias("b"), F.count("*").alias("n"))
+        found = side_by_side.where("n = 2").select("a", "b")
+        both = met.select("a", "b").unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        found = written(found.join(both, ["a", "b"], "left_anti"))
+        pairs = found if pairs is None else pairs.unionByName(found)
+        free = written(free.join(found.select(F.explode(F.array("a", "b")).alias("id")), "id", "left_anti"))
+        if len(free.take(2)) < 2:
+            break
     return pairs
 
 
-def tournament(players: DataFrame, judge: Callable[[DataFrame], DataFrame], id_col: str = "id", most_players: int = 1000) -> DataFrame:
-    """(id, score, rank) after a Swiss tournament; ``judge`` turns pairs (round, a, b) into (round, a, b, winner).
+def tournament(players: DataFrame, judge: Callable[[DataFrame], DataFrame], id_col: str = "id", rounds: int | None = None) -> DataFrame:
+    """(id, score, rank) after a Swiss tournament of any size; nobody meets anyone twice.
 
-    A tournament is for a shortlist: the ids and scores of at most
-    ``most_players`` are paired on the driver, while Spark judges the pairs.
+    ``judge`` turns pairs (round, a, b) into (round, a, b, winner): a win is one
+    point, a tie or another winner half a point each. Players without an id
+    don't take part. Ranking, pairing and judging are Spark jobs; every round is
+    a table, so lost executors cost no more than the round.
     """
-    spark = players.sparkSession
-    ids = [r[0] for r in players.select(F.col(id_col).cast("string")).limit(most_players + 1).collect()]
-    if len(ids) > most_players:
-        raise ValueError(f"more than {most_players} players")
-    scores, played = dict.fromkeys(ids, 0.0), set()
-    for r in range(rounds_for(len(ids))):
-        pairs = pair_round(scores, played)
-        if not pairs:
+    standing = written(players.select(F.col(id_col).cast("string").alias("id")).where("id is not null").distinct().withColumn("score", F.lit(0.0)))
+    met = standing.select(F.col("id").alias("a"), F.col("id").alias("b")).where(F.lit(False))
+    for r in range(rounds if rounds is not None else rounds_for(standing.count())):
+        judged = written(judge(paired(standing, met).select(F.lit(r).alias("round"), "a", "b")))
+        if judged.isEmpty():
             break
-        judged = judge(spark.createDataFrame([(r, a, b) for a, b in pairs], "round int, a string, b string"))
-        for x in judged.collect():
-            for p in (x["a"], x["b"]):
-                scores[p] += 1.0 if x["winner"] == p else 0.0 if x["winner"] in (x["a"], x["b"]) else 0.5
-            played.add(frozenset((x["a"], x["b"])))
-    table = spark.createDataFrame(list(scores.items()), "id string, score double")
-    return table.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+        met = written(met.unionByName(judged.select("a", "b")))
+        won = points(judged).withColumnRenamed("score", "won")
+        standing = written(standing.join(won, "id", "left").select("id", (F.col("score") + F.coalesce("won", F.lit(0.0))).alias("score")))
+    return placed(standing, [F.desc("score"), F.asc("id")], "rank")
 
 
 def points(results: DataFrame) -> DataFrame:
@@ -61,28 +65,31 @@ def points(results: DataFrame) -> DataFrame:
 
 
 def ranked(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Ranks by score, the highest first, ties by id."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy()
-    return scores.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "id")))
+    """Ranks by score, the highest first, ties by id; of each group of ``by``, or of all rows by ranges."""
+    if not by:
+        return placed(scores, [F.desc("score"), F.asc("id")], "rank")
+    return scores.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "id")))
 
 
 def levels(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level) of tasks (id) with edges (task, needs): 0 without dependencies, else one more than the deepest; unknown dependencies don't count.
 
-    Each round drops the tasks whose dependencies are all done; a cycle raises ValueError.
+    Each round drops the tasks whose dependencies are all done, and is a table
+    of its own; a cycle raises ValueError.
     """
     known = tasks.select("id").distinct()
     open_edges = edges.join(known.select(F.col("id").alias("task")), "task").join(known.select(F.col("id").alias("needs")), "needs").select("task", "needs").distinct()
     waiting, done, level = known, None, 0
     while True:
-        ready = waiting.join(open_edges.select(F.col("task").alias("id")), "id", "left_anti").select("id", F.lit(level).alias("level")).cache()
+        ready = waiting.join(open_edges.select(F.col("task").alias("id")), "id", "left_anti").select("id", F.lit(level).alias("level"))
+        ready = written(ready)
         if ready.isEmpty():
             if not waiting.isEmpty():
                 raise ValueError("the dependencies hold a cycle")
             return done if done is not None else ready
         done = ready if done is None else done.unionByName(ready)
-        waiting = waiting.join(ready.select("id"), "id", "left_anti")
-        open_edges = open_edges.join(ready.select(F.col("id").alias("needs")), "needs", "left_anti")
+        waiting = written(waiting.join(ready.select("id"), "id", "left_anti"))
+        open_edges = written(open_edges.join(ready.select(F.col("id").alias("needs")), "needs", "left_anti"))
         level += 1
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import token_estimate
+from lodestone.operators import alerts
 from lodestone.operators import events as ev
 from lodestone.operators import ranking, usage
 from lodestone.plans.registry import query, table
@@ -232,17 +233,60 @@ def rank_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ranked(top)
 
 
-@query()
+#: Seven rounds of three tries each; in a try the players without a pair are ranked, and neighbours that haven't met are paired.
+TOURNAMENT = """
+WITH RECURSIVE f AS (
+  SELECT doc_id::VARCHAR AS id, coalesce(n_chars, 0) AS x, 0::DOUBLE AS score, []::VARCHAR[] AS met, false AS paired, 0 AS step FROM documents
+  UNION ALL
+  SELECT id, x, score + CASE WHEN NOT ok THEN 0 WHEN x > y THEN 1 WHEN x = y THEN 0.5 ELSE 0 END, CASE WHEN ok THEN list_append(met, rival) ELSE met END, step % 3 < 2 AND (paired OR ok), step + 1
+  FROM (SELECT *, NOT paired AND rival IS NOT NULL AND NOT list_contains(met, rival) AS ok
+  FROM (SELECT *, coalesce(lead(id) OVER w, lag(id) OVER w) AS rival, coalesce(lead(x) OVER w, lag(x) OVER w) AS y
+  FROM (SELECT *, (row_number() OVER (PARTITION BY paired ORDER BY score DESC, id) + (step % 3 + 1) % 2) // 2 AS k FROM f WHERE step < 21)
+  WINDOW w AS (PARTITION BY paired, k ORDER BY score DESC, id))))
+SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM f WHERE step = 21"""
+
+
+@query(TOURNAMENT)
 def rank_tournament(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Swiss tournament of the 16 longest documents; the longer text wins."""
-    d = table(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(16).select(F.col("doc_id").cast("string").alias("id"), "n_chars").cache()
+    """A Swiss tournament of all documents; the longer text wins."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
     of = lambda c: d.select(F.col("id").alias(c), F.col("n_chars").alias(f"n_{c}"))
 
     def judge(pairs: DataFrame) -> DataFrame:
         known = pairs.join(of("a"), "a").join(of("b"), "b")
-        return known.withColumn("winner", F.when(F.col("n_a") > F.col("n_b"), F.col("a")).when(F.col("n_b") > F.col("n_a"), F.col("b")))
-
-    return ranking.tournament(d, judge)
+        return known.select("round", "a", "b", F.when(F.col("n_a") > F.col("n_b"), F.col("a")).when(F.col("n_b") > F.col("n_a"), F.col("b")).alias("winner"))
+
+    return ranking.tournament(d, judge, rounds=7)
+
+
+#: The life cycle as a recursion over each user's events, the state a list of risks.
+LIFE_CYCLE = """
+WITH RECURSIVE e AS (SELECT user_id, event_type AS r, least(1::DOUBLE, value / 100::DOUBLE) AS x, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (
+  SELECT user_id, 0::BIGINT AS k, []::STRUCT(r VARCHAR, p DOUBLE, active BOOLEAN, ups INT, downs INT, alerted BIGINT, seen BIGINT)[] AS st, []::STRUCT(r VARCHAR, us BIGINT, change VARCHAR, p DOUBLE)[] AS ch FROM e GROUP BY user_id
+  UNION ALL
+  SELECT user_id, k, CASE WHEN over THEN list_filter(st2, lambda s: s.r <> low.r) ELSE st2 END, CASE WHEN over THEN list_append(ch2, {'r': low.r, 'us': us, 'change': 'dropped', 'p': low.p}) ELSE ch2 END
+  FROM (SELECT *, len(list_filter(st2, lambda s: s.active)) > 2 AS over, list_sort(list_transform(list_filter(st2, lambda s: s.active), lambda s: {'p': s.p, 'r': s.r}))[1] AS low
+  FROM (SELECT *, list_append(list_filter(live, lambda s: s.r <> r), {'r': r, 'p': p, 'active': CASE WHEN up THEN true WHEN down THEN false ELSE was END, 'ups': CASE WHEN up THEN 0 ELSE ups END::INT, 'downs': CASE WHEN down THEN 0 ELSE downs END::INT,
+      'alerted': CASE WHEN up AND loud THEN us ELSE last END, 'seen': us}) AS st2,
+    CASE WHEN up THEN list_append(ch1, {'r': r, 'us': us, 'change': CASE WHEN loud THEN 'alert' ELSE 'quiet' END, 'p': p}) WHEN down THEN list_append(ch1, {'r': r, 'us': us, 'change': 'cleared', 'p': p}) ELSE ch1 END AS ch2
+  FROM (SELECT *, ups >= 2 AS up, ups < 2 AND downs >= 3 AS down, last < 0 OR us - last >= 1800000000 AS loud
+  FROM (SELECT *, CASE WHEN NOT was AND p >= 0.35::DOUBLE THEN coalesce(old.ups, 0) + 1 ELSE 0 END AS ups, CASE WHEN was AND p <= 0.15::DOUBLE THEN coalesce(old.downs, 0) + 1 ELSE 0 END AS downs
+  FROM (SELECT *, coalesce(old.active, false) AS was, coalesce(old.alerted, -1) AS last,
+    CASE WHEN old IS NULL THEN x ELSE old.p + greatest(-0.15::DOUBLE, least(0.15::DOUBLE, (0.7::DOUBLE * x + (1 - 0.7::DOUBLE) * old.p) - old.p)) END AS p
+  FROM (SELECT *, list_filter(live, lambda s: s.r = r)[1] AS old, list_transform(list_filter(st, lambda s: us - s.seen > 86400000000 AND s.active), lambda s: {'r': s.r, 'us': s.seen + 86400000000, 'change': 'resolved', 'p': s.p}) AS ch1
+  FROM (SELECT f.user_id, e.k, f.st, e.r, e.x, e.us, list_filter(f.st, lambda s: e.us - s.seen <= 86400000000) AS live FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)))))))),
+c AS (SELECT user_id, unnest(ch) AS c FROM f UNION ALL
+  SELECT user_id, {'r': s.r, 'us': s.seen + 86400000000, 'change': 'resolved', 'p': s.p} FROM (SELECT user_id, unnest(st) AS s FROM (SELECT user_id, arg_max(st, k) AS st FROM f GROUP BY user_id)) WHERE s.active AND (SELECT max(us) FROM e) - s.seen > 86400000000)
+SELECT user_id, c.r AS risk, make_timestamp(c.us) AS at, c.change AS change, round(c.p, 6) AS p FROM c"""
+
+
+@query(LIFE_CYCLE)
+def ev_life_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All alerts of all users, with cool-down, expiry after a day and two risks at a time."""
+    e = table(spark, sf_dir, "events").withColumn("value", F.least(F.lit(1.0), F.col("value") / 100))
+    found = alerts.life_cycle(e, "user_id", "event_type", "value", "ts", "event_id", alerts.Rules(capacity=2))
+    return found.withColumn("p", F.round("p", 6))
 
 
 DAG = [("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("e", "d"), ("f", "unknown")]

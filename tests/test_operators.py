@@ -49,6 +49,17 @@ def test_tournament(spark):  # noqa: ANN001
     players = spark.createDataFrame([(x,) for x in "abcd"], "id string")
     found = ranking.tournament(players, lambda p: p.withColumn("winner", F.least("a", "b"))).orderBy("rank").collect()
     assert found[0]["id"] == "a" and sum(r["score"] for r in found) == 6.0
+    games = []
+
+    def judge(pairs):  # noqa: ANN001, ANN202
+        judged = pairs.withColumn("winner", F.when(F.col("a") == "p07", "nobody").otherwise(F.least("a", "b")))
+        games.extend((r["a"], r["b"]) for r in judged.collect())
+        return judged
+
+    many = spark.createDataFrame([(f"p{i:02d}",) for i in range(21)] + [(None,), ("p03",)], "id string")
+    found = ranking.tournament(many, judge).collect()
+    assert len({frozenset(g) for g in games}) == len(games) > 60 and sorted(r["rank"] for r in found) == list(range(1, 22))
+    assert ranking.tournament(many.where("false"), judge).count() == 0
 
 
 def test_levels(spark):  # noqa: ANN001

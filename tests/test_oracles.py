@@ -38,7 +38,7 @@ def test_query_matches_sql(spark, small, duck, name):  # noqa: ANN001
 
 
 #: Queries without SQL, with the rows that they give at this size.
-ROWS = {"vec_index_topk": 250, "rank_tournament": 16}
+ROWS = {"vec_index_topk": 250}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(SQL)))
