@@ -62,7 +62,7 @@ def dated(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:
 
 def decoded_repositories(rows: DataFrame, column: str = "value") -> DataFrame:
     """Repository API rows from JSON text; missing topics are an empty list."""
-    schema = "id long, name string, full_name string, description string, html_url string, language string, stargazers_count long, forks_count long, created_at string, updated_at string, pushed_at string, topics array<string>, owner struct<login: string, id: long>, private boolean, archived boolean"
+    schema = "id long, name string, full_name string, description string, html_url string, clone_url string, ssh_url string, language string, stargazers_count long, forks_count long, watchers_count long, open_issues_count long, created_at string, updated_at string, pushed_at string, size long, topics array<string>, owner struct<login: string, id: long>, private boolean, archived boolean, disabled boolean"
     r = rows.select(F.from_json(column, schema).alias("r")).select("r.*")
     times = {c: F.try_to_timestamp(c) for c in ("created_at", "updated_at", "pushed_at")}
     return r.withColumns({**times, "topics": F.coalesce("topics", F.array().cast("array<string>"))})
