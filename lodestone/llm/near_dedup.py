@@ -190,9 +190,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` without all but the first document of each class; all columns stay."""
+    """The rows of ``docs`` without all but the first document of each class; all columns stay, whatever their names.
+
+    Of rows with equal id and text one stays. Null texts and texts without a
+    word are classes of their own; a null id comes first. An empty table gives
+    an empty one.
+    """
     same = F.col(id_col).eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("class_th"))
-    first = near_duplicates(docs, id_col, text_col, threshold).where(same).select(F.col(id_col).alias("first_id"), F.col("th").alias("first_th"))
-    keyed = docs.withColumn("text_hash_", F.xxhash64(text_of(f"`{text_col}`")))
-    kept = keyed.join(first, F.col(f"`{id_col}`").eqNullSafe(F.col("first_id")) & (F.col("text_hash_") == F.col("first_th")), "left_semi")
-    return kept.dropDuplicates([id_col, "text_hash_"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    first = near_duplicates(docs, id_col, text_col, threshold).where(same).select(F.col(id_col).alias("id"), "th")
+    # The caller's columns travel in one struct, so that no name of theirs meets one of these.
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.select(F.col(f"`{id_col}`").alias("own_id"), F.xxhash64(text_of(f"`{text_col}`")).alias("own_th"), whole.alias("row"))
+    kept = keyed.join(first, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_th") == F.col("th")), "left_semi")
+    return kept.dropDuplicates(["own_id", "own_th"]).select("row.*")
