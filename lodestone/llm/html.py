@@ -3,13 +3,16 @@
 A page becomes blocks: runs of text between block-level tags, with their link
 characters, stop words and the containers around them. Blocks in containers
 that never hold an article (menus, forms, adverts, ...) are barred. The first
-pass decides the clear ones of all others by link density, length and
-stop-word density, whether the page has an article element or not; where the
-page's own text shows no known language, length and link density decide alone.
-Short or middling blocks stay open, and in the second pass take the label of
-the nearest decided neighbours that aren't barred. An article element only
-tips the balance: open blocks in it need one good neighbour or no bad ones,
-blocks outside it two.
+pass decides the clear ones of all others: links without a word beside them are
+bad, long blocks with many stop words and few links are good; where the page's
+own text shows no known language, length and links decide alone. Everything
+else stays open, such as headings, short lines, code and sentences that are
+mostly a link, and in the second pass takes the label of the nearest decided
+neighbours that aren't barred. On a page without an article element one good
+neighbour is enough for a block that isn't short, and for a short heading or
+paragraph if no bad one stands on its other side; the page's edges are on
+neither side, and where nothing is decided everything open stays. Next to an article element, open
+blocks in it need one good neighbour or no decided one, blocks outside it two.
 """
 
 from __future__ import annotations
@@ -50,6 +53,7 @@ STOPS = frozenset(w for x in STOP_WORDS.values() for w in x.split())
 RAW_TAGS = frozenset(["script", "style", "textarea", "title"])
 #: Silent elements that don't hold one of their own kind: the next one ends one that is still open.
 FLAT_TAGS = frozenset(["head", "noscript", "iframe", "select", "option", "button", "audio", "video"])
+PROSE_TAGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6", "p", "pre", "blockquote", "figcaption"])
 VOID_TAGS = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"])
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+(?:>|\Z))|<[!?/][^>]*+(?:>|\Z)""", re.S)
@@ -57,9 +61,9 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s
 NAME_WORD = re.compile(r"[a-z]+")
 WORD = re.compile(r"[^\W\d_]+")
 
-#: Pass one: characters of a short and of a long block, shares of stop words, and the most link text.
+#: Pass one: characters of a short and of a long block, the share of stop words of running text, and the most link text.
 SHORT, LONG = 70, 200
-FEW_STOPS, MANY_STOPS = 0.12, 0.2
+MANY_STOPS = 0.2
 MOST_LINK = 0.33
 MOST_ARTICLE_LINK = 0.66
 #: A page with fewer stop words than this share is in no language with a list.
@@ -72,6 +76,10 @@ class Block:
     link_chars: int
     in_article: bool
     barred: bool
+    #: Whether a word stands outside the links.
+    own_words: bool = True
+    #: Whether it is a heading, a paragraph or the like, and not a bare division.
+    prose: bool = True
 
     def stop_words(self) -> tuple[int, int]:
         """Stop words and words."""
@@ -81,17 +89,14 @@ class Block:
     def decide(self, known: bool) -> bool | None:
         """Pass one: True for good, False for bad, None where the neighbours decide. ``known``: the page has stop words."""
         size, share = len(self.text), self.link_chars / len(self.text)
-        if self.barred or share > (MOST_ARTICLE_LINK if self.in_article else MOST_LINK):
+        if self.barred or (self.link_chars and not self.own_words):
             return False
-        if size < SHORT:
-            return False if self.link_chars and not self.in_article else None
+        if size < SHORT or share > (MOST_ARTICLE_LINK if self.in_article else MOST_LINK):
+            return None
         if not known:
             return True if size > LONG or self.in_article else None
         stops, words = self.stop_words()
-        density = stops / max(1, words)
-        if density >= MANY_STOPS and (size > LONG or self.in_article):
-            return True
-        return None if density >= FEW_STOPS or self.in_article else False
+        return True if stops >= MANY_STOPS * max(1, words) and (size > LONG or self.in_article) else None
 
 
 def _barred(tag: str, attributes: str, in_article: bool) -> bool:
@@ -190,7 +195,9 @@ def blocks(page: str) -> list[Block]:
         text = " ".join(html.unescape("".join(x for x, _ in parts)).split())
         if text:
             linked = sum(len(" ".join(html.unescape(x).split())) for x, y in parts if y)
-            found.append(Block(text, min(linked, len(text)), in_article, barred))
+            own = any(WORD.search(html.unescape(x)) for x, y in parts if not y)
+            element = next((x for x, _, _ in reversed(stack) if x in BLOCK_TAGS), "")
+            found.append(Block(text, min(linked, len(text)), in_article, barred, own, element in PROSE_TAGS))
         parts.clear()
 
     def closed(to: int) -> None:
@@ -271,13 +278,15 @@ def judged(found: list[Block]) -> list[bool]:
     before, after = _nearest(labels), _nearest(labels[::-1])[::-1]
     final = {}
     for b, x, left, right in zip(candidates, labels, before, after, strict=True):
-        if x is None:  # the page's edges are bad, unless nothing is decided
+        if x is None:  # a page's edge is on neither side, unless it has an article elsewhere
             if b.in_article:
                 x = bool(left or right) or (left is None and right is None)
+            elif has_article:
+                x = bool(left and right)
             elif left is None and right is None:
-                x = not has_article and len(b.text) >= SHORT
+                x = True
             else:
-                x = bool(left and right) if len(b.text) < SHORT or has_article else bool(left or right)
+                x = bool(left and right) or (bool(left or right) and (len(b.text) >= SHORT or (b.prose and left is not False and right is not False)))
         final[id(b)] = x
     return [final.get(id(b), False) for b in found]
 
