@@ -13,7 +13,7 @@ isn't of the other side's kind is no match and no error, in either mode.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -33,7 +33,11 @@ class Filter:
 
 
 def json_path(path: str) -> str:
-    return "$" + "".join(f"['{part}']" for part in path.split("."))
+    return json_path_of(path.split("."))
+
+
+def json_path_of(parts: Iterable[str]) -> str:
+    return "$" + "".join(f"['{part}']" for part in parts)
 
 
 @dataclass(frozen=True)
@@ -58,6 +62,50 @@ class Fields:
         return self.kinds.get(self._name(name), "json")
 
 
+def variant_text(value: Column) -> Column:
+    """The text of a VARIANT value as its JSON had it; of a fraction without digits behind the point, one zero stays.
+
+    VARIANT drops a fraction's trailing zeros and tells 3.0 from 3 by its type,
+    a decimal of scale 0; whole numbers of 19 digits and more have that type too
+    and keep their text.
+    """
+    whole_fraction = F.schema_of_variant(value).rlike(r"^DECIMAL\((?:[0-9]|1[0-8]),0\)$")
+    text = F.try_variant_get(value, "$", "string")
+    return F.when(whole_fraction, F.concat(text, F.lit(".0"))).otherwise(text)
+
+
+@dataclass(frozen=True)
+class VariantFields(Fields):
+    """As ``Fields``, with the attributes in a VARIANT column, which was parsed when it was written."""
+
+    def value(self, name: str) -> Column:
+        name = self._name(name)
+        return F.try_variant_get(F.col(self.attributes), json_path(name) if name else "$", "variant")
+
+    def __call__(self, name: str) -> Column:
+        return F.col(f"`{self._name(name)}`") if self.kind(name) != "json" else variant_text(self.value(name))
+
+    def number(self, name: str) -> Column:
+        """The value as a number, also one that is told as text; null for anything else."""
+        value = self.value(name)
+        return F.when(F.schema_of_variant(value) != "BOOLEAN", F.try_variant_get(value, "$", "double"))
+
+    def contains(self, path: tuple[str, ...], x: Any) -> Column:
+        """Deep containment, as the filter language's node."""
+        if isinstance(x, dict):
+            return _all([self.contains((*path, k), v) for k, v in x.items()])
+        here = F.try_variant_get(F.col(self.attributes), json_path_of(path), "variant")
+        if isinstance(x, list):
+            held = F.transform(F.try_variant_get(here, "$", "array<variant>"), variant_text)
+            return _all([F.array_contains(held, y if isinstance(y, str) else json.dumps(y)) for y in x])
+        return variant_text(here) == F.lit(x if isinstance(x, str) else json.dumps(x))
+
+
+def variant_field(attributes: str = "attributes") -> VariantFields:
+    """The fields of a record table whose attributes are VARIANT."""
+    return VariantFields(record_field(attributes).kinds, attributes)
+
+
 def record_field(attributes: str = "attributes") -> Fields:
     """The fields of a record table: id, content and ts (also as timestamp), the rest in its JSON attributes."""
     return Fields({"id": "string", "content": "string", "ts": "timestamp_ntz"}, attributes)
@@ -81,13 +129,18 @@ def compile_filter(expr: dict | None, resolve: Resolver, mode: str = "sql", attr
     typed = mode == "typed"
     whole = lambda c: F.coalesce(c, F.lit(False)) if typed else c
     kind_of = getattr(resolve, "kind", lambda name: "json")
+    as_number = getattr(resolve, "number", None)
+    contains = getattr(resolve, "contains", None) or (lambda path, x: _contains(attributes, path, x))
+
+    def number_of(name: str) -> Column:
+        return as_number(name) if as_number and kind_of(name) == "json" else resolve(name).try_cast("double")
 
     def sides(name: str, x: Any) -> tuple[Column, Column]:
         """Both sides of a comparison, of one type, null where a value isn't of it."""
         column, kind = resolve(name), kind_of(name)
         if kind in ("json", "string"):
             if typed and kind == "json" and _is_number(x):
-                return column.try_cast("double"), F.lit(float(x))
+                return number_of(name), F.lit(float(x))
             return column, F.lit(None if x is None else x if hasattr(x, "isoformat") else _as_text(x)).cast("string")
         if kind.startswith(NUMBERS):
             return (column, F.lit(x)) if _is_number(x) else (column, F.lit(None if x is None else _as_text(x)).try_cast(kind))
@@ -96,13 +149,12 @@ def compile_filter(expr: dict | None, resolve: Resolver, mode: str = "sql", attr
     def between(name: str, low: Any, high: Any) -> Column:
         column, kind = resolve(name), kind_of(name)
         if kind in ("json", "string") and _is_number(low) and _is_number(high):
-            column = column.try_cast("double")
-            return column.between(F.lit(float(low)), F.lit(float(high)))
+            return number_of(name).between(F.lit(float(low)), F.lit(float(high)))
         return column.between(sides(name, low)[1], sides(name, high)[1])
 
     def leaf(op: str, body: Any) -> Column:
         if op == "contains":
-            return _all([_contains(attributes, (k,), v) for k, v in (body or {}).items()]) if attributes else F.lit(True)
+            return _all([contains((k,), v) for k, v in (body or {}).items()]) if attributes else F.lit(True)
         pairs = list(body.items()) if isinstance(body, dict) else [(str(body[0]), body[1])]
         if op == "range" and len(pairs) != 1:
             raise ValueError("a range node takes exactly one field")
@@ -150,7 +202,7 @@ def _any(parts: list[Column]) -> Column:
 
 def _contains(attributes: str, path: tuple[str, ...], x: Any) -> Column:
     """Deep containment of a JSON value at a path: objects by their keys, arrays by their members."""
-    here = F.get_json_object(F.col(attributes), "$" + "".join(f"['{p}']" for p in path))
+    here = F.get_json_object(F.col(attributes), json_path_of(path))
     if isinstance(x, dict):
         return _all([_contains(attributes, (*path, k), v) for k, v in x.items()])
     if isinstance(x, list):

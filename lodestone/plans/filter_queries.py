@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.filters import Filter, apply_filter, compile_filter, table_field
+from lodestone.functions.filters import Filter, VariantFields, apply_filter, compile_filter, table_field
 from lodestone.plans.registry import query, table
+from lodestone.sources.shared import new_folder
+from lodestone.sources.sharded import ShardedTable
 
 
 def _where(spark: SparkSession, sf_dir: str, name: str, expr: dict, *columns: str, mode: str = "sql") -> DataFrame:
@@ -113,11 +115,50 @@ def dsl_empty_is_true(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIXED = "m AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{\"k\": \"abc\"}' WHEN 1 THEN '{\"k\": 3.0}' WHEN 2 THEN '{}' ELSE props END AS props FROM events), x AS (SELECT event_id, json_extract_string(props, '$.k') AS k FROM m)"
 
 
-def _mixed(spark: SparkSession, sf_dir: str, expr: dict, mode: str = "sql") -> DataFrame:
+def _mixed(spark: SparkSession, sf_dir: str, expr: dict, mode: str = "sql", *columns: str) -> DataFrame:
     kind = F.col("event_id") % 4
     props = F.when(kind == 0, '{"k": "abc"}').when(kind == 1, '{"k": 3.0}').when(kind == 2, "{}").otherwise(F.col("props"))
     t = table(spark, sf_dir, "events").select("event_id", props.alias("props"))
-    return t.where(compile_filter(expr, table_field(t, "props"), mode, "props")).select("event_id")
+    return t.where(compile_filter(expr, table_field(t, "props"), mode, "props")).select(*(columns or ["event_id"]))
+
+
+def _variant(spark: SparkSession, sf_dir: str, expr: dict, mode: str = "sql") -> DataFrame:
+    """The same over a collection whose attributes were parsed once, when they were written."""
+    rows = _mixed(spark, sf_dir, {}, "sql", "event_id", "props")
+    store = ShardedTable(spark, new_folder(spark, "variant"), "event_id long, props variant", "event_id")
+    store.upsert(rows.withColumn("props", F.try_parse_json("props")), ["event_id"])
+    t = store.read()
+    return t.where(compile_filter(expr, VariantFields(table_field(t).kinds | {"props": "variant"}, "props"), mode, "props")).select("event_id")
+
+
+@query(f"WITH {MIXED} SELECT event_id FROM x WHERE k = '3'")
+def dsl_eq_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _variant(spark, sf_dir, {"eq": ["k", 3]})
+
+
+@query(f"WITH {MIXED} SELECT event_id FROM x WHERE TRY_CAST(k AS DOUBLE) = 3")
+def dsl_eq_variant_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _variant(spark, sf_dir, {"eq": ["k", 3]}, mode="typed")
+
+
+@query(f"WITH {MIXED} SELECT event_id FROM x WHERE k IN ('abc', '3.0', '7')")
+def dsl_in_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _variant(spark, sf_dir, {"in": ["attributes.k", ["abc", "3.0", 7]]})
+
+
+@query(f"WITH {MIXED} SELECT event_id FROM x WHERE NOT coalesce(TRY_CAST(k AS DOUBLE) BETWEEN 2 AND 11, false)")
+def dsl_range_variant_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _variant(spark, sf_dir, {"not": {"range": {"k": [2, 11]}}}, mode="typed")
+
+
+@query(f"WITH {MIXED} SELECT event_id FROM x WHERE k LIKE '%b%' OR k LIKE '3'")
+def dsl_like_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _variant(spark, sf_dir, {"or": [{"like": ["k", "%b%"]}, {"like": ["k", 3]}]})
+
+
+@query(f"WITH {MIXED} SELECT event_id FROM x WHERE k = '5' OR k = 'abc'")
+def dsl_contains_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _variant(spark, sf_dir, {"or": [{"contains": {"k": 5}}, {"contains": {"k": "abc"}}]})
 
 
 @query(f"WITH {MIXED} SELECT event_id FROM x WHERE k = '3'")

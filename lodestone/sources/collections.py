@@ -15,7 +15,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.filters import Filter, apply_filter, compile_filter, record_field
+from lodestone.functions.filters import Fields, Filter, apply_filter, compile_filter, record_field, variant_field
 from lodestone.operators import records, vector_search
 from lodestone.sources.sharded import ShardedTable
 
@@ -48,10 +48,14 @@ class CollectionSpec:
 
 
 class Collections:
-    """All collections under one folder."""
+    """All collections under one folder. With ``variant`` their attributes are parsed when they are written, and filters read typed values."""
 
-    def __init__(self, spark: SparkSession, root: str, shards: int = 16):
-        self.spark, self.root, self.shards = spark, root.rstrip("/"), shards
+    def __init__(self, spark: SparkSession, root: str, shards: int = 16, variant: bool = False):
+        self.spark, self.root, self.shards, self.variant = spark, root.rstrip("/"), shards, variant
+
+    @property
+    def fields(self) -> Fields:
+        return variant_field() if self.variant else record_field()
 
     def _folder(self, name: str) -> str:
         return f"{self.root}/um_{re.sub(r'[^0-9A-Za-z_]', '_', name)[:60]}"
@@ -75,7 +79,7 @@ class Collections:
 
     def table(self, name: str) -> ShardedTable:
         """The records' table."""
-        return ShardedTable(self.spark, f"{self._folder(name)}/records", RECORD, "id", self.shards)
+        return ShardedTable(self.spark, f"{self._folder(name)}/records", RECORD.replace("attributes string", "attributes variant") if self.variant else RECORD, "id", self.shards)
 
     def vacuum(self, name: str, keep: int = 2) -> int:
         """Delete the files that the last ``keep`` versions don't use, which nothing may be reading; how many folders went."""
@@ -125,6 +129,8 @@ class Collections:
         if dims:
             bad = F.col("vector").isNotNull() & ~F.size("vector").isin(*dims)
             rows = rows.withColumn("vector", F.when(bad, F.raise_error(F.lit("vector of another dimension"))).otherwise(F.col("vector")))
+        if self.variant and rows.schema["attributes"].dataType.simpleString() == "string":
+            rows = rows.withColumn("attributes", F.try_parse_json("attributes"))
         self.table(name).upsert(rows, sequence)
 
     def lookup(self, name: str, ids: list[str]) -> DataFrame:
@@ -133,10 +139,10 @@ class Collections:
 
     def delete(self, name: str, spec: Filter) -> int:
         """Delete what a filter matches; how many records went."""
-        return self.table(name).delete_where(compile_filter(spec.expr, record_field()))
+        return self.table(name).delete_where(compile_filter(spec.expr, self.fields))
 
     def query(self, name: str, spec: Filter, mode: str = "sql") -> DataFrame:
-        return apply_filter(self.records(name), spec, record_field(), mode)
+        return apply_filter(self.records(name), spec, self.fields, mode)
 
     def count(self, name: str, spec: Filter | None = None) -> int:
         return self.query(name, Filter(expr=spec.expr if spec else {})).count()
@@ -147,7 +153,7 @@ class Collections:
     def search(self, name: str, vector: list[float], k: int = 10, spec: Filter | None = None, threshold: float | None = None) -> DataFrame:
         """Nearest records of those that a filter matches, by the collection's metric."""
         metric = (self.describe(name) or CollectionSpec(name)).metric
-        where = compile_filter(spec.expr, record_field()) if spec else None
+        where = compile_filter(spec.expr, self.fields) if spec else None
         return vector_search.top_k(self.records(name).where("vector is not null"), vector, k, metric, "vector", "id", where, threshold)
 
     def append_points(self, name: str, points: DataFrame) -> None:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lodestone.operators.records import delete_where, last_wins
-from lodestone.sources.shared import written
+from lodestone.sources.shared import exact_variants, written
 
 #: Tries of a write that other writers overtake, and seconds between tries while one of them commits.
 TRIES = 20
@@ -137,7 +137,8 @@ class ShardedTable:
         """New folders of the touched shards, and their rows. Ranges of (shard, key hash) make files of bounded size, however large a shard is."""
         name = f"data/{uuid.uuid4().hex}"
         dealt = rows.withColumn("shard_", self._shard()).withColumn("spread_", F.xxhash64(F.col(self.key).cast("string"), F.lit(1)))
-        dealt.repartitionByRange("shard_", "spread_").drop("spread_").write.option("maxRecordsPerFile", self.rows_per_file).partitionBy("shard_").parquet(f"{self.root}/{name}")
+        with exact_variants(self.spark):
+            dealt.repartitionByRange("shard_", "spread_").drop("spread_").write.option("maxRecordsPerFile", self.rows_per_file).partitionBy("shard_").parquet(f"{self.root}/{name}")
         files = self._files
         counted = {s: 0 for s in touched}
         found = [s for s in touched if files.exists(self._path(f"{name}/shard_={s}"))]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,8 +34,24 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return path
 
 
+@contextmanager
+def exact_variants(spark: SparkSession) -> Iterator[None]:
+    """Files written here keep each VARIANT value's own type; a column split up by type would turn 3 into 3.0 beside larger decimals."""
+    name = "spark.sql.variant.inferShreddingSchema"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` from a table in the shared folder: its lineage ends there, and the files survive lost executors."""
     path = f"{new_folder(df.sparkSession, 'steps')}/rows"
-    df.write.parquet(path)
+    with exact_variants(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

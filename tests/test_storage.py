@@ -7,7 +7,9 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions.filters import Filter
 from lodestone.sources import sharded
+from lodestone.sources.collections import Collections
 from lodestone.sources.sharded import Conflict, Manifest, ShardedTable
 
 SCHEMA = "id string, content string, seq int"
@@ -120,3 +122,19 @@ def test_second_writer_redoes_or_keeps_its_work(spark, tmp_path, monkeypatch):
         t.upsert(rows_of(spark, (one, "late", 1)), ["seq"])
     assert t.unfinished() and t.release() and t.upsert(rows_of(spark, (one, "late", 1)), ["seq"])
     assert Manifest(0, 3).folders == {}
+
+
+def test_variant_attributes(spark, tmp_path):  # noqa: ANN001
+    rows = [("1", '{"k": 3.0, "t": ["a", 2], "o": {"x": {"y": true}}}'), ("2", '{"k": 3}'), ("3", '{"k": "3"}'), ("4", '{"k": true}'), ("5", "{nothing"), ("6", None), ("7", '{"k": 12345678901234567890123}'), ("8", '{"k": 2.50}')]
+    schema = "id string, attributes string, content string, vector array<float>, ts timestamp_ntz, seq int"
+    stores = [Collections(spark, str(tmp_path / name), variant=name == "variant") for name in ("json", "variant")]
+    for store in stores:
+        store.upsert("c", spark.createDataFrame([(i, a, None, None, None, 1) for i, a in rows], schema), ["seq"])
+    filters = [{"eq": {"k": 3}}, {"eq": {"k": "3.0"}}, {"eq": {"k": True}}, {"in": {"k": [3, "true"]}}, {"range": {"k": [2, 4]}}, {"like": {"k": "3%"}}, {"not": {"eq": {"k": 3}}}, {"contains": {"t": ["a", 2]}}, {"contains": {"o": {"x": {"y": True}}}}, {"eq": {"o.x.y": True}}, {"eq": {"k": 12345678901234567890123}}]
+    for expr in filters:
+        for mode in ("sql", "typed"):
+            found = [sorted(r["id"] for r in s.query("c", Filter(expr), mode).collect()) for s in stores]
+            assert found[0] == found[1], (expr, mode)
+    assert [r["id"] for r in stores[1].query("c", Filter({"eq": {"k": 2.5}}), "typed").collect()] == ["8"]
+    plan = stores[1].query("c", Filter({"range": {"k": [2, 4]}}))._jdf.queryExecution().executedPlan().toString()
+    assert "parse_json" not in plan and "get_json_object" not in plan and "variant_get" in plan
