@@ -2,14 +2,15 @@
 
 Every form type has one row in FORMS that says which steps apply; the steps
 themselves are ordinary expressions on arrays of (k, v), so that a whole table
-of forms is cleaned in one projection.
+of forms is cleaned in one projection. ``extracted`` finds the values of named
+measures in running text.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import drop_second_half, join_key_values, key_values, strip_key_prefix, with_score_unit
@@ -17,6 +18,7 @@ from lodestone.functions.text import drop_second_half, join_key_values, key_valu
 # Measure codes and their labels, and the keys that carry no score.
 MEASURES = {1: "健康教育", 2: "心理疏导", 3: "充足氧供", 4: "早期活动", 5: "疼痛控制", 6: "修养环境管理", 7: "水分营养摄入", 8: "预防并发症", 9: "增加家属探视", 10: "规范使用约束带", 11: "遵医嘱药物治疗"}
 NO_SCORE = ["性别", "年龄", "入院时间", "护理措施", "措施", "审阅", "分型结果"]
+SCORED = ["医院获得性肺炎风险因素评估表", "Caprini血栓风险评估单", "导尿管伴随性尿路感染风险监控", "Braden", "跌倒/坠床风险评估表", "Barthel指数量表", "内科血栓风险评估表", "重症疼痛观察量表CPOT", "改良早期预警评分表MEWS", "住院病人昏迷评定记录单", "谵妄评估单"]
 NO_SCORE_MEWS = ["心率", "收缩压", "呼吸频率", "体温", "意识", "风险分级"]
 
 
@@ -83,8 +85,12 @@ def measure_labels(pairs: Column, field: str = "措施") -> Column:
     return F.transform(pairs, lambda p: F.struct(p["k"].alias("k"), F.when(F.equal_null(p["k"], F.lit(field)) & (F.size(codes(p["v"])) > 0), named(p["v"])).otherwise(p["v"]).alias("v")))
 
 
+def _starts(prefixes: tuple[str, ...]) -> str:
+    return "^(?:" + "|".join(f"\\Q{p}\\E" for p in prefixes) + ")"
+
+
 def new_total(pairs: Column, form: Form) -> Column:
-    """The pairs with the total put right: its number replaced, its suffix kept; appended where there is none."""
+    """The pairs with the total put right: the first total's number replaced, its suffix kept; appended where there is none."""
     number = r"[（(]\s*([0-9]+)\s*分[）)]" if form.bracketed else r"(-?[0-9]+)"
 
     def counts(p: Column) -> Column:
@@ -93,14 +99,15 @@ def new_total(pairs: Column, form: Form) -> Column:
         if form.parts:
             return use & k.isin(*form.parts)
         if form.part_prefixes:
-            return use & k.rlike("^(?:" + "|".join(form.part_prefixes) + ")")
-        return use & ~k.rlike("^(?:" + "|".join(form.skipped) + ")")
+            return use & k.rlike(_starts(form.part_prefixes))
+        return use & ~k.rlike(_starts(form.skipped))
 
     points = F.transform(F.filter(pairs, counts), lambda p: F.coalesce(F.regexp_extract(p["v"], number, 1).try_cast("int"), F.lit(0)))
     total = F.aggregate(points, F.lit(0), lambda a, x: a + x).cast("string")
     is_total = lambda p: F.coalesce(p["k"].isin(*form.totals), F.lit(False))
     suffix = lambda v: F.when(v.rlike(r"^\s*[0-9]"), F.regexp_extract(v, r"^\s*[0-9]+(.*)$", 1)).otherwise(F.lit(""))
-    replaced = F.transform(pairs, lambda p: F.struct(p["k"].alias("k"), F.when(is_total(p), F.concat(total, suffix(p["v"]))).otherwise(p["v"]).alias("v")))
+    first = F.array_position(F.transform(pairs, is_total), F.lit(True))
+    replaced = F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), F.when(i + 1 == first, F.concat(total, suffix(p["v"]))).otherwise(p["v"]).alias("v")))
     appended = F.concat(pairs, F.array(F.struct(F.lit(form.totals[0]).alias("k"), total.alias("v"))))
     return F.when(F.exists(pairs, is_total), replaced).otherwise(appended)
 
@@ -146,11 +153,80 @@ def scored(sub_type: Column, text: Column) -> Column:
 
 
 def drop_repeated_block(parts: Column, least: int = 4) -> Column:
-    """An array without the second of the first two equal neighbouring blocks of at least ``least`` members, the longest first."""
+    """An array without the second of two equal neighbouring blocks of at least ``least`` members: of those that start first the longest."""
     n = F.size(parts)
-    sizes = F.when(n >= 2 * least, F.reverse(F.sequence(F.lit(least), (n / 2).cast("int")))).otherwise(F.array().cast("array<int>"))
-    starts = lambda s: F.sequence(F.lit(1), n - 2 * s + 1)
-    found = F.flatten(F.transform(sizes, lambda s: F.transform(F.filter(starts(s), lambda i: F.slice(parts, i, s) == F.slice(parts, i + s, s)), lambda i: F.struct(i.alias("i"), s.alias("s")))))
+    starts = F.when(n >= 2 * least, F.sequence(F.lit(1), n - (2 * least - 1))).otherwise(F.array().cast("array<int>"))
+    sizes = lambda i: F.reverse(F.sequence(F.lit(least), ((n - i + 1) / 2).cast("int")))
+    found = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(sizes(i), lambda s: F.slice(parts, i, s) == F.slice(parts, i + s, s)), lambda s: F.struct(i.alias("i"), s.alias("s")))))
     first = F.get(found, F.lit(0))
     kept = F.concat(F.slice(parts, F.lit(1), first["i"] + first["s"] - 1), F.slice(parts, first["i"] + 2 * first["s"], F.greatest(F.lit(0), n - first["i"] - 2 * first["s"] + 1)))
     return F.when(F.size(found) > 0, kept).otherwise(parts)
+
+
+def drop_repeated_strongly(text: Column, least: int = 4) -> Column:
+    """A text without a repeated block of comma-separated parts.
+
+    The text once, where its halves are the same; else, from six parts on,
+    without the first block that comes twice in a row; else without a first
+    block of more than ``least`` parts that comes again but for white space;
+    else the text with its doubled commas as one.
+    """
+    s = F.trim(text)
+    bare = F.regexp_replace(s, r"^[ ,\n]+|[ ,\n]+$", "")
+    half = (F.length(bare) / 2).cast("int")
+    halves = (F.length(bare) > 0) & (F.length(bare) % 2 == 0) & (F.substr(bare, F.lit(1), half) == F.substr(bare, half + 1))
+    parts = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_replace(s, "，", ", "), r"\s{2,}", " "), ","), lambda p: F.trim(p)), lambda p: p != "")
+
+    def body(p: Column) -> Column:
+        exact = drop_repeated_block(p, least)
+        plain = F.transform(p, lambda x: F.regexp_replace(x, r"\s+", ""))
+        sizes = F.when(F.size(p) >= 2 * least + 2, F.reverse(F.sequence(F.lit(least + 1), (F.size(p) / 2).cast("int")))).otherwise(F.array().cast("array<int>"))
+        near = F.get(F.filter(sizes, lambda j: F.slice(plain, F.lit(1), j) == F.slice(plain, j + 1, j)), F.lit(0))
+        loose = F.concat(F.slice(p, F.lit(1), near), F.slice(p, 2 * near + 1, F.size(p)))
+        tidy = F.regexp_replace(s, r"([,，])\s*\1+", "$1 ")
+        return F.when(F.size(p) < 6, s).when(F.size(exact) < F.size(p), F.array_join(exact, ", ")).when(near.isNotNull(), F.array_join(loose, ", ")).otherwise(tidy)
+
+    return F.when(halves, F.substr(bare, F.lit(1), half)).otherwise(F.transform(F.array(parts), body)[0])
+
+
+def second_cleaned(sub_type: Column, text: Column) -> Column:
+    """A text after its first cleaning: repeated blocks go, the keys of fall forms lose their prefix, and scores of scored forms get their unit."""
+    once = drop_repeated_strongly(text)
+    fall = join_key_values(strip_key_prefix(key_values(once), ["morse_"]))
+    plain = F.when(sub_type == "跌倒/坠床风险评估表", fall).otherwise(once)
+    return F.when(sub_type.isin(SCORED), scored(sub_type, plain)).otherwise(plain)
+
+
+def extracted(notes: DataFrame, text_col: str, names: dict[str, list[str]], units: dict[str, dict[str, float]], keep: list[str]) -> DataFrame:
+    """(keep, name, value, unit, place): the values that texts tell of named measures.
+
+    ``names`` has the spellings of each measure, longer ones first where one
+    begins another; ``units`` has for each measure its units and what a value in
+    it is multiplied by to be in the first one. A value is a number after a
+    spelling and at most ``:``, ``=``, ``is`` or white space, with a unit of the
+    measure or none; one without a unit is in the first. Place is the number's
+    first character, from 1. Letters of either case are the same. All measures
+    are found in one pass, by one pattern.
+    """
+    known = {x.lower(): n for n, spellings in names.items() for x in (n, *spellings)}
+    factor = {(n, u.lower()): (list(of)[0], f) for n, of in units.items() for u, f in of.items()}
+    spelled = "|".join(f"\\Q{x}\\E" for x in sorted(known, key=lambda x: (-len(x), x)))
+    marks = "|".join(f"\\Q{u}\\E" for u in sorted({u for _, u in factor}, key=lambda u: (-len(u), u)))
+    pattern = rf"(?iu)(?<![\p{{L}}\p{{N}}])({spelled})(\s*(?:[:：=]|\bis\b)?\s*)(-?[0-9]+(?:\.[0-9]+)?)(?:\s*({marks}))?(?![\p{{L}}\p{{N}}])"
+    hits = F.regexp_extract_all(text_col, F.lit(pattern), F.lit(0))
+    # Where each hit starts: what was before it, found from the end of the one before.
+    at = F.aggregate(hits, F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("all")), lambda a, h: _after(a, h, F.col(text_col)))["all"]
+    rows = notes.select(*keep, F.explode(F.arrays_zip(hits.alias("h"), at.alias("at"))).alias("x")).select(*keep, F.col("x.h").alias("h"), F.col("x.at").alias("at"))
+    part = lambda i: F.regexp_extract("h", pattern, i)
+    name_of = F.create_map(*(F.lit(x) for k, n in known.items() for x in (k, n)))
+    told = rows.select(*keep, F.try_element_at(name_of, F.lower(part(1))).alias("name"), part(3).try_cast("double").alias("raw"), F.lower(part(4)).alias("told"), (F.col("at") + F.length(part(1)) + F.length(part(2))).alias("place"))
+    firsts = F.create_map(*(F.lit(x) for n, of in units.items() for x in (n, list(of)[0])))
+    factors = F.create_map(*(F.lit(x) for (n, u), (_, f) in factor.items() for x in (f"{n}\t{u}", float(f))))
+    by = F.when(F.col("told") == "", F.lit(1.0)).otherwise(F.try_element_at(factors, F.concat_ws("\t", "name", "told")))
+    return told.select(*keep, "name", (F.col("raw") * by).alias("value"), F.try_element_at(firsts, F.col("name")).alias("unit"), "place").where("value is not null")
+
+
+def _after(a: Column, hit: Column, text: Column) -> Column:
+    """The place of the next hit after the last one's end, added to the places."""
+    at = F.call_function("locate", hit, text, a["end"] + 1)
+    return F.struct((at + F.length(hit) - 1).cast("int").alias("end"), F.concat(a["all"], F.array(at.cast("int"))).alias("all"))

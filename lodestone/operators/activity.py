@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.ranks import running
+
 ENDS = {"complete": "completed", "fail": "failed"}
 
 
@@ -47,27 +49,44 @@ def balance(events: DataFrame, by: list[str], ts: str, amount: str, is_in: Colum
     return rows.withColumn("balance", F.col("taken") - F.col("given"))
 
 
-def score_metrics(rows: DataFrame, score: str, truth: str, cut: float = 0.5, digits: int = 4) -> DataFrame:
+def score_metrics(rows: DataFrame, score: str, truth: str, cut: float = 0.5) -> DataFrame:
     """One row (n, brier, recall, precision, auroc, average_precision) of scores from 0 to 1 against a truth of 0 or 1.
 
-    Scores count to ``digits`` digits, so that the curves come from at most
-    10**digits + 1 groups, which Spark counts beforehand; no row is sorted.
+    Rows of one score are counted together before they are moved; the curves
+    come from running sums over the distinct scores, range by range.
     """
-    rounded = rows.where(F.col(score).isNotNull() & F.col(truth).isNotNull()).select(F.round(score, digits).alias("s"), F.col(truth).cast("double").alias("y"))
-    groups = rounded.groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    curve = groups.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)})
+    known = rows.where(F.col(score).isNotNull() & F.col(truth).isNotNull()).select(F.col(score).cast("double").alias("s"), F.col(truth).cast("double").alias("y"))
+    groups = known.groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    curve = running(groups, [F.desc("s")], ["pos", "neg"])
     over = lambda c: F.sum(F.when(F.col("s") >= cut, F.col(c)).otherwise(0.0))
     return curve.agg(
-        F.sum(F.col("pos") + F.col("neg")).cast("long").alias("n"),
+        F.coalesce(F.sum(F.col("pos") + F.col("neg")), F.lit(0)).cast("long").alias("n"),
         F.try_divide(F.sum(F.col("pos") * (1 - F.col("s")) ** 2 + F.col("neg") * F.col("s") ** 2), F.sum(F.col("pos") + F.col("neg"))).alias("brier"),
         F.try_divide(over("pos"), F.sum("pos")).alias("recall"),
         F.try_divide(over("pos"), over("pos") + over("neg")).alias("precision"),
-        F.try_divide(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)), F.sum("pos") * F.sum("neg")).alias("auroc"),
-        F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.sum("pos")).alias("average_precision"),
+        F.try_divide(F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2)), F.sum("pos") * F.sum("neg")).alias("auroc"),
+        F.try_divide(F.sum(F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))), F.sum("pos")).alias("average_precision"),
     )
 
 
+def recall_at(rows: DataFrame, score: str, truth: str, tie: str, ks: list[int]) -> DataFrame:
+    """(k, recall): which share of the true rows is among the k with the highest scores, ties by ``tie``; null without a true row."""
+    known = rows.where(F.col(score).isNotNull() & F.col(truth).isNotNull()).select(F.col(score).cast("double").alias("s"), F.col(truth).cast("double").alias("y"), F.col(tie).alias("tie"))
+    best = known.orderBy(F.desc("s"), "tie").limit(max(ks)).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("s"), "tie")))
+    found = best.agg(*(F.sum(F.when(F.col("pos") <= k, F.col("y"))).alias(f"k{k}") for k in ks))
+    told = found.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("hits")) for k in ks))).alias("x")).select("x.*")
+    return told.join(F.broadcast(known.agg(F.sum("y").alias("all"))), F.lit(True)).select("k", F.try_divide("hits", "all").alias("recall"))
+
+
+def lead_times(alerts: DataFrame, onsets: DataFrame, key: str, at: str, onset: str, within_seconds: int) -> DataFrame:
+    """(key, onset, lead_seconds): how long ahead of each onset its key's first alert within the reach came; null without one."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    a = alerts.select(F.col(key).alias("key_"), micros(F.col(at)).alias("at_"))
+    ahead = (F.col("onset_") - F.col("at_")) / 1_000_000
+    met = onsets.withColumn("onset_", micros(F.col(onset))).join(a, (F.col(key) == F.col("key_")) & ahead.between(0, within_seconds), "left")
+    return met.groupBy(key, onset).agg(F.max(ahead).alias("lead_seconds"))
+
+
 def steps(groups: DataFrame, column: str) -> DataFrame:
     """(column, next, done) of the distinct values in order: the one that follows, and whether it is the last. Meant for months or days, which are few."""
     w = Window.orderBy(column)

@@ -289,23 +289,33 @@ def ev_life_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("p", F.round("p", 6))
 
 
-DAG = [("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("e", "d"), ("f", "unknown")]
+#: Every part needs the parts with half and a third of its key, where there are such; key 0 is nobody's.
+NEEDS = "e AS (SELECT p_partkey AS task, p_partkey // 2 AS needs FROM part UNION SELECT p_partkey, p_partkey // 3 FROM part)"
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = table(spark, sf_dir, "part")
+    tasks = p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 3 == 0, "pending").when(F.col("p_partkey") < 1000, "completed").otherwise("running").alias("status"))
+    edge = lambda n: p.select(F.col("p_partkey").alias("task"), F.floor(F.col("p_partkey") / n).alias("needs"))
+    return tasks, edge(2).unionByName(edge(3)).where("task != needs")
 
 
 @query(
-    "WITH RECURSIVE e(task, needs) AS (VALUES ('b', 'a'), ('c', 'a'), ('d', 'b'), ('d', 'c'), ('e', 'd')), t(id) AS (VALUES ('a'), ('b'), ('c'), ('d'), ('e'), ('f')), "
-    "l AS (SELECT id, 0 AS level FROM t UNION ALL SELECT e.task, l.level + 1 FROM l JOIN e ON e.needs = l.id WHERE l.level < 10) SELECT id, max(level) AS level FROM l GROUP BY id"
+    f"WITH RECURSIVE {NEEDS}, k AS (SELECT task, needs FROM e WHERE task <> needs AND needs IN (SELECT p_partkey FROM part)), "
+    "l AS (SELECT p_partkey AS id, 0 AS level FROM part UNION SELECT k.task, l.level + 1 FROM l JOIN k ON k.needs = l.id) SELECT id, max(level) AS level FROM l GROUP BY id"
 )
 def dag_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tasks = spark.createDataFrame([(x,) for x in "abcdef"], "id string")
-    return ranking.levels(tasks, spark.createDataFrame(DAG, "task string, needs string"))
+    tasks, edges = _parts(spark, sf_dir)
+    return ranking.levels(tasks, edges)
 
 
-@query("SELECT * FROM (VALUES ('d'), ('f')) v(id)")
+@query(
+    f"WITH {NEEDS}, t AS (SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 'pending' WHEN p_partkey < 1000 THEN 'completed' ELSE 'running' END AS status FROM part) "
+    "SELECT id FROM t WHERE status = 'pending' AND NOT EXISTS (SELECT 1 FROM e JOIN t n ON n.id = e.needs WHERE e.task = t.id AND e.needs <> e.task AND n.status <> 'completed')"
+)
 def dag_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = {"a", "b", "c"}
-    tasks = spark.createDataFrame([(x, "completed" if x in done else "pending") for x in "abcdef"], "id string, status string")
-    return ranking.ready_tasks(tasks, spark.createDataFrame(DAG, "task string, needs string")).select("id")
+    tasks, edges = _parts(spark, sf_dir)
+    return ranking.ready_tasks(tasks, edges).select("id")
 
 
 @query("SELECT event_id, CASE WHEN s >= 70 THEN 'high' WHEN s >= 40 THEN 'medium' ELSE 'low' END AS level, s AS score FROM (SELECT event_id, trunc(least(greatest(30 + CASE WHEN value > 100 THEN 10 ELSE 0 END + CASE WHEN value > 38 THEN 15 ELSE 0 END + (user_id % 90 - 50) / 30.0 * 20, 10), 95))::INT AS s FROM events)")

@@ -166,7 +166,7 @@ def ev_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH r AS (SELECT round(least(1, n_chars / 5000.0), 4)::DOUBLE AS s, quality::DOUBLE AS y FROM labels JOIN documents USING (doc_id)), a AS (SELECT sum((s - y) * (s - y)) / count(*) AS brier, count(*) AS n, sum(CASE WHEN s >= 0.5 THEN y END) / sum(y) AS recall, avg(CASE WHEN s >= 0.5 THEN y END) AS precision FROM r), "
+    "WITH r AS (SELECT least(1::DOUBLE, n_chars / 5000::DOUBLE) AS s, quality::DOUBLE AS y FROM labels JOIN documents USING (doc_id)), a AS (SELECT sum((s - y) * (s - y)) / count(*) AS brier, count(*) AS n, sum(CASE WHEN s >= 0.5 THEN y END) / sum(y) AS recall, avg(CASE WHEN s >= 0.5 THEN y END) AS precision FROM r), "
     "p AS (SELECT avg(CASE WHEN x.s > z.s THEN 1.0 WHEN x.s = z.s THEN 0.5 ELSE 0 END) AS auroc FROM r x, r z WHERE x.y = 1 AND z.y = 0), "
     "t AS (SELECT x.s, (SELECT sum(y) / count(*) FROM r z WHERE z.s >= x.s) AS share FROM r x WHERE x.y = 1) "
     "SELECT n, round(brier, 6) AS brier, round(recall, 6) AS recall, round(precision, 6) AS precision, round(auroc, 6) AS auroc, round((SELECT avg(share) FROM t), 6) AS average_precision FROM a, p"
@@ -178,6 +178,26 @@ def use_score_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 6) for c in ("brier", "recall", "precision", "auroc", "average_precision")})
 
 
+@query(
+    "WITH r AS (SELECT doc_id, least(1::DOUBLE, n_chars / 5000::DOUBLE) AS s, quality AS y FROM labels JOIN documents USING (doc_id)), o AS (SELECT *, row_number() OVER (ORDER BY s DESC, doc_id) AS k FROM r) "
+    "SELECT k.k, sum(CASE WHEN o.k <= k.k THEN y END) / sum(y) AS recall FROM o, (VALUES (10), (50), (100)) k(k) GROUP BY k.k"
+)
+def use_recall_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").withColumn("score", F.least(F.lit(1.0), F.col("n_chars") / 5000))
+    return activity.recall_at(rows, "score", "quality", "doc_id", [10, 50, 100])
+
+
+@query(
+    "SELECT o.user_id, o.ts AS onset, max(epoch_us(o.ts) - epoch_us(a.ts)) / 1000000::DOUBLE AS lead_seconds FROM (SELECT DISTINCT user_id, ts FROM events WHERE event_type = 'error') o "
+    "LEFT JOIN events a ON a.user_id = o.user_id AND a.event_type = 'signup' AND a.ts BETWEEN o.ts - INTERVAL 24 HOUR AND o.ts GROUP BY 1, 2"
+)
+def ev_lead_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long before each error its user's first sign-up of the day before it came."""
+    e = table(spark, sf_dir, "events")
+    onsets = e.where("event_type = 'error'").select("user_id", F.col("ts").alias("onset")).distinct()
+    return activity.lead_times(e.where("event_type = 'signup'"), onsets, "user_id", "ts", "onset", 86_400)
+
+
 FILLED = 'least(5.0, "left" + coalesce(t.x - "last", 0) * 0.0001)'
 
 

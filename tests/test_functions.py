@@ -104,3 +104,48 @@ def test_filter_order_and_errors(spark):  # noqa: ANN001
     assert [r["id"] for r in apply_filter(df, Filter(order_by=[("content", "desc")], limit=2), resolve).collect()] == ["2", "3"]
     with pytest.raises(ValueError, match="one field"):
         compile_filter({"range": {"a": [1, 2], "b": [1, 2]}}, resolve)
+
+
+def test_strong_block_dedupe(spark):  # noqa: ANN001
+    cases = {
+        "p,a,b,c,d,a,b,c,d,q,r,s,t,u,v,r,s,t,u,v": "p, a, b, c, d, q, r, s, t, u, v, r, s, t, u, v",
+        "a,b,c,d,e,f,a,b,c,d,e,f,z": "a, b, c, d, e, f, z",
+        "a,a,a,a,a,a,a,a,a": "a, a, a, a, a",
+        "x yx y": "x y",
+        "a,,b": "a,,b",
+        "a,b,c,d,e,,f": "a,b,c,d,e, f",
+        "a b,c,d,e,f,ab,c,d,e,f,q": "a b, c, d, e, f, q",
+        "": "",
+        " ": "",
+    }
+    rows = spark.createDataFrame([(k, v) for k, v in cases.items()] + [(None, None)], "t string, want string")
+    assert [(r[0], r[1]) for r in rows.select(clinical.drop_repeated_strongly(F.col("t")), "want").collect() if r[0] != r[1]] == []
+
+
+def test_all_forms(spark):  # noqa: ANN001
+    plain = ("a: 1, b: 2, a: 1, b: 2", "a: 1, b: 2")
+    cases = {
+        "导管观察及护理记录": plain, "疼痛评估及记录单": plain, "皮肤观察及护理记录单": plain, "跌倒/坠床风险评估表": plain, "压力性损伤观察及护理记录单": plain, "内科血栓风险评估表": plain, "危重护理记录单": plain, "肌力等级评估表": plain,
+        "谵妄评估单": ("措施: 11, x: 1", "措施: 遵医嘱药物治疗, x: 1"),
+        "约束护理记录单": ("约束_部位: 手, 约束_a: 1", "部位: 手, a: 1"),
+        "医院获得性肺炎风险因素评估表": ("肺炎_a: 2分, 总分: 9, 肺炎总分: 8分高", "a: 2分, 总分: 2, 肺炎总分: 8分高"),
+        "Caprini血栓风险评估单": ("压疮_年龄61: 2, 压疮_病史: 3, 手术: -1, 其他: 9", "年龄: 2, 病史: 3, 手术: -1, 其他: 9, 总分: 2"),
+        "导尿管伴随性尿路感染风险监控": ("尿路_a: 1, 尿路_b: 2, 性别: 5, 导尿管感染总分: 9", "a: 1, b: 2, 性别: 5, 导尿管感染总分: 3"),
+        "Braden": ("压疮_a: 1", "a: 1"),
+        "Barthel指数量表": ("进食1: 自理（10分）, 洗澡: 5, 压疮_自理能力等级: x(3分)", "进食: 自理（10分）, 洗澡: 5, 自理能力等级: x(3分), 总分: 10"),
+        "重症疼痛观察量表CPOT": ("CPOT_a: 1", "a: 1"),
+        "改良早期预警评分表MEWS": ("MEWS-心率: 51-100", "心率: 51-100"),
+        "住院病人昏迷评定记录单": ("睁眼-a: 4, 运动-b: 6, 言语-c: 5, 昏迷评分: 3 分", "睁眼-a: 4, 运动-b: 6, 言语-c: 5, 昏迷评分: 15 分"),
+    }
+    assert set(cases) == set(clinical.FORMS) and len(cases) == 18
+    rows = spark.createDataFrame([(k, a, b) for k, (a, b) in cases.items()], "s string, t string, want string")
+    assert [tuple(r) for r in rows.select("s", clinical.cleaned(F.col("s"), F.col("t")).alias("got"), "want").collect() if r["got"] != r["want"]] == []
+
+
+def test_values_from_notes(spark):  # noqa: ANN001
+    names, units = {"heart rate": ["hr"], "glucose": ["glu"]}, {"heart rate": {"bpm": 1.0}, "glucose": {"mmol/L": 1.0, "mg/dL": 0.0555}}
+    notes = ["HR: 80, glu 5.5 mmol/l, later hr=90bpm; glucose is 100 mg/dL", "through 5 thr 7 hrs 9", None, "", "Heart rate -3 kg. hr 12.", "血糖 hr：70bpm，glu:6"]
+    got = sorted(map(tuple, clinical.extracted(spark.createDataFrame(list(enumerate(notes)), "i int, t string"), "t", names, units, ["i"]).collect()))
+    want = [(0, "glucose", 5.5, "mmol/L", 13), (0, "glucose", pytest.approx(5.55), "mmol/L", 52), (0, "heart rate", 80.0, "bpm", 5), (0, "heart rate", 90.0, "bpm", 34), (4, "heart rate", -3.0, "bpm", 12), (4, "heart rate", 12.0, "bpm", 22), (5, "glucose", 6.0, "mmol/L", 17), (5, "heart rate", 70.0, "bpm", 7)]
+    assert got == want
+    assert all(notes[i][place - 1 :].startswith(str(value).removesuffix(".0")) for i, _, value, _, place in got if value != 5.55 and (i, place) != (0, 52))
