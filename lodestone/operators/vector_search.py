@@ -159,40 +159,88 @@ def least_distance(queries: DataFrame, library: DataFrame, **options: object) ->
 
 
 class CellIndex:
-    """An index of cells around centres: every row lies in the cell of its nearest centre, and a query scores the rows of its nearest cells.
-
-    The centres are fitted by spherical k-means on at most SAMPLE_ROWS rows of
-    the lowest id hashes; all rows with a vector are indexed. ``write`` stores
-    the rows by cell, so that a search reads only the cells it probes. The
-    defaults reach a recall of 0.9 on vectors without any structure, where no
-    index can leave out much; on vectors that cluster a few probes do.
+    """An index of cells around centres, with a short code of every row, that grows with the table.
+
+    There are as many cells as the square root of the rows, at most MOST_CELLS,
+    and every row with a vector lies in the cell of its nearest centre. Its code
+    has one byte for each dimension: where it lies from that centre. A query
+    scores the codes of the rows in its nearest cells, and only the best RERANK
+    times k of these are scored again by their vectors.
+
+    The centres are fitted by spherical k-means on the rows of the lowest id
+    hashes, SAMPLE_ROWS or 32 for each cell; how many cells a query probes is
+    fitted there too: so many that they hold 0.96 of the sample's own nearest
+    neighbours. Vectors without any structure need most cells, clustered ones a
+    few, and so the share of rows that a query reads falls as the table grows.
+    ``write`` stores codes and vectors by cell, and a search opens the cells
+    that it probes.
     """
 
     SAMPLE_ROWS = 20_000
-
-    def __init__(self, df: DataFrame, cells: int = 32, probes: int = 20, rounds: int = 10, vector: str = "embedding", id_col: str = "vec_id"):
-        self.vector, self.id_col, self.probes = vector, id_col, probes
-        rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    MOST_CELLS = 4096
+    RERANK = 4
+    ENOUGH = 0.96
+
+    def __init__(self, df: DataFrame, cells: int | None = None, probes: int | None = None, rounds: int = 10, vector: str = "embedding", id_col: str = "vec_id"):
+        self.vector, self.id_col = vector, id_col
+        rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).cast("array<float>").alias("v"))
+        self.n = rows.count()
+        wanted = cells or max(1, min(self.MOST_CELLS, int(self.n**0.5)))
         hashed = rows.select("v", F.shiftrightunsigned(F.xxhash64("id"), 11).alias("h"))
-        sample = np.array([r[0] for r in hashed.orderBy("h").limit(self.SAMPLE_ROWS).collect()], float)
-        self.centres = self._fit(sample, cells, rounds)
-        self.rows = self._with_cells(rows, 1)
+        sample = np.array([r[0] for r in hashed.orderBy("h").limit(max(self.SAMPLE_ROWS, 32 * wanted)).collect()], float)
+        unit = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), EPS) if len(sample) else np.zeros((0, 0))
+        self.centres = self._fit(unit, wanted, rounds)
+        spread = np.abs(unit - self.centres[(unit @ self.centres.T).argmax(1)]).max() if len(unit) else 0.0
+        #: The length of one step of a code; a row further out than any of the sample has its code cut there, which only its first score feels.
+        self.step = max(float(spread), EPS) * 1.25 / 127
+        self.probes = min(len(self.centres), probes or self._probes(unit))
+        self.rows = self._coded(rows)
 
     @staticmethod
-    def _fit(sample: np.ndarray, cells: int, rounds: int) -> np.ndarray:
-        if not len(sample):
+    def _fit(x: np.ndarray, cells: int, rounds: int) -> np.ndarray:
+        if not len(x):
             return np.zeros((0, 0))
-        x = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), EPS)
         centres = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)]
         for _ in range(rounds):
             own = (x @ centres.T).argmax(1)
-            sums = np.stack([x[own == i].sum(0) if (own == i).any() else centres[i] for i in range(len(centres))])
+            sums = np.zeros_like(centres)
+            np.add.at(sums, own, x)
+            empty = np.bincount(own, minlength=len(centres)) == 0
+            sums[empty] = centres[empty]
             centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), EPS)
         return centres
 
-    def _with_cells(self, df: DataFrame, n: int) -> DataFrame:
-        """(id, v, cell): each row with each of its ``n`` nearest cells."""
-        centres = self.centres
+    def _probes(self, x: np.ndarray, k: int = 10, asked: int = 512) -> int:
+        """How many nearest cells hold ENOUGH of the nearest neighbours that rows of the sample have in it."""
+        if len(x) < 2:
+            return 1
+        own = (x @ self.centres.T).argmax(1)
+        some = np.linspace(0, len(x) - 1, min(asked, len(x))).astype(int)
+        near = x[some] @ x.T
+        near[np.arange(len(some)), some] = -np.inf
+        best = np.argpartition(-near, min(k, len(x) - 1) - 1, axis=1)[:, :k]
+        place = np.argsort(np.argsort(-(x[some] @ self.centres.T), axis=1, kind="stable"), axis=1)
+        ranks = np.sort(np.take_along_axis(place, own[best], axis=1).ravel())
+        return int(ranks[min(len(ranks) - 1, int(self.ENOUGH * len(ranks)))]) + 1
+
+    def _coded(self, df: DataFrame) -> DataFrame:
+        """(id, v, cell, code)"""
+        centres, step = self.centres, self.step
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    unit = unit_rows(b.v)
+                    cell = (unit @ centres.T).argmax(1)
+                    code = np.clip(np.rint((unit - centres[cell]) / step), -127, 127).astype(np.int8)
+                    yield b.assign(cell=cell.astype(np.int32), code=[x.tobytes() for x in code])
+
+        return df.mapInPandas(run, f"id {df.schema['id'].dataType.simpleString()}, v array<float>, cell int, code binary")
+
+    def _asked(self, queries: DataFrame) -> DataFrame:
+        """(id, v, cell): each query with each cell that it probes."""
+        centres, n = self.centres, self.probes
+        df = queries.where(F.col(self.vector).isNotNull()).select(F.col(self.id_col).alias("id"), F.col(self.vector).cast("array<float>").alias("v"))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -203,39 +251,59 @@ class CellIndex:
         return found.select("id", "v", F.explode("cells").alias("cell"))
 
     def write(self, path: str) -> CellIndex:
-        """Store the indexed rows by cell and search them there from now on."""
+        """Store codes and vectors by cell and search them there from now on."""
         self.rows.write.mode("errorifexists").partitionBy("cell").parquet(path)
         self.rows = self.rows.sparkSession.read.schema(self.rows.schema).parquet(path)
         return self
 
+    def share_read(self, queries: DataFrame) -> float:
+        """The mean share of all rows whose codes a query reads."""
+        sizes = self.rows.groupBy("cell").agg(F.count("*").alias("n"))
+        found = self._asked(queries).join(sizes, "cell").agg(F.sum("n").alias("read"), F.count_distinct("id").alias("queries")).first()
+        return found["read"] / (found["queries"] * self.n) if found["queries"] and self.n else 0.0
+
     def search(self, queries: DataFrame, k: int, block_rows: int = 2000) -> DataFrame:
         """(query_id, id, score, rank): the k best rows of the probed cells for each query, itself left out.
 
-        Queries and rows meet by cell and by blocks of rows within it, so that a large cell is many tasks.
+        Queries and codes meet by cell and by blocks of rows within it, so that a large cell is many tasks.
         """
-        asked = self._with_cells(queries.where(F.col(self.vector).isNotNull()).select(F.col(self.id_col).alias("id"), F.col(self.vector).alias("v")), self.probes)
-        blocks = max(1, -(-self.rows.count() // (block_rows * max(1, len(self.centres)))))
+        asked = self._asked(queries)
+        # At most as many values as there are cells.
+        probed = [r[0] for r in asked.select("cell").distinct().collect()]
+        held = self.rows.where(F.col("cell").isin(probed))
+        blocks = max(1, -(-self.n // (block_rows * max(1, len(self.centres)))))
         left = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        right = self.rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+        right = held.select("id", "cell", "code", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+        centres, step, width = self.centres, self.step, self.RERANK * k
 
         def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-            out = {"query_id": [], "id": [], "score": []}
+            out = {"query_id": [], "id": [], "about": [], "cell": []}
             if len(q) and len(c):
-                scores = np.clip(unit_rows(q.v) @ unit_rows(c.v).T, -1, 1)
+                cell = int(c.cell.iloc[0])
+                codes = np.frombuffer(b"".join(c.code), np.int8).reshape(len(c), -1)
+                there = centres[cell] + codes * step
+                scores = unit_rows(q.v) @ (there / np.maximum(np.linalg.norm(there, axis=1, keepdims=True), EPS)).T
                 scores[q.id.to_numpy()[:, None] == c.id.to_numpy()[None]] = -np.inf
                 ids = c.id.to_numpy()
                 for row in range(len(q)):
-                    best = np.lexsort((ids, -scores[row]))[:k]
+                    best = np.argpartition(-scores[row], min(width, len(ids)) - 1)[:width]
                     best = best[np.isfinite(scores[row, best])]
                     out["query_id"] += [q.id.iloc[row]] * len(best)
                     out["id"] += ids[best].tolist()
-                    out["score"] += scores[row, best].tolist()
+                    out["about"] += scores[row, best].tolist()
+                    out["cell"] += [cell] * len(best)
             return pd.DataFrame(out)
 
         kind = asked.schema["id"].dataType.simpleString()
-        met = left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(meet, f"query_id {kind}, id {kind}, score double")
+        met = left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(meet, f"query_id {kind}, id {kind}, about double, cell int")
+        first = Window.partitionBy("query_id").orderBy(F.desc("about"), "id")
+        chosen = met.withColumn("nth_", F.row_number().over(first)).where(F.col("nth_") <= width).select("query_id", "id", "cell")
+        vectors = held.select(F.col("id").alias("row_id"), F.col("cell").alias("row_cell"), F.col("v").alias("row_v"))
+        own = queries.select(F.col(self.id_col).alias("own_id"), F.col(self.vector).alias("own_v"))
+        both = chosen.join(vectors, (F.col("id") == F.col("row_id")) & (F.col("cell") == F.col("row_cell"))).join(own, F.col("query_id") == F.col("own_id"))
+        scored = both.select("query_id", "id", cosine(F.col("own_v"), F.col("row_v")).alias("score"))
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-        return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def rerank(docs: DataFrame, query: list[float] | None, top_n: int, vector: str = "embedding", position: str = "pos") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import events as ev
 from lodestone.operators import leaders, ranks
 from lodestone.operators import text_vectors as tv
+from lodestone.operators import vector_search as vs
 
 
 def test_anchored_rows_of_a_hot_key(spark):  # noqa: ANN001
@@ -99,3 +100,28 @@ def test_leaders_of_nothing_and_merged_lists(spark):  # noqa: ANN001
     assert leaders.lead(v.where("false")).count() == 0
     rows = leaders.merged(v, leaders.lead(v), "vec_id", ["alias"]).orderBy("vec_id").select("vec_id", "name", "alias", "n_merged").collect()
     assert [tuple(r) for r in rows] == [(1, "x", ["a", "b"], 1), (2, "y", ["c"], 0)]
+
+
+def test_index_reads_less_of_a_larger_table(spark, tmp_path):  # noqa: ANN001
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((400, 16))
+    shares, recalls = [], []
+    for n in (1500, 12_000):
+        v = (centres[rng.integers(0, 400, n)] + rng.standard_normal((n, 16)) * 0.25).astype(np.float32)
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+        index = vs.CellIndex(df).write(str(tmp_path / str(n)))
+        assert len(index.centres) == int(n**0.5)
+        asked = df.where("vec_id % 60 = 0")
+        found = {}
+        for r in index.search(asked, 10).collect():
+            found.setdefault(r["query_id"], set()).add(r["id"])
+        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        hits = total = 0
+        for q in range(0, n, 60):
+            score = unit @ unit[q]
+            score[q] = -2
+            best = set(np.argsort(-score)[:10].tolist())
+            hits, total = hits + len(best & found[q]), total + 10
+        recalls.append(hits / total)
+        shares.append(index.share_read(asked))
+    assert min(recalls) >= 0.9 and shares[1] < 0.6 * shares[0] < 0.2
