@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WEEKDAYS = ["周一", "周二", "周三", "周四", "周五", "周六", "周日"]  # fixed values
@@ -36,6 +38,42 @@ def table_name(x: Column) -> Column:
     return F.left(F.regexp_replace(x, r"[^\p{L}\p{N}_]", "_"), F.lit(63))
 
 
+def file_name(x: Column, most: int = 200) -> Column:
+    """A name that any file system takes: separators, quotes, wildcards and control characters as underscores, no blanks or dots at the ends; ``_`` where nothing is left."""
+    plain = F.regexp_replace(F.regexp_replace(x, r"[\\/:*?\"<>|\p{Cntrl}]", "_"), r"^[\s.]+|[\s.]+$", "")
+    return F.when(F.length(plain) > 0, F.left(plain, F.lit(most))).when(x.isNotNull(), F.lit("_"))
+
+
+def first_title(x: Column, lines: int = 10, least: int = 10, most: int = 200) -> Column:
+    """The first of the first ``lines`` lines whose trimmed length is between the bounds, without them; null without one."""
+    tried = F.transform(F.slice(F.split(x, "\n"), 1, lines), lambda line: F.trim(line))
+    return F.get(F.filter(tried, lambda line: (F.length(line) > least) & (F.length(line) < most)), F.lit(0))
+
+
+def filled(template: str, values: dict[str, Column]) -> Column:
+    """A template with each ``{name}`` replaced by a column's text, null as nothing; names without a column stay.
+
+    One pass over the template, so that a value that holds ``{name}`` is left alone.
+    """
+    out, at = [], 0
+    for m in re.finditer(r"\{([A-Za-z_][A-Za-z0-9_]*)\}", template):
+        if m[1] in values:
+            out += [F.lit(template[at : m.start()]), F.coalesce(values[m[1]].cast("string"), F.lit(""))]
+            at = m.end()
+    return F.concat(*out, F.lit(template[at:]))
+
+
+def prompt(templates: dict, section: str, kind: str, values: dict[str, Column]) -> Column:
+    """The filled template of a section and kind; ValueError where there is none or a required variable has no column."""
+    found = (templates.get(section) or {}).get(f"{kind}_prompt")
+    if not found:
+        raise ValueError(f"no {kind} prompt in section {section}")
+    missing = [v for v in found.get("input_variables", []) if v not in values]
+    if missing:
+        raise ValueError(f"missing variables: {missing}")
+    return filled(found["template"], values)
+
+
 def shard_of(x: Column, shards: int) -> Column:
     """The SHA-256 digest of the text as a number, modulo the number of shards."""
     digits = F.transform(F.filter(F.split(F.sha2(x, 256), ""), lambda d: d != ""), lambda d: F.conv(d, 16, 10).cast("int"))
@@ -93,6 +131,11 @@ def parsed_date(x: Column) -> Column:
     return F.coalesce(epoch.cast("date"), *(F.try_to_timestamp(x, F.lit(f)).cast("date") for f in formats))
 
 
+def normal_date(x: Column) -> Column:
+    """``yyyyMMdd`` of a date in any of the usual spellings; any other text stays as it is."""
+    return F.coalesce(F.date_format(parsed_date(x), "yyyyMMdd"), x)
+
+
 def last_week(day: Column) -> Column:
     """``yyyyMMdd-yyyyMMdd`` of the Monday and Sunday of the week before a date's."""
     monday = F.date_sub(F.date_trunc("week", day.cast("timestamp")).cast("date"), 7)
@@ -129,3 +172,11 @@ def token_estimate(x: Column) -> Column:
 def first_filled(*counts: Column) -> Column:
     """The first count that is neither null nor zero, else zero."""
     return F.coalesce(*(F.nullif(c, F.lit(0)) for c in counts), F.lit(0))
+
+
+def line_stats(rows: DataFrame, by: str, lines: str, name: str, top: int = 10) -> DataFrame:
+    """(by, files, lines, mean, least, most, top) of rows with a number of lines; top are the names of the longest, ties by name."""
+    best = Window.partitionBy(by).orderBy(F.desc(lines), name)
+    longest = rows.withColumn("k_", F.row_number().over(best)).where(F.col("k_") <= top).groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("k_", name))), lambda x: x[name]).alias("top"))
+    told = rows.groupBy(by).agg(F.count("*").alias("files"), F.sum(lines).alias("lines"), F.avg(lines).alias("mean"), F.min(lines).alias("least"), F.max(lines).alias("most"))
+    return told.withColumnRenamed(by, "by_").join(longest.withColumnRenamed(by, "top_by_"), F.col("by_").eqNullSafe(F.col("top_by_"))).drop("top_by_").withColumnRenamed("by_", by)

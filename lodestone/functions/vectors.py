@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 
 def as_vector(values: list[float]) -> Column:
@@ -35,3 +38,15 @@ def l2(a: Column, b: Column) -> Column:
 
 #: Score of each metric, larger is nearer.
 METRICS = {"cosine": cosine, "l2": lambda a, b: 0.0 - l2(a, b), "ip": dot}
+
+
+@F.pandas_udf(BinaryType())
+def float_bytes(vectors: pd.Series) -> pd.Series:
+    """A vector as the bytes of its little-endian 32-bit floats; null stays."""
+    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def bytes_vector(blobs: pd.Series) -> pd.Series:
+    """The vector of such bytes; null where they aren't a whole number of floats."""
+    return blobs.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))

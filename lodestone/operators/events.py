@@ -152,6 +152,42 @@ def hybrid_score(similarity: Column, seconds: Column, concepts: Column, wanted:
     return decayed(similarity, seconds, tau_seconds) + 0.15 * overlap + 0.15 * rule
 
 
+def additive_score(similarity: Column, seconds: Column, risk: Column, kind_prior: Column, tau_seconds: float = 43_200.0, weights: tuple[float, float, float, float] = (0.5, 0.2, 0.15, 0.15)) -> Column:
+    """Similarity, closeness in time, risk and the prior of the two events' kinds, weighted and added; a null part counts as 0."""
+    parts = [similarity, F.exp(-F.abs(seconds) / tau_seconds), risk, kind_prior]
+    total = F.lit(0.0)
+    for weight, part in zip(weights, parts, strict=True):
+        total = total + weight * F.coalesce(part.cast("double"), F.lit(0.0))
+    return total
+
+
+def reranked(candidates: DataFrame, similarity: str, seconds: str, concepts: str, wanted: list[str], kind: str, seed_kind: Column, rules: DataFrame, tie: str, n: int = 20, tau_seconds: float = 43_200.0) -> DataFrame:
+    """The n best candidates by the hybrid score, with ``score``: the rule table (from_kind, to_kind, boost) says what the two kinds add.
+
+    The table's rows are kinds times kinds; Spark broadcasts it if it is small.
+    """
+    named = rules.select(F.col("from_kind").alias("from_"), F.col("to_kind").alias("to_"), F.col("boost").alias("boost_"))
+    joined = candidates.withColumn("seed_", seed_kind).join(named, (F.col("seed_") == F.col("from_")) & (F.col(kind) == F.col("to_")), "left")
+    score = hybrid_score(F.col(similarity), F.col(seconds), F.col(concepts), F.array(*map(F.lit, wanted)), F.coalesce("boost_", F.lit(0.0)), tau_seconds)
+    return joined.withColumn("score", score).drop("from_", "to_", "boost_", "seed_").orderBy(F.desc("score"), tie).limit(n)
+
+
+def gated(events: DataFrame, rules: DataFrame, kind: str, value: str, by: list[str], order: list[str]) -> DataFrame:
+    """Events with ``pass`` by a table of rules (kind, list, low, high, rise), a row or none for each kind.
+
+    Kinds of list ``white`` pass and of ``black`` don't. Any other passes where
+    its value is outside low ... high, or has risen by at least ``rise`` since
+    the key's event of that kind before; a null bound triggers nothing.
+    """
+    before = F.lag(value).over(Window.partitionBy(*by, kind).orderBy(*order))
+    named = rules.select(F.col("kind").alias("kind_"), F.col("list").alias("list_"), F.col("low").alias("low_"), F.col("high").alias("high_"), F.col("rise").alias("rise_"))
+    judged = events.withColumn("before_", before).join(named, F.col(kind) == F.col("kind_"), "left")
+    hit = lambda c: F.coalesce(c, F.lit(False))
+    trigger = hit(F.col(value) < F.col("low_")) | hit(F.col(value) > F.col("high_")) | hit(F.col(value) - F.col("before_") >= F.col("rise_"))
+    told = F.when(F.col("list_") == "white", True).when(F.col("list_") == "black", False).otherwise(trigger)
+    return judged.withColumn("pass", told).drop("before_", "kind_", "list_", "low_", "high_", "rise_")
+
+
 def soft_label(onset: Column, off: Column, at: Column, horizon: float, kind: str = "linear") -> Column:
     """How near an onset ahead is, from 1 at it to 0 at the horizon (or exponentially); 1 while on, 0 after it is off."""
     ahead = onset - at

@@ -73,10 +73,41 @@ def merged_capabilities(raw: DataFrame) -> DataFrame:
     return raw.groupBy("capability").agg(F.sort_array(F.collect_set("agent")).alias("agents"))
 
 
+def capabilities_of(capabilities: DataFrame) -> DataFrame:
+    """(name, capabilities): each agent's distinct capabilities, in order."""
+    return agents_of(capabilities).groupBy("name").agg(F.sort_array(F.collect_set("capability")).alias("capabilities"))
+
+
+def shared_capabilities(capabilities: DataFrame, least: int = 2) -> DataFrame:
+    """Capabilities of at least so many agents, which tasks are made for."""
+    return capabilities.where(F.size("agents") >= least)
+
+
 def task_results(log: DataFrame, known: DataFrame) -> DataFrame:
-    """(capability, name, total, success) of results (capability, name, task, ok, deleted) of known agents; a deleted result doesn't count."""
-    valid = log.join(known.select("capability", "name").distinct(), ["capability", "name"], "left_semi").where(~F.col("deleted"))
-    return valid.groupBy("capability", "name").agg(F.count("*").alias("total"), F.count_if("ok").alias("success"))
+    """(capability, name, total, success) of results (capability, name, task, ok, at, deleted) of known agents.
+
+    A row with ``deleted`` takes back one result of the same task, outcome and
+    time, if there is one; no count falls below zero.
+    """
+    valid = log.join(known.select("capability", "name").distinct(), ["capability", "name"], "left_semi")
+    same = valid.groupBy("capability", "name", "task", "ok", "at").agg((F.count_if(~F.col("deleted")) - F.count_if("deleted")).alias("left"))
+    left = F.greatest(F.col("left"), F.lit(0))
+    counted = same.groupBy("capability", "name").agg(F.sum(left).alias("total"), F.sum(F.when(F.col("ok"), left).otherwise(0)).alias("success"))
+    return counted.where("total > 0")
+
+
+def responses(papers: DataFrame, id_col: str = "id", title: str = "title", report: str = "report", **columns: str) -> DataFrame:
+    """(paper_id, content_id, title, report, ...): what a paper service answers, ids as SHA-256, underscores in titles as spaces, nulls as empty texts and lists."""
+    empty = {c: F.expr("array()").cast(papers.schema[c].dataType) if papers.schema[c].dataType.typeName() == "array" else F.lit("") for c in columns.values()}
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rest = [F.coalesce(F.col(c), empty[c]).alias(n) for n, c in columns.items()]
+    return papers.select(F.sha2(text(id_col), 256).alias("paper_id"), F.sha2(text(report), 256).alias("content_id"), F.replace(text(title), F.lit("_"), F.lit(" ")).alias("title"), text(report).alias("report"), *rest)
+
+
+def flipped_source(rows: DataFrame, day: Column, first: Column, stop: Column, source: str = "report_source", old: str = "daily", new: str = "agent") -> DataFrame:
+    """Rows with ``new`` as the source where it was ``old``, from the first day until before the last; all others as they are."""
+    hit = (F.col(source) == old) & (day >= first) & (day < stop)
+    return rows.withColumn(source, F.when(hit, new).otherwise(F.col(source)))
 
 
 def next_best(candidates: DataFrame, failed: DataFrame, key: str, score: str, n: int) -> DataFrame:

@@ -101,15 +101,17 @@ def cap_work_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT r_name AS capability, n_name AS name, count(*) AS total, count_if(o_orderstatus = 'F') AS success FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey "
-    "WHERE o_orderstatus <> 'P' GROUP BY r_name, n_name"
+    "WITH l AS (SELECT r_name AS capability, n_name AS name, o_orderpriority AS task, o_orderstatus = 'F' AS ok, year(o_orderdate) AS moment, c_acctbal < 0 AS deleted FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey <> 3), "
+    "s AS (SELECT capability, name, task, ok, moment, greatest(count_if(NOT deleted) - count_if(deleted), 0) AS n FROM l GROUP BY ALL) "
+    "SELECT capability, name, sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (ok), 0)::BIGINT AS success FROM s GROUP BY ALL HAVING sum(n) > 0"
 )
 def cap_task_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of all agents but one, where orders of customers in debt take results back."""
     o, c, n, r = (table(spark, sf_dir, x) for x in ("orders", "customer", "nation", "region"))
     joined = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
-    log = joined.select(F.col("r_name").alias("capability"), F.col("n_name").alias("name"), (F.col("o_orderstatus") == "F").alias("ok"), (F.col("o_orderstatus") == "P").alias("deleted"))
-    unknown = log.withColumn("name", F.lit("nobody"))
-    return papers.task_results(log.unionByName(unknown), papers.agents_of(_capabilities(spark, sf_dir)))
+    log = joined.select(F.col("r_name").alias("capability"), F.col("n_name").alias("name"), F.col("o_orderpriority").alias("task"), (F.col("o_orderstatus") == "F").alias("ok"), F.year("o_orderdate").alias("at"), (F.col("c_acctbal") < 0).alias("deleted"))
+    known = n.join(r, n.n_regionkey == r.r_regionkey).where("n_nationkey != 3").select(F.col("r_name").alias("capability"), F.col("n_name").alias("name"))
+    return papers.task_results(log, known)
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) ORDER BY n_chars DESC, doc_id LIMIT 8")
