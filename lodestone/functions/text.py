@@ -174,6 +174,15 @@ def first_filled(*counts: Column) -> Column:
     return F.coalesce(*(F.nullif(c, F.lit(0)) for c in counts), F.lit(0))
 
 
+def merged_maps(*maps: Column) -> Column:
+    """One map of all keys; of a key that several maps have the last one's value counts, and null maps are empty."""
+    entries = [F.coalesce(F.map_entries(m), F.array().cast("array<struct<key:string,value:string>>")) for m in maps]
+    all_entries = F.concat(*entries)
+    last = lambda k: F.element_at(F.filter(all_entries, lambda e: e["key"] == k), -1)["value"]
+    keys = F.array_distinct(F.transform(all_entries, lambda e: e["key"]))
+    return F.map_from_arrays(keys, F.transform(keys, last))
+
+
 def line_stats(rows: DataFrame, by: str, lines: str, name: str, top: int = 10) -> DataFrame:
     """(by, files, lines, mean, least, most, top) of rows with a number of lines; top are the names of the longest, ties by name."""
     best = Window.partitionBy(by).orderBy(F.desc(lines), name)

@@ -44,6 +44,12 @@ def anchored(anchors: DataFrame, events: DataFrame, key: str, ts: str, before_se
     return met.withColumn("offset", (F.col("time_") - F.col("at_")) / 1_000_000.0).drop("key_", "at_", "bin_", "time_", "slot_")
 
 
+def heads(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each key in the order of the columns; Spark keeps n of a key in each task before it moves them."""
+    first = Window.partitionBy(*by).orderBy(*order)
+    return rows.withColumn("nth_", F.row_number().over(first)).where(F.col("nth_") <= n).drop("nth_")
+
+
 def proximity_counts(events: DataFrame, key: str, ts: str, before_seconds: int, after_seconds: int, name: str = "n") -> DataFrame:
     """Every event with how many events of its key, itself included, lie from ``before_seconds`` ahead of it to ``after_seconds`` behind it; no pair is made."""
     micros = F.unix_micros(F.col(ts).cast("timestamp"))

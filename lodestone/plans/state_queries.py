@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text, vectors
 from lodestone.functions.text import token_estimate
 from lodestone.operators import events as ev
-from lodestone.operators import papers
+from lodestone.operators import papers, records, usage
 from lodestone.operators import plans as pl
+from lodestone.operators import vector_search as vs
 from lodestone.plans.registry import query, table
 from lodestone.plans.text_queries import CLEANED, FORMS, _filled, _forms
-from lodestone.sources import counted, daily
+from lodestone.sources import counted, daily, files
 from lodestone.sources.shared import new_folder
 from lodestone.sources.sharded import ShardedTable
 
@@ -221,3 +224,68 @@ def ev_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [("error", "white", None, None, None), ("view", "black", None, None, None), ("click", None, None, 150.0, 60.0), ("purchase", None, 5.0, None, None)]
     rules = spark.createDataFrame(rows, "kind string, list string, low double, high double, rise double")
     return ev.gated(table(spark, sf_dir, "events"), rules, "event_type", "value", ["user_id"], ["ts", "event_id"]).select("event_id", "pass")
+
+
+@query(
+    "SELECT source, CASE WHEN 100.0 * count_if(length(trim(coalesce(text, ''))) < 200) / count(*) >= 50 THEN 'critical' WHEN 100.0 * count_if(n_chars < 1000) / count(*) >= 30 OR count_if(length(trim(coalesce(text, ''))) < 200) > 0 THEN 'degraded' ELSE 'healthy' END AS health FROM documents GROUP BY source"
+)
+def use_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source as a store, whose very short texts are broken shards and whose short ones are degraded."""
+    broken = F.length(F.trim(F.coalesce("text", F.lit("")))) < 200
+    percent = lambda c: 100.0 * F.count_if(c) / F.count("*")
+    shares = table(spark, sf_dir, "documents").groupBy("source").agg(percent(broken).alias("critical"), percent(F.col("n_chars") < 1000).alias("degraded"))
+    return shares.select("source", usage.health(F.lit("healthy"), F.col("critical"), F.col("degraded")).alias("health"))
+
+
+@query("SELECT DISTINCT user_id, event_type, ts::DATE AS day FROM events")
+def rec_full_row_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("date").alias("day")).dropDuplicates()
+
+
+@query("SELECT event_id FROM events WHERE ts IS NULL OR ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
+def rec_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history without what is older than a week."""
+    e = table(spark, sf_dir, "events")
+    last = e.agg(F.max("ts")).first()[0]
+    return records.delete_where(e, F.col("ts") < F.lit(last).cast("timestamp_ntz") - F.expr("interval 7 days")).select("event_id")
+
+
+@query("SELECT user_id, event_id FROM events WHERE ts::DATE BETWEEN (SELECT min(ts)::DATE + 3 FROM events) AND (SELECT min(ts)::DATE + 6 FROM events)")
+def ts_dated_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days in folders of their own, of which a range is read."""
+    e = table(spark, sf_dir, "events")
+    first = e.agg(F.min(F.col("ts").cast("date"))).first()[0]
+    path = f"{new_folder(spark, 'dated')}/rows"
+    day = F.col("ts").cast("date")
+    e.select("user_id", "event_id", F.year(day).alias("year"), F.month(day).alias("month"), F.dayofmonth(day).alias("day")).write.partitionBy("year", "month", "day").parquet(path)
+    return files.dated(spark, path, str(first + timedelta(days=3)), str(first + timedelta(days=6))).select("user_id", "event_id")
+
+
+@query(
+    "SELECT vec_id, event_type, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings JOIN events ON event_id = vec_id WHERE ts::DATE = (SELECT min(ts)::DATE + 1 FROM events) "
+    "ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) DESC, vec_id LIMIT 5"
+)
+def vec_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of one day that are nearest to the first vector."""
+    e, v = table(spark, sf_dir, "events"), table(spark, sf_dir, "embeddings")
+    day = F.date_add(F.lit(e.agg(F.min(F.col("ts").cast("date"))).first()[0]), 1)
+    asked = [float(x) for x in v.where("vec_id = 0").first()["embedding"]]
+    rows = papers.on_day(e, day, "ts").join(v, F.col("event_id") == F.col("vec_id"))
+    return vs.top_k(rows, asked, 5).select("vec_id", "event_type", F.round("score", 6).alias("score"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y%m') AS month FROM (SELECT *, row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y%m') ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 20")
+def ts_month_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty dearest orders of each month."""
+    o = table(spark, sf_dir, "orders").withColumn("month", F.date_format("o_orderdate", "yyyyMM"))
+    return ev.heads(o, ["month"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 20).select("o_orderkey", "month")
+
+
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), '0') AS k, event_type AS kind, 'x' AS extra FROM events")
+def rec_merged_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defaults under an event's own properties, and one key that only the later map has."""
+    own = F.map_from_arrays(F.array(F.lit("kind")), F.array("event_type"))
+    props = F.from_json("props", "map<string,string>")
+    merged = text.merged_maps(F.create_map(F.lit("k"), F.lit("0"), F.lit("extra"), F.lit("x")), props, own)
+    at = lambda k: F.try_element_at(merged, F.lit(k)).alias(k)
+    return table(spark, sf_dir, "events").select("event_id", at("k"), at("kind"), at("extra"))

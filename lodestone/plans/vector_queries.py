@@ -124,10 +124,9 @@ def vec_label_centroid_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     means = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     centroids = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("c")).select("label", F.transform("c", lambda p: p["x"]).alias("v"))
-    lookup = centroids.agg(F.collect_list(F.struct("label", "v")).alias("all"))
-    scored = e.join(F.broadcast(lookup)).select("vec_id", F.transform("all", lambda c: F.struct(cosine(F.col("embedding"), c["v"]).alias("s"), (-c["label"]).alias("l"))).alias("s"))
-    best = scored.select("vec_id", F.array_max("s").alias("b"))
-    return best.where("b.s > 0.1").select("vec_id", (-F.col("b.l")).alias("best_label"), F.round("b.s", 6).alias("score"))
+    named = centroids.select(F.col("label").cast("long").alias("vec_id"), F.transform("v", lambda x: x.cast("double")).alias("embedding"))
+    found = vs.neighbours(e.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), named, 1, exclude_self=False)
+    return found.where("distance < 0.9").select(F.col("query_id").alias("vec_id"), F.col("id").cast("int").alias("best_label"), F.round(1 - F.col("distance"), 6).alias("score"))
 
 
 @query(f"SELECT vec_id, label, round({COS}, 6) AS score FROM embeddings ORDER BY {COS} DESC, vec_id LIMIT 5")
