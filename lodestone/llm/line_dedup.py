@@ -16,13 +16,13 @@ the threshold's similarity to it; all lines are judged on the input.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import durable, text_of
-from lodestone.llm.text_sets import SHINGLE_WORDS, WORD, bind, shingles, shingles_of, words_of
+from lodestone.llm.text_sets import SHINGLE_WORDS, WORD, bind, shingles_of, words_of
 
 THRESHOLD = 0.8
 #: Words are counted in so many hash buckets. A token is as rare as the bucket of its first word.
@@ -57,17 +57,28 @@ def rarity_classes(keyed: DataFrame) -> Column:
     return F.split(F.lit(",".join(str(found.get(b, 0) << HASH_BITS) for b in range(BUCKETS))), ",").cast("array<bigint>")
 
 
-def ordered_tokens(line: Column, classes: Column) -> Column:
-    """The line's distinct tokens in the global order: rare classes first, then by hash."""
-    mask = F.lit((1 << HASH_BITS) - 1)
+def _each_shingle(line: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` each shingle of a line, given as a struct of its words' hashes, w0 first; of fewer words ``shingles_of`` them.
+
+    The words' hashes lie side by side in shifted arrays, so that a shingle is
+    one struct, which one call hashes.
+    """
+
+    def many(h: Column) -> Column:
+        n = F.size(h) - (SHINGLE_WORDS - 1)
+        return F.transform(F.arrays_zip(*(F.slice(h, F.lit(k + 1), n).alias(f"w{k}") for k in range(SHINGLE_WORDS))), of)
 
     def keyed(w: Column) -> Column:
-        rare = lambda h: classes[h.bitwiseAND(F.lit(BUCKETS - 1))]
-        at = F.sequence(F.lit(0), F.size(w) - SHINGLE_WORDS)
-        many = lambda h: F.transform(at, lambda i: rare(F.get(h, i)).bitwiseOR(F.xxhash64(*(F.get(h, i + k) for k in range(SHINGLE_WORDS))).bitwiseAND(mask)))
         return F.when(F.size(w) >= SHINGLE_WORDS, bind(F.transform(w, lambda x: F.xxhash64(x)), many)).otherwise(shingles_of(w))
 
-    return F.sort_array(F.array_distinct(bind(words_of(line), keyed)))
+    return bind(words_of(line), keyed)
+
+
+def ordered_tokens(line: Column, classes: Column) -> Column:
+    """The line's distinct tokens in the global order: rare classes first, then by hash."""
+    mask = F.lit((1 << HASH_BITS) - 1)
+    token = lambda x: classes[x["w0"].bitwiseAND(F.lit(BUCKETS - 1))].bitwiseOR(F.xxhash64(x).bitwiseAND(mask))
+    return F.sort_array(F.array_distinct(_each_shingle(line, token)))
 
 
 def _least_common(nx: Column, ny: Column, threshold: float) -> Column:
@@ -116,7 +127,7 @@ def standing_lines(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     by_doc = ends.groupBy(F.col("at.id").alias("id"), F.col("at.th").alias("th")).agg(F.collect_list("at").alias("wanted"))
     of_wanted = lambda lines: F.transform("wanted", lambda at: F.struct(at.alias("at"), F.get(lines, at["line_no"]).alias("line")))
     texts = _with_text(by_doc, keyed, "inner").select(F.inline(bind(F.split("text", "\n"), of_wanted)))  # one split for all lines of a text
-    hashed = texts.select("at", F.array_distinct(shingles(F.col("line"))).alias("hashes"))
+    hashed = texts.select("at", F.array_distinct(_each_shingle(F.col("line"), lambda x: F.xxhash64(x))).alias("hashes"))
     lines = durable(hashed.select("at", "hashes", *bitmap(F.col("hashes"))), tidy=True)
 
     def verified(pairs: DataFrame) -> DataFrame:
