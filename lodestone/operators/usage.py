@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import first_filled
@@ -24,6 +24,28 @@ def price_table(spark) -> DataFrame:  # noqa: ANN001
     return spark.createDataFrame(PRICES, "provider string, model string, input double, output double")
 
 
+def loaded_prices(spark: SparkSession, path: str) -> DataFrame:
+    """The fixed prices, with those of a JSON file (provider to model to input and output) in their place; without a readable file the fixed ones."""
+    files = spark.read.text(path, wholetext=True) if _exists(spark, path) else spark.createDataFrame([], "value string")
+    nested = files.select(F.from_json("value", "map<string, map<string, struct<input: double, output: double>>>").alias("m"))
+    own = nested.select(F.explode("m").alias("provider", "models")).select("provider", F.explode("models").alias("model", "p")).select("provider", "model", "p.input", "p.output").where("input is not null and output is not null")
+    return price_table(spark).join(own.select("provider", "model"), ["provider", "model"], "left_anti").unionByName(own)
+
+
+def save_prices(prices: DataFrame, path: str) -> None:
+    """Prices as one JSON document of that form; one row for each model."""
+    by_model = prices.groupBy("provider").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("model", F.struct("input", "output"))))).alias("models"))
+    parts = by_model.agg(F.sort_array(F.collect_list(F.struct("provider", F.to_json("models").alias("j")))).alias("all"))
+    named = lambda x: F.concat(F.lit('"'), F.replace(x["provider"], F.lit('"'), F.lit('\\"')), F.lit('": '), x["j"])
+    text = F.concat(F.lit("{"), F.array_join(F.transform("all", named), ", "), F.lit("}"))
+    parts.select(text.alias("value")).write.mode("overwrite").text(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def token_usage(usage: dict[str, Column]) -> dict[str, Column]:
     """Input, output and total tokens with their fallbacks, and whether the parts are known."""
     inp = first_filled(usage["input_tokens"], usage["prompt_tokens"])

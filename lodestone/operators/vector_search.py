@@ -151,6 +151,29 @@ def novelty(df: DataFrame, group: str, k: int = 5, eps: float = EPS, id_col: str
     return found.groupBy(group).agg(F.when(F.count("density") == 0, F.lit(0.0)).otherwise(1 / (eps + mean)).alias("novelty"))
 
 
+def forward_density(df: DataFrame, group: str, k: int = 5, eps: float = EPS, id_col: str = "vec_id", **options: object) -> DataFrame:
+    """(group, forward): the mean density of all earlier groups' vectors among a group's own; 0 for the first group.
+
+    Groups are months or the like: few, and compared one after another. Each is
+    the corpus for everything before it, so every vector meets all later ones,
+    in blocks.
+    """
+    kind = df.schema[group].dataType.simpleString()
+    pairs = None
+    for g in [r[0] for r in df.select(group).distinct().orderBy(group).collect()]:
+        own, past = df.where(F.col(group) == F.lit(g)), df.where(F.col(group) < F.lit(g))
+        found = density(past, own, k, eps=eps, id_col=id_col, **options).agg(F.avg(F.coalesce("density", F.lit(0.0))).alias("forward"))
+        row = found.select(F.lit(g).cast(kind).alias(group), F.coalesce("forward", F.lit(0.0)).alias("forward"))
+        pairs = row if pairs is None else pairs.unionByName(row)
+    return pairs if pairs is not None else df.select(group, F.lit(0.0).alias("forward")).where(F.lit(False))
+
+
+def exploration_reward(df: DataFrame, group: str, k: int = 5, weights: tuple[float, float] = (0.5, 0.5), **options: object) -> DataFrame:
+    """(group, novelty, forward, reward): how new a group's vectors are against all earlier ones, how close the earlier ones are to it, and their weighted sum."""
+    both = novelty(df, group, k, **options).join(forward_density(df, group, k, **options), group)
+    return both.withColumn("reward", weights[0] * F.col("novelty") + weights[1] * F.col("forward"))
+
+
 def least_distance(queries: DataFrame, library: DataFrame, **options: object) -> DataFrame:
     """(query_id, id, distance): the nearest library vector of each query, nulls for a query without a vector."""
     found = neighbours(queries, library, 1, **options).select("query_id", "id", "distance")

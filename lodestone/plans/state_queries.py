@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text, vectors
+from lodestone.functions.filters import compile_filter, table_field
 from lodestone.functions.text import token_estimate
 from lodestone.operators import events as ev
 from lodestone.operators import papers, records, usage
@@ -289,3 +290,40 @@ def rec_merged_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = text.merged_maps(F.create_map(F.lit("k"), F.lit("0"), F.lit("extra"), F.lit("x")), props, own)
     at = lambda k: F.try_element_at(merged, F.lit(k)).alias(k)
     return table(spark, sf_dir, "events").select("event_id", at("k"), at("kind"), at("extra"))
+
+
+@query("SELECT conv_id, max_ts AS latest, CASE WHEN length(t) > 100 THEN left(t, 100) || '...' ELSE t END AS preview FROM (SELECT conv_id, max(turn) AS max_ts, arg_max(text, (turn, text)) AS t FROM conversations GROUP BY conv_id) ORDER BY latest DESC, conv_id LIMIT 30")
+def use_newest_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions that went furthest, with a preview of their last turn."""
+    last = records.last_wins(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn", "text"])
+    t = F.col("text")
+    preview = F.when(F.length(t) > 100, F.concat(F.left(t, F.lit(100)), F.lit("..."))).otherwise(t)
+    return last.select("conv_id", F.col("turn").alias("latest"), preview.alias("preview")).orderBy(F.desc("latest"), "conv_id").limit(30)
+
+
+@query("SELECT event_id, event_type AS status, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'error' AND user_id = 7 AND contains(lower(props), '\"k\"')")
+def use_session_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a status and a user whose content holds a text, whatever its case; their content as values."""
+    expr = {"and": [{"eq": {"event_type": "error"}}, {"eq": {"user_id": 7}}]}
+    t = table(spark, sf_dir, "events")
+    found = t.where(compile_filter(expr, table_field(t))).where(F.contains(F.lower("props"), F.lit('"K"'.lower())))
+    return found.select("event_id", F.col("event_type").alias("status"), F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("SELECT day, dayname(day) AS name FROM (SELECT unnest(generate_series(min(o_orderdate)::DATE, min(o_orderdate)::DATE + 400, INTERVAL 1 DAY))::DATE AS day FROM orders) WHERE isodow(day) < 6 ORDER BY md5('7:' || day::VARCHAR) LIMIT 12")
+def ts_random_weekdays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve weekdays of the first orders' year, by a seed."""
+    first = table(spark, sf_dir, "orders").agg(F.min(F.col("o_orderdate").cast("date"))).first()[0]
+    days = files.random_weekdays(spark, str(first), str(first + timedelta(days=400)), 12, 7)
+    return days.select("day", F.date_format("day", "EEEE").alias("name"))
+
+
+@query(
+    "WITH p AS (SELECT a.label AS l, a.vec_id, b.label AS bl, b.vec_id AS bid, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.label < b.label), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY vec_id, bl ORDER BY d, bid) AS k FROM p), s AS (SELECT bl, vec_id, 1 / (1e-12::DOUBLE + avg(d)) AS density FROM k WHERE k <= 5 GROUP BY bl, vec_id) "
+    "SELECT l.label, round(coalesce(avg(density), 0), 6) AS forward FROM (SELECT DISTINCT label FROM embeddings) l LEFT JOIN s ON s.bl = l.label GROUP BY l.label"
+)
+def vec_forward_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How close all earlier labels' vectors are to each label's own."""
+    found = vs.forward_density(table(spark, sf_dir, "embeddings"), "label", 5)
+    return found.withColumn("forward", F.round("forward", 6))

@@ -133,6 +133,10 @@ class Collections:
             rows = rows.withColumn("attributes", F.try_parse_json("attributes"))
         self.table(name).upsert(rows, sequence)
 
+    def scan(self, name: str, *columns: str) -> DataFrame:
+        """Some columns of all records: ids, contents, vectors; the files' other columns aren't read."""
+        return self.records(name).select(*columns)
+
     def lookup(self, name: str, ids: list[str]) -> DataFrame:
         """The records of some ids, from their shards alone."""
         return self.table(name).lookup(ids)
@@ -151,10 +155,11 @@ class Collections:
         return not self.query(name, Filter(expr=spec.expr)).isEmpty()
 
     def search(self, name: str, vector: list[float], k: int = 10, spec: Filter | None = None, threshold: float | None = None) -> DataFrame:
-        """Nearest records of those that a filter matches, by the collection's metric."""
+        """Nearest records of those that a filter matches, by the collection's metric, with ``score`` falling and ``distance`` rising."""
         metric = (self.describe(name) or CollectionSpec(name)).metric
         where = compile_filter(spec.expr, self.fields) if spec else None
-        return vector_search.top_k(self.records(name).where("vector is not null"), vector, k, metric, "vector", "id", where, threshold)
+        found = vector_search.top_k(self.records(name).where("vector is not null"), vector, k, metric, "vector", "id", where, threshold)
+        return found.withColumn("distance", 1 - F.col("score") if metric != "l2" else 0.0 - F.col("score"))
 
     def append_points(self, name: str, points: DataFrame) -> None:
         points.select("metric", "ts", "tags", "fields").write.mode("append").partitionBy("metric").parquet(f"{self._folder(name)}/points")

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -70,3 +76,35 @@ def decoded_repositories(rows: DataFrame, column: str = "value") -> DataFrame:
 
 def starred(repositories: DataFrame, language: str, least: int) -> DataFrame:
     return repositories.where((F.col("language") == language) & (F.col("stargazers_count") >= least))
+
+
+def docx_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text, links) of Word documents: a line for each paragraph, and the targets of their hyperlinks, in order; a file that isn't one has nulls."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", True).load(path)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(file, *_docx(content)) for file, content in zip(b.path, b.content, strict=True)]
+            yield pd.DataFrame(rows, columns=["file", "text", "links"])
+
+    return raw.select("path", "content").mapInPandas(read, "file string, text string, links array<string>")
+
+
+def _docx(content: bytes) -> tuple[str | None, list[str] | None]:
+    """Text and link targets of one document's parts."""
+    word = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as parts:
+            body = ElementTree.fromstring(parts.read("word/document.xml"))
+            name = "word/_rels/document.xml.rels"
+            targets = ElementTree.fromstring(parts.read(name)) if name in parts.namelist() else []
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+        return None, None
+    lines = ["".join(t.text or "" for t in p.iter(f"{word}t")) for p in body.iter(f"{word}p")]
+    return "\n".join(lines), [t.get("Target", "") for t in targets if t.get("Type", "").endswith("/hyperlink")]
+
+
+def random_weekdays(spark: SparkSession, first: str, last: str, n: int, seed: int = 0) -> DataFrame:
+    """(day): ``n`` days from Monday to Friday of a range, both ends included, that the seed chooses."""
+    days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
+    return days.where(F.weekday("day") < 5).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("day").cast("string")).cast("binary"))).limit(n)

@@ -4,14 +4,16 @@
     spark.read.format("paged").option("url", "https://host/items?page={page}&per_page={size}").load()
 
 Pages stay in their partition, so Spark fetches them in parallel; a page is
-retried, and a short page ends the partition. ``file://`` templates read saved
-answers.
+retried, and a short page ends the partition. The template may also hold
+{start}, {query}, {sort} and {order}; with ``max_results`` no more rows come,
+and so many pages are asked for. ``file://`` templates read saved answers.
 """
 
 from __future__ import annotations
 
 import json
 import time
+import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 
@@ -27,7 +29,10 @@ class PagedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.url = options["url"]
         self.size = int(options.get("page_size", 100))
-        self.pages = int(options.get("pages", 1))
+        most = options.get("max_results")
+        self.most = int(most) if most else None
+        self.pages = int(options.get("pages", -(-self.most // self.size) if self.most else 1))
+        self.asked = {k: urllib.parse.quote(options.get(k, "")) for k in ("query", "sort", "order")}
         self.each = int(options.get("pages_per_partition", 10))
         self.items = options.get("items")
         self.tries = int(options.get("tries", 3))
@@ -37,7 +42,7 @@ class PagedReader(DataSourceReader):
         return [PageRange(a, min(a + self.each, self.pages + 1)) for a in range(1, self.pages + 1, self.each)]
 
     def _page(self, page: int) -> list:
-        url = self.url.format(page=page, size=self.size)
+        url = self.url.format(page=page, size=self.size, start=(page - 1) * self.size, **self.asked)
         for n in range(self.tries):
             try:
                 with urllib.request.urlopen(url, timeout=60) as answer:  # noqa: S310
@@ -52,6 +57,8 @@ class PagedReader(DataSourceReader):
     def read(self, partition: PageRange) -> Iterator[tuple]:
         for page in range(partition.first, partition.last):
             found = self._page(page)
+            if self.most is not None:
+                found = found[: max(0, self.most - (page - 1) * self.size)]
             for position, item in enumerate(found):
                 yield page, position, json.dumps(item, ensure_ascii=False)
             if len(found) < self.size:
