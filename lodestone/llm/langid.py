@@ -9,13 +9,15 @@ characters and saturate as a corpus grows. A text gets
 the language of the lowest cross-entropy per character; it is rejected where
 even that is far above what the language's own training texts show.
 
-White space, digits and symbols count as one word boundary and letter case is
-ignored, so a text without letters has no language.
+White space, digits and symbols count as one word boundary, combining marks are
+parts of words, and letter case is ignored; a text without letters has no
+language.
 """
 
 from __future__ import annotations
 
 import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -43,14 +45,22 @@ DISCOUNT = 0.75
 PAD = "\U0010ffff"
 
 
+#: Code points without a character of their own in 16 bits, which stand for the letters beyond.
+SPARE, SPARES = 0xD800, 0xF900 - 0xD800
+
+
 @lru_cache(maxsize=1)
 def symbol_table() -> np.ndarray:
-    """Symbol of each code point: 0 for all but letters, 1 for the pad, else the lower-case letter (2 beyond 16 bits)."""
+    """Symbol of each code point: 0 for all but letters and the marks on them, 1 for the pad, else the lower-case letter.
+
+    Letters beyond 16 bits take the place of surrogates and private characters,
+    in turns, so that those of one script all differ.
+    """
     table = np.zeros(sys.maxunicode + 1, np.uint64)
     for c in range(sys.maxunicode):
-        if (x := chr(c)).isalpha():
+        if (x := chr(c)).isalpha() or unicodedata.category(x)[0] == "M":
             low = ord(x.lower()[0])
-            table[c] = low if 2 < low < 1 << 16 else 2
+            table[c] = low if low < 1 << 16 else SPARE + low % SPARES
     table[sys.maxunicode] = 1
     return table
 
@@ -201,7 +211,7 @@ class LanguageModels:
                     logs = np.log(model.prob(ORDER, known))[at]
                     logs[~real] = 0
                     out[first : i + 1, k] = -np.add.reduceat(logs, starts) / n
-                letters[first : i + 1] = np.add.reduceat((s[ORDER - 1 :] > 1).astype(np.int64), starts)
+                letters[first : i + 1] = np.add.reduceat((s[ORDER - 1 :] > 1).astype(np.int64), starts) * [any(map(str.isalpha, x)) for x in texts[first : i + 1]]  # marks alone are no letters
                 first, size = i + 1, 0
         return out, letters
 

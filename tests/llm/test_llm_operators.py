@@ -537,3 +537,127 @@ def test_callers_columns_stay(spark, words, names):  # noqa: ANN001
     clean = decontamination.decontaminate(docs, items)
     assert clean.columns == docs.columns and sorted(map(tuple, clean.collect()), key=str) == sorted((r for r in rows if r[0] != 3), key=str)
     assert near_dedup.keep_first(docs.where("false")).count() == 0 and decontamination.decontaminate(docs.where("false"), items).count() == 0
+
+
+def test_languages_of_other_scripts(spark, words):  # noqa: ANN001
+    """Marks are parts of words, and letters beyond 16 bits tell languages apart."""
+    s, _ = langid.symbols(["हिन्दी है"])
+    assert [int(x) for x in s] == [1, 1, 1, *map(ord, "हिन्दी"), 0, *map(ord, "है"), 1]
+    gothic = [chr(0x10330 + i) for i in range(26)]
+    assert len({int(langid.symbol_table()[ord(c)]) for c in gothic}) == 26
+    letters = "abdehiklmnorstu"
+    one, two = str.maketrans(letters, "".join(gothic[:15])), str.maketrans(letters, "".join(gothic[11:26]))
+    hindi = str.maketrans({c: chr(0x0915 + i) + "\u093f" * (i % 2) for i, c in enumerate(letters)})
+    marathi = str.maketrans({c: chr(0x0915 + i) + "\u0940" * (i % 2) for i, c in enumerate(letters)})
+    rows = [(i * 10 + k, " ".join(words(60, i)).translate(t), lang) for i in range(40) for k, (lang, t) in enumerate((("g1", one), ("g2", two), ("hi", hindi), ("mr", marathi)))]
+    models = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = [" ".join(words(40, 900 + i)).translate(t) for i in range(5) for t in (one, two, hindi, marathi)]
+    assert models.decide(asked)[0] == ["g1", "g2", "hi", "mr"] * 5
+    lang, score, _, rejected = models.decide(["\u0301\u0302", "\u0301a", ""])
+    assert lang[0] == lang[2] == "und" and lang[1] != "und" and score[0] == 0 and rejected[0]
+
+
+def test_kneser_ney_against_plain_counts(spark):  # noqa: ANN001
+    """All held-out texts of a table, scored by models kept as plain dictionaries."""
+    from lodestone.llm.common import held_out
+
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang is not null")
+    train_rows = [(r["lang"], r["text"]) for r in base.where(~held_out()).collect()]
+    texts = [r["text"] for r in base.where(held_out()).collect()]
+
+    def padded(text):  # noqa: ANN001, ANN202
+        kept, last = [], None
+        for c in text:
+            x = c.lower()[0] if c.isalpha() else ""
+            if x or last != "":
+                kept.append(x)
+            last = x
+        return ["^"] * 3 + kept + ["^"]
+
+    counts: dict = {}
+    for lang, text in train_rows:
+        x = padded(text)
+        for i in range(3, len(x) - 1):
+            counts.setdefault(lang, Counter())[tuple(x[i - 3 : i + 1])] += 1
+
+    def model(top):  # noqa: ANN001, ANN202
+        orders = {4: top}
+        for k in (3, 2, 1):
+            orders[k] = Counter(g[1:] for g in orders[k + 1])
+        totals, kinds, floor = {}, {}, 1 / (len(orders[1]) + 1)
+        for k, table in orders.items():
+            for g, c in table.items():
+                t = totals.setdefault((k, g[:-1]), [0, 0.0])
+                t[0], t[1] = t[0] + c, t[1] + min(0.75, c)
+
+        def prob(k, g):  # noqa: ANN001, ANN202
+            if k == 0:
+                return floor
+            total = totals.get((k, g[:-1]))
+            lower = prob(k - 1, g[1:])
+            if total is None:
+                return lower
+            return max(0, orders[k].get(g, 0) - min(0.75, orders[k].get(g, 0))) / total[0] + total[1] / total[0] * lower
+
+        return prob
+
+    plain = {lang: model(c) for lang, c in counts.items()}
+    models = langid.train(base.where(~held_out()))
+    ce, _ = models.cross_entropies(texts)
+    for i, text in enumerate(texts[:25]):
+        x = padded(text)
+        for k, lang in enumerate(models.langs):
+            want = -np.mean([np.log(plain[lang](4, tuple(x[j - 3 : j + 1]))) for j in range(3, len(x) - 1)])
+            assert ce[i, k] == pytest.approx(want, rel=1e-6)
+
+
+def test_quality_against_plain_scores(spark):  # noqa: ANN001
+    """Every score from sizes that the library gives for each block by itself; odd rows and other columns change nothing."""
+    import zstandard
+
+    from lodestone.llm.common import held_out
+
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = quality.fit(base.where(~held_out()), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    texts = [r["text"] for r in base.limit(60).collect()] + [None, "", "é" * 300, "x" * 3_000_000]
+
+    def size(raw, dictionary):  # noqa: ANN001, ANN202
+        press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_dict_id=False)
+        return sum(len(press.compress(raw[a : a + 512])) for a in range(0, len(raw), 512))
+
+    def plain(text):  # noqa: ANN001, ANN202
+        raw = (text or "").encode()
+        b, g = size(raw, model.bad), size(raw, model.good)
+        return 1 / (1 + np.exp(-(model.slope * ((b - g) / (b + g) if raw else 0.0) + model.offset)))
+
+    docs = spark.createDataFrame([(i, t, 7, "x") for i, t in enumerate(texts)], "doc_id long, text string, score int, judged_text string")
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in quality.score(docs, model, keep=["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        want = plain(t)
+        assert got[i] == (pytest.approx(want, abs=1e-9), int(want >= 0.7))
+    assert quality.score(docs.where("false"), model, keep=["doc_id"]).count() == 0
+    assert quality.score(docs, model).columns == [*docs.columns, "score", "predicted"]
+
+
+def test_very_long_texts(spark, docs_of, words):  # noqa: ANN001
+    """A text of megabytes, on one line and on many, beside a short one."""
+    many = words(300_000, 77)
+    long = " ".join(many)
+    lines = "\n".join(" ".join(many[a : a + 30]) for a in range(0, 150_000, 30))
+    rows = [(1, long), (2, "a short text of some words that nobody else has"), (3, lines)]
+    docs = docs_of(rows)
+    kept = {r["doc_id"]: (r["n_removed"], len(r["text"])) for r in line_dedup.dedup_lines(docs).collect()}
+    assert kept == {i: (0, len(t)) for i, t in rows}
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3}
+    items = spark.createDataFrame([(5, " ".join(many[200_000:200_060]))], "item_id long, text string")
+    assert [(r["doc_id"], r["start_word"]) for r in decontamination.contaminated(docs, items).collect()] == [(1, 200_000)]
+    assert {r["doc_id"]: r["n_words"] for r in rules.judge(docs).collect()} == {1: 300_000, 2: 10, 3: 150_000}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"] > 0) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert got == {i: (len(t.encode()), False) for i, t in rows}
+    both = docs_of([(1, long), (2, "x " + long[1_000_000:1_002_000])])
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(both).collect()} == {1: 2000, 2: 2000}
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    models = langid.train(base)
+    named = docs.selectExpr("*", "1 AS lang_pred2", "2 AS c0", "3 AS judged_text")
+    found = langid.identify(named, models, keep=["doc_id", "c0", "judged_text"])
+    assert found.count() == 3 and found.columns[:3] == ["doc_id", "c0", "judged_text"]
