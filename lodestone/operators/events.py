@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lodestone.operators.records import last_wins
 
@@ -57,56 +62,72 @@ def proximity_counts(events: DataFrame, key: str, ts: str, before_seconds: int,
     return events.withColumn(name, F.count("*").over(near))
 
 
-def folded(events: DataFrame, by: list[str], order: list[str], value: Column, start: Column, step, finish=lambda a: a) -> DataFrame:  # noqa: ANN001
-    """(by, result): a fold over each key's values in order.
+def folded(events: DataFrame, by: list[str], order: list[str], value: Column, schema: str, start: tuple, step: Callable, finish: Callable[[tuple], tuple] = tuple) -> DataFrame:
+    """(by, schema): a fold over each key's values in order, ties by the value, null first.
 
-    The values of one key come together in one row; keys of unbounded length
-    belong in a stream with state (``streaming``).
+    ``step`` takes the state and a value to the next state, ``finish`` the last
+    state to the columns. A task goes through its keys one after another, in
+    sorted Arrow batches, and holds one state, however long a key's history is;
+    that history stays in one task, as each step needs the one before.
     """
-    ordered = F.sort_array(F.collect_list(F.struct(*order, value.alias("v_"))))
-    return events.groupBy(*by).agg(ordered.alias("all_")).select(*by, F.aggregate("all_", start, lambda a, x: step(a, x["v_"]), finish).alias("result"))
+    keys, places = [f"k{i}" for i in range(len(by))], [f"o{i}" for i in range(len(order))]
+    rows = events.select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), *(F.col(c).alias(o) for c, o in zip(order, places, strict=True)), value.alias("v"))
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *places, "v").select(*keys, "v")
+    out = StructType([*dealt.select(*keys).schema.fields, *StructType.fromDDL(schema).fields])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(out)
+        current, state, done = None, start, []
+        for b in batches:
+            for *key, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != current:
+                    if current is not None:
+                        done.append((*current, *finish(state)))
+                    current, state = key, start
+                state = step(state, x)
+            yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, r, strict=True)) for r in done], kinds)
+            done = []
+        if current is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, (*current, *finish(state)), strict=True))], kinds)
+
+    found = dealt.mapInArrow(walk, out)
+    return found.select(*(F.col(k).alias(c) for c, k in zip(by, keys, strict=True)), *StructType.fromDDL(schema).names)
 
 
 def smoothed(events: DataFrame, by: list[str], order: list[str], value: str, alpha: float = 0.7, most_step: float | None = None) -> DataFrame:
-    """(by, result): the last exponential average, alpha for the new value, steps clamped if asked for."""
+    """(by, result): the last exponential average, alpha for the new value, steps clamped if asked for; it starts anew after a null."""
 
-    def step(a: Column, x: Column) -> Column:
-        target = alpha * x + (1 - alpha) * a
-        moved = target if most_step is None else a + F.greatest(F.lit(-most_step), F.least(F.lit(most_step), target - a))
-        return F.when(a.isNull(), x).otherwise(moved)
+    def step(a: tuple, x: float | None) -> tuple:
+        if a[0] is None or x is None:
+            return (x,)
+        target = alpha * x + (1 - alpha) * a[0]
+        return (target if most_step is None else a[0] + max(-most_step, min(most_step, target - a[0])),)
 
-    return folded(events, by, order, F.col(value).cast("double"), F.lit(None).cast("double"), step)
+    return folded(events, by, order, F.col(value).cast("double"), "result double", (None,), step)
 
 
 def token_budget(turns: DataFrame, by: list[str], order: list[str], tokens: Column, limit: int = 1500, summary: int = 200) -> DataFrame:
-    """(by, resets, held): a running sum that falls to the summary's size when it reaches the limit."""
-    start = F.struct(F.lit(0).cast("long").alias("resets"), F.lit(0).cast("long").alias("held"))
+    """(by, resets, held): a running sum that falls to the summary's size when it reaches the limit; null is 0."""
 
-    def step(a: Column, x: Column) -> Column:
-        total = a["held"] + x
-        full = total >= limit
-        return F.struct((a["resets"] + full.cast("long")).alias("resets"), F.when(full, F.lit(summary).cast("long")).otherwise(total).alias("held"))
+    def step(a: tuple, x: int | None) -> tuple:
+        total = a[1] + (x or 0)
+        return (a[0] + 1, summary) if total >= limit else (a[0], total)
 
-    return folded(turns, by, order, tokens.cast("long"), start, step).select(*by, "result.resets", "result.held")
+    return folded(turns, by, order, tokens.cast("long"), "resets long, held long", (0, 0), step)
 
 
 def hysteresis(events: DataFrame, by: list[str], order: list[str], value: str, enter: float = 0.35, enter_n: int = 2, leave: float = 0.15, leave_n: int = 3) -> DataFrame:
-    """(by, active, entries): on after ``enter_n`` values in a row of at least ``enter``, off after ``leave_n`` of at most ``leave``."""
-    zero = F.lit(0)
-    start = F.struct(F.lit(False).alias("active"), zero.alias("ups"), zero.alias("downs"), zero.alias("entries"))
+    """(by, active, entries): on after ``enter_n`` values in a row of at least ``enter``, off after ``leave_n`` of at most ``leave``; a null breaks a row."""
 
-    def step(a: Column, x: Column) -> Column:
-        ups = F.when(~a["active"] & (x >= enter), a["ups"] + 1).otherwise(zero)
-        downs = F.when(a["active"] & (x <= leave), a["downs"] + 1).otherwise(zero)
-        on, off = ups >= enter_n, downs >= leave_n
-        return F.struct(
-            F.when(on, F.lit(True)).when(off, F.lit(False)).otherwise(a["active"]).alias("active"),
-            F.when(on, zero).otherwise(ups).alias("ups"),
-            F.when(off, zero).otherwise(downs).alias("downs"),
-            (a["entries"] + on.cast("int")).alias("entries"),
-        )
+    def step(a: tuple, x: float | None) -> tuple:
+        active, entries, ups, downs = a
+        ups = ups + 1 if not active and x is not None and x >= enter else 0
+        downs = downs + 1 if active and x is not None and x <= leave else 0
+        if ups >= enter_n:
+            return True, entries + 1, 0, downs
+        return (False, entries, ups, 0) if downs >= leave_n else (active, entries, ups, downs)
 
-    return folded(events, by, order, F.col(value).cast("double"), start, step).select(*by, "result.active", "result.entries")
+    return folded(events, by, order, F.col(value).cast("double"), "active boolean, entries int", (False, 0, 0, 0), step, lambda a: a[:2])
 
 
 def trend(events: DataFrame, by: list[str], order: list[str], value: str, diffs: int = 3) -> DataFrame:
@@ -118,26 +139,25 @@ def trend(events: DataFrame, by: list[str], order: list[str], value: str, diffs:
 
 
 def throttled(events: DataFrame, by: list[str], order: list[str], seconds: Column, gap: int = 300) -> DataFrame:
-    """(by, fired): how many events fire if one may fire only ``gap`` seconds after the last that did."""
-    start = F.struct(F.lit(0).alias("fired"), F.lit(None).cast("double").alias("last"))
+    """(by, fired): how many events fire if one may fire only ``gap`` seconds after the last that did; events without a time don't."""
 
-    def step(a: Column, x: Column) -> Column:
-        go = a["last"].isNull() | (x - a["last"] >= gap)
-        return F.struct((a["fired"] + go.cast("int")).alias("fired"), F.when(go, x).otherwise(a["last"]).alias("last"))
+    def step(a: tuple, x: float | None) -> tuple:
+        return (a[0] + 1, x) if x is not None and (a[1] is None or x - a[1] >= gap) else a
 
-    return folded(events, by, order, seconds.cast("double"), start, step).select(*by, "result.fired")
+    return folded(events, by, order, seconds.cast("double"), "fired int", (0, None), step, lambda a: a[:1])
 
 
 def rationed(events: DataFrame, by: list[str], order: list[str], seconds: Column, size: float = 5.0, per_second: float = 0.01) -> DataFrame:
-    """(by, passed): how many events a token bucket of ``size`` lets pass that refills by ``per_second`` and starts full."""
-    start = F.struct(F.lit(0).alias("passed"), F.lit(float(size)).alias("left"), F.lit(None).cast("double").alias("last"))
+    """(by, passed): how many events a token bucket of ``size`` lets pass that refills by ``per_second`` and starts full; events without a time don't pass."""
 
-    def step(a: Column, x: Column) -> Column:
-        filled = F.least(F.lit(float(size)), a["left"] + F.coalesce(x - a["last"], F.lit(0.0)) * per_second)
-        go = filled >= 1
-        return F.struct((a["passed"] + go.cast("int")).alias("passed"), (filled - go.cast("double")).alias("left"), x.alias("last"))
+    def step(a: tuple, x: float | None) -> tuple:
+        if x is None:
+            return a
+        passed, left, last = a
+        filled = min(float(size), left + (0.0 if last is None else x - last) * per_second)
+        return (passed + 1, filled - 1, x) if filled >= 1 else (passed, filled, x)
 
-    return folded(events, by, order, seconds.cast("double"), start, step).select(*by, "result.passed")
+    return folded(events, by, order, seconds.cast("double"), "passed int", (0, float(size), None), step, lambda a: a[:1])
 
 
 def important(events: DataFrame, lists: dict[str, list[str]], kind: str, trigger: Column) -> DataFrame:

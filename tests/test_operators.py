@@ -30,6 +30,30 @@ def test_hysteresis_and_throttle(spark):  # noqa: ANN001
     assert ev.throttled(times, ["u"], ["t"], F.col("t")).first()["fired"] == 3
 
 
+def test_folds_go_on_over_batches(spark):  # noqa: ANN001
+    rng = np.random.default_rng(6)
+    rows = [(None if i % 5 == 0 else f"k{i % 3}", int(t), None if i % 11 == 0 else float(x)) for i, (t, x) in enumerate(zip(rng.permutation(300), rng.random(300), strict=True))]
+    df = spark.createDataFrame(rows, "k string, t int, x double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["k"]: r["result"] for r in ev.smoothed(df, ["k"], ["t"], "x", 0.7, 0.1).collect()}
+        passed = {r["k"]: r["passed"] for r in ev.rationed(df, ["k"], ["t"], F.when(F.col("x").isNotNull(), F.col("t")), 2.0, 0.05).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in (None, "k0", "k1", "k2"):
+        own = sorted((t, x) for key, t, x in rows if key == k)
+        a = None
+        for _, x in own:
+            a = x if a is None or x is None else a + max(-0.1, min(0.1, 0.7 * x + 0.3 * a - a))
+        assert got[k] == pytest.approx(a) if a is not None else got[k] is None
+        n, left, last = 0, 2.0, None
+        for t in (t for t, x in own if x is not None):
+            left = min(2.0, left + (0 if last is None else t - last) * 0.05)
+            n, left, last = (n + 1, left - 1, t) if left >= 1 else (n, left, t)
+        assert passed[k] == n
+    assert ev.smoothed(df.where("false"), ["k"], ["t"], "x").count() == 0
+
+
 def test_soft_label(spark):  # noqa: ANN001
     df = spark.createDataFrame([(10.0, 20.0, 5.0), (10.0, 20.0, 12.0), (10.0, 20.0, 21.0), (None, None, 1.0)], "onset double, off double, at double")
     assert [r[0] for r in df.select(ev.soft_label(F.col("onset"), F.col("off"), F.col("at"), 10.0)).collect()] == [0.5, 1.0, 0.0, 0.0]
