@@ -1,8 +1,8 @@
 """Deep-shallow sorting of byte strings, vectorised over many small groups.
 
 Strings are rows of a byte matrix, padded with zeros. The shallow phase is a
-multikey quicksort by 8-byte words that runs for all groups at once; what still
-shares its first ``shallow`` words goes to the deep phase, where a blind trie
+multikey quicksort by 8-byte words whose rounds run for all groups at once; what
+still shares its first ``shallow`` words goes to the deep phase, where a blind trie
 (which holds branching depths only and compares each string with one other)
 orders each group.
 """
@@ -15,27 +15,46 @@ SHALLOW_WORDS = 4
 
 
 def sorted_rows(matrix: np.ndarray, group: np.ndarray, first_word: int = 0, shallow: int = SHALLOW_WORDS) -> np.ndarray:
-    """Row numbers in the order of (group, bytes from ``first_word`` on); the width must be a multiple of 8."""
+    """Row numbers in the order of (group, bytes from ``first_word`` on); the width must be a multiple of 8.
+
+    The quicksort holds segments of rows that share their words up to a depth.
+    In each round every segment splits by a pivot of its own into the rows with
+    a smaller word, with the same word, which go one word deeper, and with a
+    larger one.
+    """
     words = np.ascontiguousarray(matrix).view(">u8")
+    last = min(first_word + shallow, words.shape[1])
     order = np.argsort(group, kind="stable")
-    segment = group[order].astype(np.int64)
-    active = _in_shared(segment)
-    for d in range(first_word, min(first_word + shallow, words.shape[1])):
+    segment = np.unique(group[order], return_inverse=True)[1].astype(np.int64)
+    depth = np.full(len(order), first_word)
+    active, used = _in_shared(segment), len(order)
+    deep = []
+    while len(active):
+        done = depth[active] >= last
+        if done.any():
+            deep.append(active[done])
+        active = active[~done]
         if not len(active):
-            return order
-        word = words[order[active], d].astype(np.uint64)
-        by = np.lexsort((word, segment[active]))
-        order[active] = order[active][by]
-        word, seg = word[by], segment[active][by]
-        new = np.ones(len(active), bool)
-        new[1:] = (word[1:] != word[:-1]) | (seg[1:] != seg[:-1])
-        segment[active] = np.cumsum(new) - 1 + (d - first_word + 1) * (1 << 40)
+            break
+        rows, seg = order[active], segment[active]
+        word = words[rows, depth[active]].astype(np.uint64)
+        cut = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
+        size = np.diff(np.append(cut, len(seg)))
+        low, middle, high = word[cut], word[cut + size // 2], word[cut + size - 1]
+        pivot = np.repeat(np.maximum(np.minimum(low, middle), np.minimum(np.maximum(low, middle), high)), size)
+        side = (word > pivot).astype(np.int64) - (word < pivot) + 1 + 3 * np.repeat(np.arange(len(cut)), size)
+        by = np.argsort(side, kind="stable")
+        side = side[by]
+        order[active] = rows[by]
+        depth[active] = depth[active][by] + (side % 3 == 1)
+        segment[active] = used + np.cumsum(np.append(True, side[1:] != side[:-1]))
+        used += len(active) + 1
         active = active[_in_shared(segment[active])]
-    if len(active):
-        seg = segment[active]
+    for places in deep:
+        seg = segment[places]
         cuts = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
-        for a, z in zip(cuts, np.append(cuts[1:], len(active)), strict=True):
-            part = active[a:z]
+        for a, z in zip(cuts, np.append(cuts[1:], len(places)), strict=True):
+            part = places[a:z]
             rows = order[part]
             order[part] = rows[blind_trie_order([matrix[i].tobytes() for i in rows])]
     return order
