@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import drop_second_half, join_key_values, key_values, strip_key_prefix, with_score_unit
+from lodestone.functions.text import bound, drop_second_half, join_key_values, key_values, strip_key_prefix, with_score_unit
 
 # Measure codes and their labels, and the keys that carry no score.
 MEASURES = {1: "健康教育", 2: "心理疏导", 3: "充足氧供", 4: "早期活动", 5: "疼痛控制", 6: "修养环境管理", 7: "水分营养摄入", 8: "预防并发症", 9: "增加家属探视", 10: "规范使用约束带", 11: "遵医嘱药物治疗"}
@@ -66,15 +66,20 @@ FORMS = {
 
 def drop_repeated_text(text: Column) -> Column:
     """The text once where its two halves say the same, as characters or as comma-separated parts."""
-    s = F.trim(text)
-    half = (F.length(s) / 2).cast("int")
     edge = lambda c: F.regexp_replace(c, r"^[ ,\n]+|[ ,\n]+$", "")
-    left, right = edge(F.substr(s, F.lit(1), half)), edge(F.substr(s, half + 1))
-    by_character = (F.length(s) % 2 == 0) & (left != "") & (left == right)
-    parts = F.filter(F.transform(F.split(F.regexp_replace(s, "，", ","), ","), lambda p: F.trim(p)), lambda p: p != "")
-    first = drop_second_half(parts)
-    tidy = F.regexp_replace(s, r"([,，])(?:\s*\1)+", "$1 ")
-    return F.when(by_character, left).when(F.size(first) < F.size(parts), F.array_join(first, ", ")).otherwise(tidy)
+
+    def by_parts(s: Column, parts: Column, first: Column) -> Column:
+        tidy = F.regexp_replace(s, r"([,，])(?:\s*\1)+", "$1 ")
+        return F.when(F.size(first) < F.size(parts), F.array_join(first, ", ")).otherwise(tidy)
+
+    def whole(s: Column) -> Column:
+        half = (F.length(s) / 2).cast("int")
+        left, right = F.substr(s, F.lit(1), half), F.substr(s, half + 1)
+        by_character = (F.length(s) % 2 == 0) & (edge(left) != "") & (edge(left) == edge(right))
+        parts = F.filter(F.transform(F.split(F.regexp_replace(s, "，", ","), ","), lambda p: F.trim(p)), lambda p: p != "")
+        return F.when(by_character, edge(left)).otherwise(bound(parts, lambda p: bound(drop_second_half(p), lambda first: by_parts(s, p, first))))
+
+    return bound(F.trim(text), whole)
 
 
 def measure_labels(pairs: Column, field: str = "措施") -> Column:
@@ -128,7 +133,7 @@ def cleaned_form(sub_type: str, text: Column) -> Column:
     if form.measures:
         pairs = measure_labels(pairs)
     if form.totals:
-        pairs = new_total(pairs, form)
+        pairs = bound(pairs, lambda p: new_total(p, form))
     return join_key_values(pairs)
 
 

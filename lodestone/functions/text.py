@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 WEEKDAYS = ["周一", "周二", "周三", "周四", "周五", "周六", "周日"]  # fixed values
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once for each row, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def paper_version(x: Column) -> Column:
     """``v3`` of ``2507_18009v3``; null without one."""
     return F.nullif(F.regexp_extract(x, r"(v\d+)$", 1), F.lit(""))
@@ -89,12 +95,11 @@ def key_values(x: Column) -> Column:
     """``a: 1, b`` as an array of (k, v): the key ends at the first colon, a part without one has a null key."""
     parts = F.filter(F.transform(F.split(F.regexp_replace(x, "，", ","), ","), lambda p: F.trim(p)), lambda p: p != "")
 
-    def pair(p: Column) -> Column:
-        at = F.regexp_instr(p, F.lit("[:：]"))
+    def pair(p: Column, at: Column) -> Column:
         key = F.when(at > 0, F.trim(F.substr(p, F.lit(1), at - 1)))
         return F.struct(key.alias("k"), F.when(at > 0, F.trim(F.substr(p, at + 1))).otherwise(p).alias("v"))
 
-    return F.transform(parts, pair)
+    return F.transform(parts, lambda p: bound(F.regexp_instr(p, F.lit("[:：]")), lambda at: pair(p, at)))
 
 
 def join_key_values(pairs: Column) -> Column:
@@ -103,9 +108,13 @@ def join_key_values(pairs: Column) -> Column:
 
 def drop_second_half(pairs: Column) -> Column:
     """The first half of an array whose second half repeats it; else the array."""
-    half = (F.size(pairs) / 2).cast("int")
-    first, second = F.slice(pairs, F.lit(1), half), F.slice(pairs, half + 1, half)
-    return F.when((F.size(pairs) > 0) & (F.size(pairs) % 2 == 0) & (first == second), first).otherwise(pairs)
+
+    def once(p: Column) -> Column:
+        half = (F.size(p) / 2).cast("int")
+        first, second = F.slice(p, F.lit(1), half), F.slice(p, half + 1, half)
+        return F.when((F.size(p) > 0) & (F.size(p) % 2 == 0) & (first == second), first).otherwise(p)
+
+    return bound(pairs, once)
 
 
 def strip_key_prefix(pairs: Column, prefixes: list[str]) -> Column:

@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import bound
+from lodestone.sources.shared import written
+
 #: Frequent English function words; any other set can be given.
 STOP_WORDS = (
     "a about after all also an and any are as at be because been before being between both but by can could did do does down during each for from had has have he her here him his how if in into is it its "
@@ -24,11 +27,12 @@ def terms_of(text: Column, stop_words: list[str] = STOP_WORDS, grams: int = 2) -
     def both(w: Column) -> Column:
         runs = [w]
         for n in range(2, grams + 1):
-            at = F.sequence(F.lit(1), F.size(w) - (n - 1))
-            runs.append(F.when(F.size(w) >= n, F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>")))  # noqa: B023
+            # Each run is the one before, without its last, and the word that follows it.
+            longer = F.zip_with(F.slice(runs[-1], F.lit(1), F.greatest(F.size(runs[-1]) - 1, F.lit(0))), F.slice(w, F.lit(n), F.greatest(F.size(w) - (n - 1), F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+            runs.append(longer)
         return F.flatten(F.array(*runs))
 
-    return F.transform(F.array(words), both)[0]
+    return bound(words, both)
 
 
 @dataclass
@@ -41,9 +45,19 @@ class TextVectors:
     grams: int
 
     def _matched(self, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """(id, idx, tf): how often each text holds each term."""
         terms = texts.select(F.col(id_col).alias("id"), F.explode(terms_of(F.col(text_col), self.stop_words, self.grams)).alias("term"))
-        known = F.broadcast(self.vocabulary) if self.size <= MOST_BROADCAST else self.vocabulary
-        return terms.join(known, "term").groupBy("id", "idx", "idf").agg(F.count("*").alias("tf"))
+        known = self.vocabulary.select("term", "idx")
+        return terms.join(F.broadcast(known) if self.size <= MOST_BROADCAST else known, "term").groupBy("id", "idx").agg(F.count("*").alias("tf"))
+
+    def _vectors(self, matched: DataFrame, texts: DataFrame, id_col: str) -> DataFrame:
+        known = self.vocabulary.select(F.col("idx").alias("of"), "idf")
+        weighed = matched.join(F.broadcast(known) if self.size <= MOST_BROADCAST else known, F.col("idx") == F.col("of")).select("id", "idx", (F.col("tf") * F.col("idf")).alias("w"))
+        vectors = weighed.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("idx", "w"))).alias("raw"))
+        length = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+        unit = vectors.withColumn("length", length).select("id", F.transform("raw", lambda x: F.struct(x["idx"].alias("idx"), (x["w"] / F.col("length")).alias("w"))).alias("vector"))
+        none = F.array().cast("array<struct<idx:int,w:double>>")
+        return texts.select(F.col(id_col).alias("id")).distinct().join(unit, "id", "left").select("id", F.coalesce("vector", none).alias("vector"))
 
     def transform(self, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id, vector) of every text: the vector is an array of (idx, weight), by idx, of unit length; empty without a known term.
@@ -52,19 +66,16 @@ class TextVectors:
         text are counted where it is read, so what is shuffled has a row for each
         known term of a text.
         """
-        weighed = self._matched(texts, id_col, text_col).select("id", "idx", (F.col("tf") * F.col("idf")).alias("w"))
-        vectors = weighed.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("idx", "w"))).alias("raw"))
-        length = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-        unit = vectors.withColumn("length", length).select("id", F.transform("raw", lambda x: F.struct(x["idx"].alias("idx"), (x["w"] / F.col("length")).alias("w"))).alias("vector"))
-        none = F.array().cast("array<struct<idx:int,w:double>>")
-        return texts.select(F.col(id_col).alias("id")).distinct().join(unit, "id", "left").select("id", F.coalesce("vector", none).alias("vector"))
+        return self._vectors(self._matched(texts, id_col, text_col), texts, id_col)
 
 
-def fit(texts: DataFrame, text_col: str = "text", size: int = 384, stop_words: list[str] = STOP_WORDS, grams: int = 2, id_col: str = "doc_id") -> TextVectors:
-    """The ``size`` terms with most occurrences in all texts, ties in the order of the alphabet, with idf = 1 + ln((1 + texts) / (1 + texts that hold it)).
+def fit_transform(texts: DataFrame, text_col: str = "text", size: int = 384, stop_words: list[str] = STOP_WORDS, grams: int = 2, id_col: str = "doc_id") -> tuple[TextVectors, DataFrame]:
+    """A vocabulary of the texts, and their vectors by it.
 
-    Occurrences are added up before the shuffle, and only the best terms of each
-    partition go on; one more pass counts the texts of those.
+    The vocabulary are the ``size`` terms with most occurrences in all texts,
+    ties in the order of the alphabet, with idf = 1 + ln((1 + texts) / (1 +
+    texts that hold it)). The texts are read twice: once for the occurrences,
+    which are added up before the shuffle, and once for the terms of each text.
     """
     terms = texts.select(F.explode(terms_of(F.col(text_col), stop_words, grams)).alias("term"))
     best = terms.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(size)
@@ -72,11 +83,18 @@ def fit(texts: DataFrame, text_col: str = "text", size: int = 384, stop_words: l
     # At most ``size`` rows come to the driver.
     chosen = [(t, i, 0.0) for i, t in enumerate(sorted(r["term"] for r in best.collect()))]
     plain = TextVectors(spark.createDataFrame(chosen, "term string, idx int, idf double"), size, stop_words, grams)
-    held = {r["idx"]: r["df"] for r in plain._matched(texts, id_col, text_col).groupBy("idx").agg(F.count("*").alias("df")).collect()}
+    matched = written(plain._matched(texts, id_col, text_col))
+    held = {r["idx"]: r["df"] for r in matched.groupBy("idx").agg(F.count("*").alias("df")).collect()}
     n = texts.count()
     ready = spark.createDataFrame([(t, i, n, int(held.get(i, 0))) for t, i, _ in chosen], "term string, idx int, n long, df long")
     idf = 1 + F.log((1 + F.col("n")).cast("double") / (1 + F.col("df")).cast("double"))
-    return TextVectors(ready.select("term", "idx", idf.alias("idf")), size, stop_words, grams)
+    model = TextVectors(ready.select("term", "idx", idf.alias("idf")), size, stop_words, grams)
+    return model, model._vectors(matched, texts, id_col)
+
+
+def fit(texts: DataFrame, text_col: str = "text", size: int = 384, stop_words: list[str] = STOP_WORDS, grams: int = 2, id_col: str = "doc_id") -> TextVectors:
+    """The vocabulary of ``fit_transform``, for other texts."""
+    return fit_transform(texts, text_col, size, stop_words, grams, id_col)[0]
 
 
 def sparse_dot(a: Column, b: Column) -> Column:

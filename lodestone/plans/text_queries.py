@@ -175,8 +175,8 @@ u AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w
 def txt_tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sparse vector of every document, a row for each of its terms."""
     d = table(spark, sf_dir, "documents")
-    model = tv.fit(d)
-    rows = model.transform(d).select(F.col("id").alias("doc_id"), F.explode("vector").alias("x"))
+    model, vectors = tv.fit_transform(d)
+    rows = vectors.select(F.col("id").alias("doc_id"), F.explode("vector").alias("x"))
     return rows.join(F.broadcast(model.vocabulary), F.col("x.idx") == F.col("idx")).select("doc_id", "term", F.round("x.w", 6).alias("weight"))
 
 
@@ -184,8 +184,7 @@ def txt_tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def txt_tfidf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents most like the first one."""
     d = table(spark, sf_dir, "documents")
-    model = tv.fit(d)
-    vectors = model.transform(d)
+    _, vectors = tv.fit_transform(d)
     first = d.agg(F.min("doc_id")).first()[0]
     query_vector = [(x["idx"], x["w"]) for x in vectors.where(F.col("id") == first).first()["vector"]]
     return tv.most_similar(vectors, query_vector, 20).select("id", F.round("score", 6).alias("score"))
