@@ -142,6 +142,15 @@ def test_passages_on_documents(spark):  # noqa: ANN001
     assert Counter(map(tuple, passage_dedup.remove_passages(docs).collect())) == plain_passages(rows, 20)
 
 
+def test_texts_of_megabytes(spark, docs_of, words):  # noqa: ANN001
+    many = words(300_000, 9)
+    rows = [(1, " ".join(many)), (2, "\n".join([*words(10, 3), *many[100_000:100_050], *words(10, 4)])), (3, " ".join(many[:25]) + " end")]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in passage_dedup.remove_passages(docs_of(rows)).collect()}
+    assert got == {1: (300_000, 0), 2: (70, 50), 3: (26, 25)}
+    weighed = importance.resample(docs_of(rows), docs_of(rows).where("doc_id = 3"), percent=50).collect()
+    assert {r["doc_id"]: r["n_features"] for r in weighed} == {1: 300_000, 2: 70, 3: 26} and sum(r["rank"] is not None for r in weighed) == 1
+
+
 def test_subtrees():
     rng = np.random.default_rng(0)
     codes = rng.integers(0, 2, 4000).astype(np.uint64)
