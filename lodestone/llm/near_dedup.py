@@ -2,9 +2,10 @@
 
 Documents with equal shingles are one text from the start. Each text gets a
 BagMinHash signature, cut into bands; texts that share a band, directly or by
-way of others, form a cluster of candidates. A cluster is dealt into blocks of
-bounded size, and every two blocks meet in one place: there signatures tell
-which pairs may reach the threshold, and those are verified exactly by their
+way of others, form a cluster of candidates. A large cluster is dealt into
+blocks of bounded size. They meet a few of its texts first; blocks of what these
+join needn't meet each other, all others do, every two in one place: there
+signatures tell which pairs may reach the threshold, and those are verified exactly by their
 multisets, the likeliest first, unless verified links join them already. So
 every link between candidates counts, while only a forest of them is written.
 """
@@ -31,6 +32,8 @@ BAND_ROWS = 5
 SLACK = 4.0
 #: Texts of a cluster that one block holds.
 BLOCK_ROWS = 512
+#: Texts of a larger cluster that all its texts meet first, at most.
+HUBS = 8
 #: Shingles that one step of a signature task handles.
 STEP = 1 << 18
 
@@ -116,10 +119,49 @@ def _forest(sketch: np.ndarray, block: np.ndarray, across: bool, grams: list[np.
 
 
 def _links(members: DataFrame, threshold: float) -> DataFrame:
-    """Verified links (a, b) that join what all links of a cluster join; ``members`` has (cluster, size, k, sketch, text)."""
+    """Verified links (a, b) that join what all links of a cluster join; ``members`` has (cluster, size, k, sketch, text).
+
+    A cluster of more than BLOCK_ROWS texts is dealt into blocks. Every block
+    meets a few of the cluster's texts first; what that joins is one part, whose
+    blocks needn't meet each other. Blocks of the remaining texts meet all.
+    """
+    keys = [F.col("cluster.k1").alias("c1"), F.col("cluster.k2").alias("c2")]
+    row = ["block", "k", "sketch", "text"]
+    met = members.where(F.col("size") <= BLOCK_ROWS).select(*keys, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), *row[1:])
+    large = members.where(F.col("size") > BLOCK_ROWS)
+    if large.isEmpty():
+        return _compared(met, threshold)
+
     n_blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-    blocked = members.withColumn("block", F.pmod(F.xxhash64("k"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    met = blocked.select(F.col("cluster.k1").alias("c1"), F.col("cluster.k2").alias("c2"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "k", "sketch", "text")
+    some = large.groupBy("cluster", "size", F.pmod(F.xxhash64("k", F.lit(11)), F.lit(HUBS)).alias("hub")).agg(F.min(F.struct("k", "sketch", "text")).alias("h")).select("cluster", "size", "h.*")
+    own = large.select(*keys, F.pmod(F.xxhash64("k"), n_blocks).cast("int").alias("i"), F.lit(-1).alias("j"), "k", "sketch", "text").withColumn("block", F.col("i"))
+    hubs = some.select(*keys, F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("i"), F.lit(-1).alias("j"), F.lit(-1).alias("block"), *row[1:])
+    columns = ["c1", "c2", "i", "j", *row]
+    first = durable(_compared(met.select(*columns).unionByName(own.select(*columns)).unionByName(hubs.select(*columns)), threshold), tidy=True)
+
+    # Parts of a cluster: what the first links join, if that is much, and all other texts together.
+    named = durable(large.select("cluster", "k").join(components(first).withColumnRenamed("node", "k"), "k", "left"))
+    sizes = named.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    kept = F.when(F.col("n") >= BLOCK_ROWS, F.col("component"))
+    parts = sizes.groupBy("cluster", kept.alias("part")).agg(F.ceil(F.sum("n") / BLOCK_ROWS).cast("int").alias("blocks"))
+    # At most one part for each hub and one more in a cluster.
+    listed = parts.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("part", "blocks"))).alias("parts"))
+    start = F.transform("parts", lambda p, at: F.struct(p["part"].alias("part"), p["blocks"].alias("blocks"), F.aggregate(F.slice("parts", F.lit(1), at), F.lit(0), lambda a, q: a + q["blocks"]).alias("start")))
+    placed = listed.select(F.col("cluster").alias("of"), start.alias("parts"))
+    sized = sizes.select(F.col("cluster").alias("of"), F.col("component").alias("c"), "n")
+    part_of = named.join(sized, (F.col("cluster") == F.col("of")) & F.col("component").eqNullSafe(F.col("c"))).select(F.col("k").alias("of_k"), kept.alias("part"))
+    joined = large.join(part_of, F.col("k") == F.col("of_k")).join(placed, F.col("cluster") == F.col("of"))
+    mine = F.get(F.filter("parts", lambda p: p["part"].eqNullSafe(F.col("part"))), F.lit(0))
+    block = mine["start"] + F.pmod(F.xxhash64("k"), mine["blocks"]).cast("int")
+    blocks_of = lambda p: F.sequence(p["start"], p["start"] + p["blocks"] - 1)
+    others = F.flatten(F.transform(F.filter("parts", lambda p: p["part"].isNull() | F.col("part").isNull() | (p["part"] != F.col("part"))), blocks_of))
+    dealt = joined.select("cluster", block.alias("block"), F.explode(others).alias("other"), *row[1:])
+    rest = dealt.select(*keys, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *row)
+    return first.unionByName(_compared(rest, threshold))
+
+
+def _compared(met: DataFrame, threshold: float) -> DataFrame:
+    """Verified links (a, b) of rows (c1, c2, i, j, block, k, sketch, text): within each group (c1, c2, i, j), of different blocks only where i and j differ."""
     dealt = met.repartition("c1", "c2", "i", "j").sortWithinPartitions("c1", "c2", "i", "j").select("c1", "c2", "i", "j", "block", "k", "sketch", shingles(F.col("text")).alias("grams"))
     keys = ["c1", "c2", "i", "j"]
 
@@ -179,7 +221,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     right = rows.select(F.col("id").alias("id2"), F.xxhash64("text").alias("th2"), "text")
     wanted = nodes.join(sized, "k").select("k", "id", "th", "sketch", "cluster", "size")
     matched = wanted.join(right, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")))
-    members = matched.groupBy("k", "cluster", "size", "sketch").agg(F.any_value("text").alias("text"))
+    members = durable(matched.groupBy("k", "cluster", "size", "sketch").agg(F.any_value("text").alias("text")), tidy=True)
     found = components(_links(members, threshold))
 
     classes = worded.select("id", "th", "k").join(found.withColumnRenamed("node", "k"), "k", "left").select("id", "th", F.coalesce("component", "k").alias("class"))

@@ -379,6 +379,35 @@ def test_blocks_of_large_clusters(spark, docs_of, words, monkeypatch):  # noqa:
     assert {r["class_id"] for r in near_dedup.near_duplicates(docs_of(rows)).collect()} == {0}
 
 
+@pytest.mark.parametrize("hubs", [1, 8])
+def test_chains_of_large_clusters(spark, docs_of, words, monkeypatch, hubs):  # noqa: ANN001
+    """Texts that drift apart are one class by their neighbours, whichever of them all texts meet first."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(near_dedup, "HUBS", hubs)
+    rows = []
+    for chain in range(4):
+        w = words(150, chain)
+        for step in range(25):
+            w[(7 * step) % 150] = f"c{chain}s{step}"
+            rows.append((len(rows), " ".join(w)))
+        for copy in range(12):
+            rows.append((len(rows), " ".join([*w[: 5 + 2 * copy], f"e{copy}", *w[6 + 2 * copy :]])))
+    counts, parent = {i: shingle_counts(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def root(x):  # noqa: ANN001, ANN202
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in counts:
+        for j in counts:
+            if i < j and jaccard(counts[i], counts[j]) >= 0.8 - 1e-9:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs_of(rows)).collect()}
+    assert got == {i: root(i) for i in counts}
+
+
 def test_bagminhash_is_unbiased():
     r = np.random.default_rng(2)
     a = np.concatenate([np.repeat(r.integers(0, 1 << 60, 40), 3), r.integers(0, 1 << 60, 200)]).astype(np.uint64)
