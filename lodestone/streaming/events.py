@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lodestone.sources.shared import new_folder
+
+DEFAULT_STORE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -64,6 +69,38 @@ def alerts(events: DataFrame, key: str = "user_id", value: str = "value", order:
 
 
 def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Everything that is there now, as a table in memory; for tests and small results."""
-    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
+    """Everything that is there now, as a table of files in the shared folder; complete results are those of the last trigger.
+
+    Neither rows nor state pass through the driver's memory: each trigger writes
+    its rows as files, checkpoints lie in the shared folder, and state is in
+    RocksDB on the executors' disks.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, "streams")
+    triggers: list[int] = []
+
+    def keep(rows: DataFrame, trigger: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/{trigger}")
+        triggers.append(trigger)
+
+    with rocks_state(spark):
+        started = df.writeStream.foreachBatch(keep).queryName(name).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    started.awaitTermination()
+    done = sorted(set(triggers))
+    if not done:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(*(f"{path}/rows/{t}" for t in (done[-1:] if mode == "complete" else done)))
+
+
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start here keep their state in RocksDB, unless the session names another store."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(name, DEFAULT_STORE) != DEFAULT_STORE:
+        yield
+        return
+    spark.conf.set(name, STORE)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
