@@ -14,6 +14,8 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 EVENT = StructType([StructField(x, StringType()) for x in ("id", "timestamp", "event_type", "sub_type", "event_content", "risks", "flag", "metadata")])
 PATIENT = StructType([StructField("meta_id", StringType()), StructField("sequence", ArrayType(EVENT)), StructField("_corrupt_record", StringType())])
+#: Patients of a packed file.
+PACKED = 10_000
 PAPER_URL = r"https?://(?:www\.)?arxiv\.org/(?:abs|pdf)/([0-9]+\.[0-9]+)"
 
 
@@ -24,10 +26,31 @@ def patient_events(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.schema(PATIENT).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
-    rows = files.select(stem.alias("patient_id"), "meta_id", "sequence", "_corrupt_record").where("_corrupt_record is null and sequence is not null")
+    return _sequences(files.select(stem.alias("patient_id"), "meta_id", "sequence", "_corrupt_record"))
+
+
+def _sequences(documents: DataFrame) -> DataFrame:
+    rows = documents.where("_corrupt_record is null and sequence is not null")
     return rows.select("patient_id", "meta_id", F.posexplode("sequence").alias("pos", "e")).select("patient_id", "meta_id", "pos", "e.*")
 
 
+def pack_patients(documents: DataFrame, path: str, rows_per_file: int = PACKED) -> None:
+    """Write (patient_id, value), a JSON document of each patient, into shared files of many patients.
+
+    A file of its own for each patient costs a listing, an opening and a task's
+    share of each; packed, the number of files grows with the rows by
+    ``rows_per_file``. A row keeps the name that its file would have had.
+    """
+    documents.select("patient_id", "value").write.option("maxRecordsPerFile", rows_per_file).parquet(path)
+
+
+def packed_patient_events(spark: SparkSession, path: str) -> DataFrame:
+    """What ``patient_events`` gives for the same documents, of packed files."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    read = spark.read.schema("patient_id string, value string").parquet(path).withColumn("d", F.from_json("value", PATIENT, options))
+    return _sequences(read.select("patient_id", "d.meta_id", "d.sequence", "d._corrupt_record"))
+
+
 def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
     """(file) of patient files without a readable sequence."""
     files = spark.read.schema(PATIENT).option("multiLine", True).json(path).select(F.col("_metadata.file_path").alias("file"), "sequence", "_corrupt_record")
