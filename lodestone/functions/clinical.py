@@ -163,9 +163,8 @@ def drop_repeated_block(parts: Column, least: int = 4) -> Column:
     starts = F.when(n >= 2 * least, F.sequence(F.lit(1), n - (2 * least - 1))).otherwise(F.array().cast("array<int>"))
     sizes = lambda i: F.reverse(F.sequence(F.lit(least), ((n - i + 1) / 2).cast("int")))
     found = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(sizes(i), lambda s: F.slice(parts, i, s) == F.slice(parts, i + s, s)), lambda s: F.struct(i.alias("i"), s.alias("s")))))
-    first = F.get(found, F.lit(0))
-    kept = F.concat(F.slice(parts, F.lit(1), first["i"] + first["s"] - 1), F.slice(parts, first["i"] + 2 * first["s"], F.greatest(F.lit(0), n - first["i"] - 2 * first["s"] + 1)))
-    return F.when(F.size(found) > 0, kept).otherwise(parts)
+    kept = lambda first: F.concat(F.slice(parts, F.lit(1), first["i"] + first["s"] - 1), F.slice(parts, first["i"] + 2 * first["s"], F.greatest(F.lit(0), n - first["i"] - 2 * first["s"] + 1)))
+    return bound(F.get(found, F.lit(0)), lambda first: F.when(first.isNotNull(), kept(first)).otherwise(parts))
 
 
 def drop_repeated_strongly(text: Column, least: int = 4) -> Column:
@@ -176,30 +175,32 @@ def drop_repeated_strongly(text: Column, least: int = 4) -> Column:
     block of more than ``least`` parts that comes again but for white space;
     else the text with its doubled commas as one.
     """
-    s = F.trim(text)
-    bare = F.regexp_replace(s, r"^[ ,\n]+|[ ,\n]+$", "")
-    half = (F.length(bare) / 2).cast("int")
-    halves = (F.length(bare) > 0) & (F.length(bare) % 2 == 0) & (F.substr(bare, F.lit(1), half) == F.substr(bare, half + 1))
-    parts = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_replace(s, "，", ", "), r"\s{2,}", " "), ","), lambda p: F.trim(p)), lambda p: p != "")
-
-    def body(p: Column) -> Column:
-        exact = drop_repeated_block(p, least)
-        plain = F.transform(p, lambda x: F.regexp_replace(x, r"\s+", ""))
+
+    def whole(s: Column) -> Column:
+        return bound(F.regexp_replace(s, r"^[ ,\n]+|[ ,\n]+$", ""), lambda bare: by_halves(s, bare))
+
+    def by_halves(s: Column, bare: Column) -> Column:
+        half = (F.length(bare) / 2).cast("int")
+        halves = (F.length(bare) > 0) & (F.length(bare) % 2 == 0) & (F.substr(bare, F.lit(1), half) == F.substr(bare, half + 1))
+        parts = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_replace(s, "，", ", "), r"\s{2,}", " "), ","), lambda p: F.trim(p)), lambda p: p != "")
+        return F.when(halves, F.substr(bare, F.lit(1), half)).otherwise(bound(parts, lambda p: F.when(F.size(p) < 6, s).otherwise(bound(drop_repeated_block(p, least), lambda exact: by_blocks(s, p, exact)))))
+
+    def by_blocks(s: Column, p: Column, exact: Column) -> Column:
+        bare_parts = F.transform(p, lambda x: F.regexp_replace(x, r"\s+", ""))
         sizes = F.when(F.size(p) >= 2 * least + 2, F.reverse(F.sequence(F.lit(least + 1), (F.size(p) / 2).cast("int")))).otherwise(F.array().cast("array<int>"))
-        near = F.get(F.filter(sizes, lambda j: F.slice(plain, F.lit(1), j) == F.slice(plain, j + 1, j)), F.lit(0))
-        loose = F.concat(F.slice(p, F.lit(1), near), F.slice(p, 2 * near + 1, F.size(p)))
+        near = bound(bare_parts, lambda plain: F.get(F.filter(sizes, lambda j: F.slice(plain, F.lit(1), j) == F.slice(plain, j + 1, j)), F.lit(0)))
+        loose = lambda n: F.concat(F.slice(p, F.lit(1), n), F.slice(p, 2 * n + 1, F.size(p)))
         tidy = F.regexp_replace(s, r"([,，])\s*\1+", "$1 ")
-        return F.when(F.size(p) < 6, s).when(F.size(exact) < F.size(p), F.array_join(exact, ", ")).when(near.isNotNull(), F.array_join(loose, ", ")).otherwise(tidy)
+        return F.when(F.size(exact) < F.size(p), F.array_join(exact, ", ")).otherwise(bound(near, lambda n: F.when(n.isNotNull(), F.array_join(loose(n), ", ")).otherwise(tidy)))
 
-    return F.when(halves, F.substr(bare, F.lit(1), half)).otherwise(F.transform(F.array(parts), body)[0])
+    return bound(F.trim(text), whole)
 
 
 def second_cleaned(sub_type: Column, text: Column) -> Column:
     """A text after its first cleaning: repeated blocks go, the keys of fall forms lose their prefix, and scores of scored forms get their unit."""
-    once = drop_repeated_strongly(text)
-    fall = join_key_values(strip_key_prefix(key_values(once), ["morse_"]))
-    plain = F.when(sub_type == "跌倒/坠床风险评估表", fall).otherwise(once)
-    return F.when(sub_type.isin(SCORED), scored(sub_type, plain)).otherwise(plain)
+    fall = lambda once: F.when(sub_type == "跌倒/坠床风险评估表", join_key_values(strip_key_prefix(key_values(once), ["morse_"]))).otherwise(once)
+    unit = lambda plain: F.when(sub_type.isin(SCORED), scored(sub_type, plain)).otherwise(plain)
+    return bound(drop_repeated_strongly(text), lambda once: bound(fall(once), unit))
 
 
 def extracted(notes: DataFrame, text_col: str, names: dict[str, list[str]], units: dict[str, dict[str, float]], keep: list[str]) -> DataFrame:
