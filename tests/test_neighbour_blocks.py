@@ -102,7 +102,7 @@ def test_each_meeting_is_a_task(spark):  # noqa: ANN001
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"task": [TaskContext.get().partitionId()], "pairs": [len(q) * len(c)]})
 
-    met = vs.meet_blocks(df, df.where("vec_id < 600"), "embedding", "vec_id", [], 200, meet, "task int, pairs long").collect()
+    met = vs.meet_blocks(df, df.where("vec_id < 600"), "embedding", "vec_id", [], 200, meet, "task int, pairs long", in_strips=True).collect()
     assert len(met) == len({r["task"] for r in met}) == 15
     assert sum(r["pairs"] for r in met) == 1000 * 600
 
