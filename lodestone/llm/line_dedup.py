@@ -57,16 +57,12 @@ def rarity_classes(keyed: DataFrame) -> Column:
     return F.split(F.lit(",".join(str(found.get(b, 0) << HASH_BITS) for b in range(BUCKETS))), ",").cast("array<bigint>")
 
 
-def _each_shingle(line: Column, of: Callable[[Column], Column]) -> Column:
-    """``of`` each shingle of a line, given as a struct of its words' hashes, w0 first; of fewer words ``shingles_of`` them.
-
-    The words' hashes lie side by side in shifted arrays, so that a shingle is
-    one struct, which one call hashes.
-    """
+def _each_shingle(line: Column, of: Callable[[Column, Column], Column]) -> Column:
+    """``of`` each shingle of a line, given as the hashes of its first word and of all its words; of fewer words ``shingles_of`` them."""
 
     def many(h: Column) -> Column:
-        n = F.size(h) - (SHINGLE_WORDS - 1)
-        return F.transform(F.arrays_zip(*(F.slice(h, F.lit(k + 1), n).alias(f"w{k}") for k in range(SHINGLE_WORDS))), of)
+        firsts = F.slice(h, F.lit(1), F.size(h) - (SHINGLE_WORDS - 1))
+        return F.transform(firsts, lambda x, i: of(x, F.xxhash64(x, *(F.get(h, i + k) for k in range(1, SHINGLE_WORDS)))))
 
     def keyed(w: Column) -> Column:
         return F.when(F.size(w) >= SHINGLE_WORDS, bind(F.transform(w, lambda x: F.xxhash64(x)), many)).otherwise(shingles_of(w))
@@ -77,8 +73,9 @@ def _each_shingle(line: Column, of: Callable[[Column], Column]) -> Column:
 def ordered_tokens(line: Column, classes: Column) -> Column:
     """The line's distinct tokens in the global order: rare classes first, then by hash."""
     mask = F.lit((1 << HASH_BITS) - 1)
-    token = lambda x: classes[x["w0"].bitwiseAND(F.lit(BUCKETS - 1))].bitwiseOR(F.xxhash64(x).bitwiseAND(mask))
-    return F.sort_array(F.array_distinct(_each_shingle(line, token)))
+    rarity = lambda first: F.coalesce(classes[first.bitwiseAND(F.lit(BUCKETS - 1))], F.lit(0).cast("long"))
+    # Arrays that can't hold nulls are sorted as plain numbers.
+    return F.sort_array(F.array_distinct(_each_shingle(line, lambda first, whole: rarity(first).bitwiseOR(whole.bitwiseAND(mask)))))
 
 
 def _least_common(nx: Column, ny: Column, threshold: float) -> Column:
@@ -127,7 +124,7 @@ def standing_lines(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     by_doc = ends.groupBy(F.col("at.id").alias("id"), F.col("at.th").alias("th")).agg(F.collect_list("at").alias("wanted"))
     of_wanted = lambda lines: F.transform("wanted", lambda at: F.struct(at.alias("at"), F.get(lines, at["line_no"]).alias("line")))
     texts = _with_text(by_doc, keyed, "inner").select(F.inline(bind(F.split("text", "\n"), of_wanted)))  # one split for all lines of a text
-    hashed = texts.select("at", F.array_distinct(_each_shingle(F.col("line"), lambda x: F.xxhash64(x))).alias("hashes"))
+    hashed = texts.select("at", F.array_distinct(_each_shingle(F.col("line"), lambda _, whole: whole)).alias("hashes"))
     lines = durable(hashed.select("at", "hashes", *bitmap(F.col("hashes"))), tidy=True)
 
     def verified(pairs: DataFrame) -> DataFrame:

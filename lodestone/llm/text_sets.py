@@ -7,6 +7,7 @@ from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
@@ -31,7 +32,7 @@ def shingles_of(words: Column, size: int = SHINGLE_WORDS) -> Column:
     at = F.sequence(F.lit(0), F.size(words) - size)
     many = F.transform(at, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(size))))
     one = F.array(F.xxhash64(F.array_join(words, " "), F.size(words)))
-    return F.when(F.size(words) >= size, many).when(F.size(words) > 0, one).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(words) >= size, many).when(F.size(words) > 0, one).otherwise(F.array().cast(ArrayType(LongType(), False)))
 
 
 def shingles(text: Column, size: int = SHINGLE_WORDS) -> Column:
