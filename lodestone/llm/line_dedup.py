@@ -28,6 +28,8 @@ THRESHOLD = 0.8
 #: Words are counted in so many hash buckets. A token is as rare as the bucket of its first word.
 BUCKETS = 4096
 HASH_BITS = 56
+#: Tokens are put in so many bins to find those that stand more than once, some thousand rows of a bin at 30 GB.
+BINS = 1 << 19
 AT = ("id", "th", "line_no")
 
 
@@ -104,6 +106,18 @@ def _bits_allow(x: str, y: str, threshold: float) -> Column:
     return nx + ny - differ >= 2 * _least_common(nx, ny, threshold)
 
 
+def standing_again(at_token: DataFrame) -> DataFrame:
+    """The rows whose token another row has too, and their bin; dealt by bin and sorted by token and place in it.
+
+    Most tokens stand once. To start a window anew at each of them costs more
+    than the row itself, so this looks at the rows beside, a bin of tokens at a time.
+    """
+    beside = Window.partitionBy("bin").orderBy("token", *AT)
+    binned = at_token.select("*", F.col("token").bitwiseAND(F.lit(BINS - 1)).alias("bin"))
+    both = binned.select("*", F.lag("token").over(beside).alias("before"), F.lead("token").over(beside).alias("after"))
+    return both.where("before = token or after = token").drop("before", "after")
+
+
 def standing_lines(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The lines that stay, (id, th, line_no), among those with a word."""
     classes = rarity_classes(keyed)
@@ -115,9 +129,10 @@ def standing_lines(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     firsts = durable(by_set.groupBy("k1", "k2").agg(F.min("first").alias("f")).select("f.*"), tidy=True)
 
     at_token = firsts.select(F.posexplode("prefix").alias("j", "token"), *AT, "n")
-    here = Window.partitionBy("token").orderBy(*AT).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    again = standing_again(at_token)
+    here = Window.partitionBy("bin", "token").orderBy(*AT).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # dealt and sorted already
     leader = [F.first(c).over(here).alias(f"first_{c}") for c in (*AT, "n", "j")]  # plain columns: a struct would be shuffled beside them
-    ranked = at_token.select("token", *AT, "n", "j", F.row_number().over(here).alias("rank"), *leader).where("rank > 1")
+    ranked = again.select("token", *AT, "n", "j", F.row_number().over(here).alias("rank"), *leader).where("rank > 1")
     met = durable(ranked.select("token", "rank", F.struct(F.struct(*AT).alias("at"), "n", "j").alias("y"), F.struct(F.struct(*(F.col(f"first_{c}").alias(c) for c in AT)).alias("at"), F.col("first_n").alias("n"), F.col("first_j").alias("j")).alias("x")), tidy=True)
 
     ends = met.select(F.explode(F.array("x.at", "y.at")).alias("at")).distinct()
@@ -137,19 +152,19 @@ def standing_lines(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     with_leader = met.where(_may_match("x", "y", threshold)).select(F.col("y.at").alias("y"), F.col("x.at").alias("x"))
     first_removed = durable(verified(with_leader), tidy=True)
     marked = first_removed.select("at", F.lit(True).alias("gone"))
-    members = met.select("token", "rank", "y.*").join(lines.select("at", "even", "odd"), "at").join(marked, "at", "left")
+    members = met.select("token", "rank", "y.*").join(lines.select("at", "even", "odd").hint("shuffle_hash"), "at").join(marked.hint("shuffle_hash"), "at", "left")
     members = members.select("token", "rank", "gone", F.struct("at", "n", "j", "even", "odd").alias("y"))
     later = members.where(F.col("gone").isNull() & (F.col("rank") > 2)).select("token", "rank", "y")
     earlier = members.select("token", F.col("rank").alias("earlier"), F.col("y").alias("x"))
     met_later = later.join(earlier, "token").where((F.col("earlier") < F.col("rank")) & _may_match("x", "y", threshold) & _bits_allow("x", "y", threshold))
     last_removed = durable(verified(met_later.select(F.col("y.at").alias("y"), F.col("x.at").alias("x"))), tidy=True)
     gone = first_removed.unionByName(last_removed)
-    return firsts.select(F.struct(*AT).alias("at")).join(gone, "at", "left_anti").select("at.*")
+    return firsts.select(F.struct(*AT).alias("at")).join(gone.hint("shuffle_hash"), "at", "left_anti").select("at.*")
 
 
 def _with_text(by_doc: DataFrame, keyed: DataFrame, how: str) -> DataFrame:
     right = keyed.select(F.col("id").alias("id2"), F.col("th").alias("th2"), "text")
-    return by_doc.join(right, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), how)
+    return by_doc.hint("shuffle_hash").join(right, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), how)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: Sequence[str] = ()) -> DataFrame:
@@ -162,7 +177,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = _keyed(docs, id_col, text_col, keep)
     by_doc = standing_lines(keyed, threshold).groupBy("id", "th").agg(F.collect_set("line_no").alias("stay"))
     right = by_doc.select(F.col("id").alias("id2"), F.col("th").alias("th2"), "stay")
-    joined = keyed.join(right, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left")
+    joined = keyed.join(right.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left")
     lines = joined.select("id", "keep", F.split("text", "\n").alias("lines"), F.coalesce("stay", F.array().cast("array<int>")).alias("stay"))
     blank = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(WORD), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
     kept = lines.select("id", "keep", "lines", F.sort_array(F.array_union("stay", blank)).alias("kept"))
